@@ -71,3 +71,170 @@ kept AS (
 SELECT d.doc_id, {postprocess("coalesce(kept.body, '')")} AS text
 FROM documents d LEFT JOIN kept USING (doc_id)
 """
+
+# ---------------------------------------------------------------- step 1: URLs
+
+SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
+PARAMS = r"^((?:.*/)?[^/;]*);([^/]*)$"
+
+
+def hostname_sql(netloc: str) -> str:
+    hi = f"regexp_extract({netloc}, '([^@]*)$', 1)"
+    h = f"(CASE WHEN contains({hi}, '[') THEN regexp_extract({hi}, '\\[([^\\]]*)', 1) ELSE regexp_extract({hi}, '^([^:]*)', 1) END)"
+    return f"(lower(regexp_extract({h}, '^([^%]*)', 1)) || regexp_extract({h}, '(%.*)$', 1))"
+
+
+def parts_ctes(src: str, cols: str, url: str, p: str) -> str:
+    """CTEs {p}1..{p}5 adding scheme, netloc, path, params, query, host to ``src``."""
+    c = f"regexp_replace(regexp_replace({url}, '[\\t\\r\\n]', '', 'g'), '^[\\x00-\\x20]+', '')"
+    return f"""
+{p}1 AS (SELECT {cols}, {c} AS {p}c FROM {src}),
+{p}2 AS (SELECT *, regexp_extract({p}c, {q(SCHEME)}, 1) AS {p}s0 FROM {p}1),
+{p}3 AS (SELECT *, lower({p}s0) AS {p}scheme,
+           CASE WHEN {p}s0 = '' THEN {p}c ELSE substr({p}c, length({p}s0) + 2) END AS {p}r FROM {p}2),
+{p}4 AS (SELECT *, CASE WHEN starts_with({p}r, '//') THEN regexp_extract({p}r, '^//([^/?#]*)', 1) ELSE '' END AS {p}netloc,
+           regexp_extract(CASE WHEN starts_with({p}r, '//') THEN regexp_extract({p}r, '^//[^/?#]*(.*)$', 1) ELSE {p}r END,
+                          '^([^#]*)', 1) AS {p}a FROM {p}3),
+{p}5 AS (SELECT *, CASE WHEN contains({p}a, '?') THEN regexp_extract({p}a, '^[^?]*\\?(.*)$', 1) ELSE '' END AS {p}query,
+           regexp_extract({p}a, '^([^?]*)', 1) AS {p}pp, {hostname_sql(p + 'netloc')} AS {p}host FROM {p}4),
+{p}6 AS (SELECT *, CASE WHEN regexp_matches({p}pp, {q(PARAMS)}) THEN regexp_extract({p}pp, {q(PARAMS)}, 1) ELSE {p}pp END AS {p}path,
+           CASE WHEN regexp_matches({p}pp, {q(PARAMS)}) THEN regexp_extract({p}pp, {q(PARAMS)}, 2) ELSE '' END AS {p}params
+         FROM {p}5)"""
+
+
+def norm_ctes(src: str, key: str, url: str, out: str, p: str = "n") -> str:
+    """CTEs ending in ``{p}_out(key, {out})``: U1 over ``src``."""
+    d = f"regexp_extract(regexp_replace(regexp_replace({url}, '[\\t\\r\\n]', '', 'g'), '^[\\x00-\\x20]+', ''), '^([^#]*)', 1)"
+    dec = lambda x: f"url_decode(replace({x}, '+', ' '))"
+    enc = lambda x: f"replace(url_encode({x}), '%20', '+')"
+    return f"""
+{p}0 AS (SELECT {key}, {url} AS {p}src,
+           CASE WHEN regexp_matches({d}, {q(SCHEME)}) THEN {d} ELSE 'https://' || {d} END AS {p}u FROM {src}),
+{parts_ctes(p + '0', f'{key}, {p}src, {p}u', p + 'u', p)},
+{p}q0 AS (SELECT {key}, unnest(string_split({p}query, '&')) AS f FROM {p}6),
+{p}q1 AS (SELECT {key}, {dec("regexp_extract(f, '^([^=]*)', 1)")} AS k,
+             {dec("CASE WHEN contains(f, '=') THEN regexp_extract(f, '^[^=]*=(.*)$', 1) ELSE '' END")} AS v
+          FROM {p}q0 WHERE f <> ''),
+{p}q2 AS (SELECT {key}, string_agg({enc('k')} || '=' || {enc('v')}, '&' ORDER BY k, v) AS q FROM {p}q1
+          WHERE NOT (starts_with(lower(k), 'utm_') OR lower(k) IN ('gclid', 'fbclid', 'mc_cid', 'mc_eid', 'ref', 'source'))
+          GROUP BY {key}),
+{p}7 AS (SELECT {p}6.*, coalesce({p}q2.q, '') AS {p}qq,
+           regexp_replace(CASE WHEN {p}path = '' THEN '/' ELSE {p}path END, '/+', '/', 'g') AS {p}p1
+         FROM {p}6 LEFT JOIN {p}q2 USING ({key})),
+{p}8 AS (SELECT *, (CASE WHEN {p}p1 <> '/' AND ends_with({p}p1, '/') THEN regexp_replace({p}p1, '/+$', '') ELSE {p}p1 END)
+             || CASE WHEN {p}params <> '' THEN ';' || {p}params ELSE '' END AS {p}p3 FROM {p}7),
+{p}_out AS (SELECT {key}, CASE WHEN {p}src IS NULL OR {p}src = '' OR {p}scheme NOT IN ('http', 'https') THEN '' ELSE
+           {p}scheme || ':' ||
+           CASE WHEN {p}netloc <> '' THEN '//' || {p}netloc ||
+                  CASE WHEN {p}p3 <> '' AND NOT starts_with({p}p3, '/') THEN '/' || {p}p3 ELSE {p}p3 END
+                WHEN starts_with({p}p3, '//') THEN '//' || {p}p3
+                WHEN {p}p3 = '' OR starts_with({p}p3, '/') THEN '//' || {p}p3
+                ELSE {p}p3 END
+           || CASE WHEN {p}qq <> '' THEN '?' || {p}qq ELSE '' END END AS {out}
+         FROM {p}8)"""
+
+
+def root_sql(host: str) -> str:
+    return f"regexp_extract(lower({host}), '(?:[^.]*\\.)?[^.]*$', 0)"
+
+
+def slug_sql(x: str, empty: str) -> str:
+    s = f"regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+    return f"coalesce(nullif({s}, ''), '{empty}')"
+
+
+def ipv4_blocked_sql(h: str) -> str:
+    o = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9])"
+    pat = f"^{o}\\.{o}\\.{o}\\.{o}$"
+    v = " + ".join(f"TRY_CAST(regexp_extract({h}, {q(pat)}, {i}) AS BIGINT) * {m}" for i, m in
+                   ((1, 1 << 24), (2, 1 << 16), (3, 1 << 8), (4, 1)))
+    from pagemill.functions.urls import _IPV4_EXCEPTIONS, _IPV4_PRIVATE, _ip_int
+
+    ranges = " OR ".join(f"({v}) BETWEEN {_ip_int(a)} AND {_ip_int(b)}" for a, b in _IPV4_PRIVATE)
+    exc = ", ".join(str(_ip_int(x)) for x in _IPV4_EXCEPTIONS)
+    return f"(regexp_matches({h}, {q(pat)}) AND ({ranges}) AND ({v}) NOT IN ({exc}))"
+
+
+def blocked_host_sql(h: str) -> str:
+    return f"(lower({h}) IN ('localhost', '127.0.0.1', '::1') OR coalesce({ipv4_blocked_sql(f'lower({h})')}, false))"
+
+
+ORACLE["u1_norm_url"] = f"""
+WITH {norm_ctes('pages', 'page_id', 'url', 'norm_url')}
+SELECT p.page_id, p.url, n.norm_url FROM pages p JOIN n_out n USING (page_id)
+"""
+
+ORACLE["x2_first_url"] = f"""
+WITH {norm_ctes('pages', 'page_id', 'url', 'norm_url')}
+SELECT n.norm_url, min(p.page_id) AS first_page_id, arg_min(p.url, p.page_id) AS first_url, count(*) AS n_copies
+FROM pages p JOIN n_out n USING (page_id) GROUP BY n.norm_url
+"""
+
+ORACLE["u4_root_domain"] = f"""
+WITH {parts_ctes('pages', 'page_id, url', 'url', 'p')}
+SELECT page_id, phost AS host, {root_sql('phost')} AS root_domain FROM p6
+"""
+
+ORACLE["u5_host_path"] = f"""
+WITH {norm_ctes('pages', 'page_id', 'url', 'norm_url')},
+{parts_ctes('n_out', 'page_id, norm_url', 'norm_url', 'h')}
+SELECT page_id, norm_url, hhost AS host,
+       CASE WHEN hpath = '' THEN '/' ELSE hpath END || CASE WHEN hquery <> '' THEN '?' || hquery ELSE '' END AS path
+FROM h6
+"""
+
+ORACLE["u6_public_url"] = f"""
+WITH base AS (SELECT page_id, CASE WHEN regexp_matches(regexp_replace(regexp_replace(url, '[\\t\\r\\n]', '', 'g'), '^[\\x00-\\x20]+', ''),
+                                    {q(SCHEME)}) THEN url ELSE 'https://' || url END AS u FROM pages),
+{parts_ctes('base', 'page_id, u', 'u', 'p')},
+r AS (SELECT *, CASE WHEN pscheme NOT IN ('http', 'https') THEN 'Only http(s) URLs are allowed.'
+                     WHEN phost = 'localhost' OR coalesce({ipv4_blocked_sql('phost')}, false) THEN 'Target host is not allowed.'
+                     ELSE '' END AS reject_reason FROM p6)
+SELECT page_id, CASE WHEN reject_reason = '' THEN pscheme || '://' || pnetloc || ppath
+                     || CASE WHEN pparams <> '' THEN ';' || pparams ELSE '' END
+                     || CASE WHEN pquery <> '' THEN '?' || pquery ELSE '' END
+                     || CASE WHEN contains(u, '#') THEN '#' || regexp_extract(u, '#(.*)$', 1) ELSE '' END END AS safe_url,
+       reject_reason
+FROM r
+"""
+
+ORACLE["u7_slug"] = f"SELECT page_id, {slug_sql('url', 'page')} AS slug, {slug_sql(chr(39) + '!!' + chr(39), 'document')} AS empty_slug FROM pages"
+
+ORACLE["p2_blocked_url"] = f"""
+WITH {parts_ctes('pages', 'page_id, url', 'url', 'p')}
+SELECT page_id, {blocked_host_sql('phost')} AS blocked_host,
+       (pscheme NOT IN ('http', 'https') OR {blocked_host_sql('phost')}) AS blocked_url FROM p6
+"""
+
+_SEEDED = f"""
+{norm_ctes('pages', 'page_id', 'url', 'norm_url')},
+{parts_ctes('n_out', 'page_id, norm_url', 'norm_url', 'h')},
+roots AS (SELECT page_id, norm_url, hscheme, hhost, {root_sql('hhost')} AS root FROM h6),
+seeds AS (SELECT root, arg_min(norm_url, page_id) AS seed_url FROM roots GROUP BY root),
+{parts_ctes('seeds', 'root, seed_url', 'seed_url', 's')},
+seeded AS (SELECT r.*, s6.seed_url, s6.shost AS start_host FROM roots r JOIN s6 USING (root))
+"""
+
+ORACLE["p3_internal"] = f"""
+WITH {_SEEDED}
+SELECT page_id, seed_url,
+  CASE WHEN hscheme NOT IN ('', 'http', 'https') THEN false WHEN {blocked_host_sql('hhost')} THEN false
+       WHEN hhost = '' THEN true WHEN hhost = lower(start_host) THEN true WHEN hhost = root THEN true ELSE false END AS internal,
+  CASE WHEN hscheme NOT IN ('', 'http', 'https') THEN false WHEN {blocked_host_sql('hhost')} THEN false
+       WHEN hhost = '' THEN true WHEN hhost = lower(start_host) THEN true WHEN hhost = root THEN true
+       WHEN ends_with(hhost, '.' || root) THEN true ELSE false END AS internal_sub
+FROM seeded
+"""
+
+ORACLE["p4_p5_filters"] = f"""
+WITH {norm_ctes('pages', 'page_id', 'url', 'norm_url')},
+{parts_ctes('n_out', 'page_id, norm_url', 'norm_url', 'h')},
+{parts_ctes('pages', 'page_id', 'url', 'r')}
+SELECT h6.page_id,
+  starts_with(CASE WHEN hpath = '' THEN '/' ELSE hpath END || CASE WHEN hquery <> '' THEN '?' || hquery ELSE '' END, '/en/')
+  OR starts_with(CASE WHEN hpath = '' THEN '/' ELSE hpath END || CASE WHEN hquery <> '' THEN '?' || hquery ELSE '' END, '/de/')
+    AS prefix_ok,
+  list_bool_or(list_transform(['.png', '.jpg', '.jpeg', '.gif', '.svg', '.ico', '.css', '.js', '.pdf', '.zip', '.tar', '.gz',
+                               '.rar', '.mp4', '.mp3', '.wav'], lambda e: ends_with(lower(rpath), e))) AS ignored_ext
+FROM h6 JOIN r6 USING (page_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.operators import lines
-from pagemill.session import table
+from pagemill.session import table, tune_session
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -15,7 +15,13 @@ QUERIES: dict[str, Query] = {}
 
 def register(name: str):
     def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune_session(spark)
+            return fn(spark, sf_dir)
+
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         return fn
 
     return deco
@@ -32,3 +38,98 @@ def a1_line_freq(spark: SparkSession, d: str) -> DataFrame:
 @register("a2_boilerplate")
 def a2_boilerplate(spark: SparkSession, d: str) -> DataFrame:
     return lines.boilerplate_filter(table(spark, d, "documents"), "doc_id", "text")
+
+
+# ---------------------------------------------------------------- step 1: URLs
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from pagemill.functions import text as T  # noqa: E402
+from pagemill.functions import urls as U  # noqa: E402
+
+# Fixed parameters of the example jobs (a user passes their own Config).
+EXAMPLE_PREFIXES = ("/en/", "/de/")
+
+
+def _pages(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    return table(spark, d, "pages").select(*(cols or ("page_id", "url", "html")))
+
+
+@register("u1_norm_url")
+def u1_norm_url(spark: SparkSession, d: str) -> DataFrame:
+    return U.with_normalized_url(_pages(spark, d, "page_id", "url"), "url", "norm_url")
+
+
+@register("x2_first_url")
+def x2_first_url(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct normalised URLs, keeping the first page (by page_id) of each."""
+    df = U.with_normalized_url(_pages(spark, d, "page_id", "url"), "url", "norm_url")
+    return df.groupBy("norm_url").agg(
+        F.min("page_id").alias("first_page_id"),
+        F.min_by("url", "page_id").alias("first_url"),
+        F.count(F.lit(1)).alias("n_copies"),
+    )
+
+
+@register("u4_root_domain")
+def u4_root_domain(spark: SparkSession, d: str) -> DataFrame:
+    df = U.with_url_parts(_pages(spark, d, "page_id", "url"), "url", "p_")
+    return df.select("page_id", F.col("p_host").alias("host"), U.root_domain("p_host").alias("root_domain"))
+
+
+@register("u5_host_path")
+def u5_host_path(spark: SparkSession, d: str) -> DataFrame:
+    df = U.with_normalized_url(_pages(spark, d, "page_id", "url"), "url", "norm_url")
+    df = df.withColumn("root", U.root_domain(F.lit("")))
+    return U.with_host_path(df, "norm_url", F.col("root")).select("page_id", "norm_url", "host", "path")
+
+
+@register("u6_public_url")
+def u6_public_url(spark: SparkSession, d: str) -> DataFrame:
+    df = U.with_public_url(_pages(spark, d, "page_id", "url"), "url", "safe_url", "reject_reason")
+    return df.select("page_id", "safe_url", "reject_reason")
+
+
+@register("u7_slug")
+def u7_slug(spark: SparkSession, d: str) -> DataFrame:
+    df = _pages(spark, d, "page_id", "url")
+    return df.select("page_id", T.slugify("url", "page").alias("slug"), T.slugify(F.lit("!!"), "document").alias("empty_slug"))
+
+
+@register("p2_blocked_url")
+def p2_blocked_url(spark: SparkSession, d: str) -> DataFrame:
+    df = U.with_url_parts(_pages(spark, d, "page_id", "url"), "url", "p_")
+    df = U.with_blocked_host(df, "p_host", "blocked_host")
+    df = U.with_blocked_url(df, "url", "blocked_url")
+    return df.select("page_id", "blocked_host", "blocked_url")
+
+
+def seeds_by_root(df: DataFrame) -> DataFrame:
+    """One crawl seed per root domain: the URL of its smallest page_id."""
+    return df.groupBy("root").agg(F.min_by("norm_url", "page_id").alias("seed_url")).select(
+        "root", "seed_url"
+    )
+
+
+def _with_seed(spark: SparkSession, d: str) -> DataFrame:
+    df = U.with_normalized_url(_pages(spark, d, "page_id", "url"), "url", "norm_url")
+    df = U.with_url_parts(df, "norm_url", "n_").withColumn("root", U.root_domain("n_host"))
+    seeds = seeds_by_root(df)
+    seeds = U.with_url_parts(seeds, "seed_url", "s_").select("root", "seed_url", F.col("s_host").alias("start_host"))
+    return df.select("page_id", "norm_url", "root").join(seeds, "root")
+
+
+@register("p3_internal")
+def p3_internal(spark: SparkSession, d: str) -> DataFrame:
+    df = _with_seed(spark, d)
+    df = U.with_internal(df, "norm_url", "start_host", "root", "internal")
+    df = U.with_internal(df, "norm_url", "start_host", "root", "internal_sub", include_subdomains=True)
+    return df.select("page_id", "seed_url", "internal", "internal_sub")
+
+
+@register("p4_p5_filters")
+def p4_p5_filters(spark: SparkSession, d: str) -> DataFrame:
+    df = U.with_normalized_url(_pages(spark, d, "page_id", "url"), "url", "norm_url")
+    df = U.with_path_prefix_match(df, "norm_url", "prefix_ok", EXAMPLE_PREFIXES)
+    df = U.with_ignored_extension(df, "url", "ignored_ext")
+    return df.select("page_id", "prefix_ok", "ignored_ext")

@@ -30,10 +30,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    tune_session(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
 
+# Optimizer rules that walk every join key's lineage; with the long projection chains of the
+# URL and HTML operators they cost minutes of planning and prune nothing (no partitioned tables).
+PLANNING_CONF = {
+    "spark.sql.optimizer.dynamicPartitionPruning.enabled": "false",
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "false",
+}
+
+
+def tune_session(spark: SparkSession) -> SparkSession:
+    for k, v in PLANNING_CONF.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder; set a scratch one only when none is configured.
 
