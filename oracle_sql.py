@@ -238,3 +238,168 @@ SELECT h6.page_id,
                                '.rar', '.mp4', '.mp3', '.wav'], lambda e: ends_with(lower(rpath), e))) AS ignored_ext
 FROM h6 JOIN r6 USING (page_id)
 """
+
+# ---------------------------------------------------------------- derived views (FIXTURES.md section 2)
+
+CAPTURES = """
+captures AS (
+SELECT p.page_id, p.url, CAST(a.attempt AS INTEGER) AS attempt,
+ CAST(CASE WHEN p.page_id % 10 = 0 AND a.attempt = 0 THEN 503 WHEN p.page_id % 10 = 1 THEN 404 WHEN p.page_id % 10 = 2 THEN 403
+      WHEN p.page_id % 10 = 3 THEN 429 WHEN p.page_id % 10 = 4 AND a.attempt < 2 THEN NULL ELSE 200 END AS INTEGER) AS status,
+ CASE WHEN p.page_id % 10 = 5 THEN 'application/pdf' WHEN p.page_id % 10 = 4 AND a.attempt < 2 THEN '' ELSE 'text/html; charset=utf-8' END AS content_type,
+ CASE WHEN p.page_id % 10 = 4 AND a.attempt < 2 THEN 'timeout' ELSE '' END AS failure,
+ CASE WHEN p.page_id % 25 = 7 THEN regexp_extract(p.url, '^(https?://[^/?#]+)', 1) || '/' ELSE p.url END AS final_url,
+ CAST(length(p.html) AS BIGINT) AS chars, CAST(50 + (p.page_id * 37 + a.attempt * 11) % 400 AS BIGINT) AS elapsed_ms
+FROM pages p CROSS JOIN (VALUES (0),(1),(2)) a(attempt)
+WHERE a.attempt = 0 OR (p.page_id % 10 = 0 AND a.attempt = 1) OR p.page_id % 10 IN (3, 4))
+"""
+
+ROBOTS = """
+robots AS (
+SELECT host, CASE k WHEN 0 THEN 'User-agent: *' || chr(10) || 'Disallow: /de/' || chr(10) || 'Disallow: /fr/' || chr(10) || 'Allow: /fr/'
+ WHEN 1 THEN 'User-agent: somebot' || chr(10) || 'Disallow: /' || chr(10) || '# note' || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /es/'
+ WHEN 2 THEN 'User-agent: *' || chr(10) || 'Disallow:' ELSE '' END AS content
+FROM (SELECT host, min(page_id) % 4 AS k FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages) x GROUP BY host) y)
+"""
+
+SITEMAPS = """
+sitemaps AS (
+SELECT host, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || string_agg('<url><loc> ' || replace(url, '&', '&amp;') || ' </loc></url>', '' ORDER BY page_id) || '</urlset>' AS content
+FROM (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages) x GROUP BY host)
+"""
+
+MAIL = """
+mail AS (
+SELECT conv_id, 'mail-' || CAST(conv_id AS VARCHAR) || '.mbox' AS filename, string_agg('From x@example.com' || chr(10) || 'From: ' || role || '@example.com' || chr(10) || 'To: kb@example.com' || chr(10) || 'Subject: Turn ' || CAST(turn AS VARCHAR) || chr(10) || chr(10) || replace(text, chr(10) || 'From ', chr(10) || '>From ') || chr(10), chr(10) ORDER BY turn) AS content
+FROM conversations GROUP BY conv_id)
+"""
+
+LINK_GRAPH = """
+link_graph AS (
+SELECT p.page_id AS src, CAST(t.pos AS INTEGER) AS pos, (p.page_id * 7 + t.pos * t.pos * 3 + 1) % n.n AS dst
+FROM pages p CROSS JOIN (VALUES (0),(1),(2),(3),(4)) t(pos) CROSS JOIN (SELECT count(*) AS n FROM pages) n)
+"""
+
+# ---------------------------------------------------------------- step 3: robots
+
+RULES = f"""
+{ROBOTS},
+rl0 AS (SELECT host, unnest(arr) AS raw, generate_subscripts(arr, 1) AS n FROM (SELECT host, {splitlines('content')} AS arr FROM robots)),
+rl1 AS (SELECT host, n, {strip('raw')} AS line FROM rl0),
+rl2 AS (SELECT host, n, line,
+          CASE WHEN starts_with(lower(line), 'user-agent:') THEN 'user-agent' WHEN starts_with(lower(line), 'disallow:') THEN 'disallow'
+               WHEN starts_with(lower(line), 'allow:') THEN 'allow' ELSE 'other' END AS field,
+          {strip("regexp_extract(line, '^[^:]*:(.*)$', 1)")} AS value
+        FROM rl1 WHERE line <> '' AND NOT starts_with(line, '#')),
+rl3 AS (SELECT *, coalesce(last(CASE WHEN field = 'user-agent' THEN lower(value) = '*' END IGNORE NULLS)
+                   OVER (PARTITION BY host ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS relevant FROM rl2),
+rl4 AS (SELECT host, n, CASE WHEN field = 'disallow' AND value = '' THEN '/' ELSE value END AS rule,
+               CASE WHEN field = 'disallow' THEN 1 ELSE -1 END AS d
+        FROM rl3 WHERE relevant AND field IN ('disallow', 'allow')),
+rl5 AS (SELECT *, sum(d) OVER (PARTITION BY host, rule ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM rl4),
+rules AS (SELECT host, rule, CAST(sum(d) - least(0, min(s)) AS INTEGER) AS copies FROM rl5 GROUP BY host, rule HAVING sum(d) - least(0, min(s)) > 0)
+"""
+
+ORACLE["w1_robots_rules"] = f"WITH {RULES} SELECT host, rule, copies FROM rules"
+
+_DISALLOWED = f"""
+{RULES},
+{norm_ctes('pages', 'page_id', 'url', 'norm_url')},
+{parts_ctes('n_out', 'page_id, norm_url', 'norm_url', 'h')},
+dis AS (SELECT page_id, norm_url, EXISTS (SELECT 1 FROM rules r WHERE r.host = h6.hhost AND
+          (r.rule = '/' OR starts_with(CASE WHEN h6.hpath = '' THEN '/' ELSE h6.hpath END, r.rule))) AS disallowed FROM h6)
+"""
+
+ORACLE["j1_robots_disallowed"] = f"WITH {_DISALLOWED} SELECT page_id, norm_url, disallowed FROM dis"
+
+_DECIDED = f"""
+{_DISALLOWED},
+seeds AS (SELECT {root_sql('hhost')} AS root, arg_min(norm_url, page_id) AS seed_url FROM h6 GROUP BY 1),
+{parts_ctes('seeds', 'root, seed_url', 'seed_url', 's')},
+dec AS (
+  SELECT h6.page_id, h6.norm_url, dis.disallowed,
+    list_bool_or(list_transform(['.png', '.jpg', '.jpeg', '.gif', '.svg', '.ico', '.css', '.js', '.pdf', '.zip', '.tar', '.gz',
+                 '.rar', '.mp4', '.mp3', '.wav'], lambda e: ends_with(lower(h6.hpath), e))) AS ignored_ext,
+    CASE WHEN h6.hscheme NOT IN ('', 'http', 'https') THEN false WHEN {blocked_host_sql('h6.hhost')} THEN false
+         WHEN h6.hhost = '' THEN true WHEN h6.hhost = lower(s6.shost) THEN true WHEN h6.hhost = s6.root THEN true ELSE false END AS internal,
+    (h6.hscheme NOT IN ('http', 'https') OR {blocked_host_sql('h6.hhost')}) AS blocked_url
+  FROM h6 JOIN dis USING (page_id) JOIN s6 ON s6.root = {root_sql('h6.hhost')})
+"""
+
+ORACLE["p7_url_decision"] = f"""
+WITH {_DECIDED}
+SELECT page_id, norm_url, reason = 'ok' AS allowed, reason FROM (
+  SELECT page_id, norm_url, CASE WHEN ignored_ext THEN 'ignored-extension' WHEN NOT internal THEN 'external'
+                                 WHEN disallowed THEN 'robots-disallowed' ELSE 'ok' END AS reason FROM dec)
+"""
+
+ORACLE["p9_can_visit"] = f"""
+WITH {_DECIDED}
+SELECT page_id, NOT blocked_url AND NOT ignored_ext AND internal AND NOT disallowed AS can_visit,
+  CASE WHEN blocked_url THEN 'blocked-host' WHEN disallowed THEN 'robots-disallowed' ELSE '' END AS error_reason,
+  (NOT blocked_url AND disallowed) AS has_diagnostic
+FROM dec
+"""
+
+# ---------------------------------------------------------------- step 4: fetch log
+
+_CLASSIFIED = f"""
+{CAPTURES},
+cls AS (SELECT *,
+  CASE WHEN failure = 'timeout' THEN 'timeout' WHEN failure <> '' THEN 'http-error'
+       WHEN status >= 400 THEN CASE WHEN status IN (401, 403, 429) THEN 'blocked' ELSE 'http-error' END
+       WHEN NOT (contains(lower(coalesce(content_type, '')), 'text/html') OR contains(lower(coalesce(content_type, '')), 'application/xhtml+xml')) THEN 'non-html'
+       ELSE 'ok' END AS reason,
+  coalesce((status IN (408, 425, 429, 500, 502, 503, 504) OR failure <> '') AND attempt < 2, false) AS retryable
+FROM captures),
+last_ AS (SELECT page_id, arg_max(attempt, attempt) AS attempt, arg_max(status, attempt) AS status, arg_max(reason, attempt) AS reason,
+                 arg_max(url, attempt) AS url, arg_max(final_url, attempt) AS final_url, arg_max(content_type, attempt) AS content_type,
+                 arg_max(chars, attempt) AS chars, arg_max(elapsed_ms, attempt) AS elapsed_ms, count(*) AS attempts
+          FROM cls GROUP BY page_id),
+diag AS (SELECT page_id, url, CASE WHEN reason = 'timeout' THEN url ELSE final_url END AS final_url,
+                coalesce(CAST(status AS VARCHAR), '') AS status, CASE WHEN reason = 'timeout' THEN '' ELSE content_type END AS content_type,
+                CAST(CASE WHEN reason = 'timeout' THEN 0 ELSE chars END AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS extracted_chars,
+                elapsed_ms, reason, 'http' AS renderer, '' AS error FROM last_)
+"""
+
+ORACLE["f1_outcome"] = f"""
+WITH {_CLASSIFIED}
+SELECT page_id, attempt, contains(lower(coalesce(content_type, '')), 'text/html') OR contains(lower(coalesce(content_type, '')), 'application/xhtml+xml') AS is_html,
+       reason, retryable FROM cls
+"""
+
+ORACLE["f3_backoff"] = f"""
+WITH {_CLASSIFIED}
+SELECT page_id, url, attempt + 1 AS next_attempt, 0.5 * pow(2.0, attempt) AS delay_s FROM cls WHERE retryable
+"""
+
+ORACLE["w3_last_attempt"] = f"""
+WITH {_CLASSIFIED},
+chk AS (SELECT page_id, bool_and(CASE WHEN attempt < mx THEN retryable ELSE true END) AS consistent
+        FROM (SELECT *, max(attempt) OVER (PARTITION BY page_id) AS mx FROM cls) GROUP BY page_id)
+SELECT page_id, attempt, status, reason, attempts, consistent FROM last_ JOIN chk USING (page_id)
+"""
+
+ORACLE["f5_diagnostics"] = f"WITH {_CLASSIFIED} SELECT * FROM diag"
+
+ORACLE["f6_errors"] = f"""
+WITH {_CLASSIFIED}
+SELECT page_id, url, reason, CASE WHEN reason = 'timeout' THEN '' ELSE status END AS status FROM diag WHERE reason <> 'ok'
+"""
+
+ORACLE["a9_by_reason"] = f"""
+WITH {_CLASSIFIED}
+SELECT reason, renderer, count(*) AS n, sum(elapsed_ms) AS total_elapsed_ms, max(elapsed_ms) AS max_elapsed_ms FROM diag GROUP BY ALL
+"""
+
+ORACLE["f4_variant"] = f"""
+WITH {_CLASSIFIED}
+SELECT page_id, arg_max(attempt, attempt) AS attempt, 'http' AS renderer, arg_max(reason, attempt) AS reason, arg_max(chars, attempt) AS chars
+FROM cls WHERE reason = 'ok' GROUP BY page_id
+"""
+
+ORACLE["w2_latest_diag"] = f"""
+WITH {_CLASSIFIED}
+SELECT final_url, page_id, reason FROM (
+  SELECT *, row_number() OVER (PARTITION BY final_url ORDER BY page_id DESC) AS rn FROM diag) WHERE rn = 1
+"""

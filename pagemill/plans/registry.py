@@ -133,3 +133,106 @@ def p4_p5_filters(spark: SparkSession, d: str) -> DataFrame:
     df = U.with_path_prefix_match(df, "norm_url", "prefix_ok", EXAMPLE_PREFIXES)
     df = U.with_ignored_extension(df, "url", "ignored_ext")
     return df.select("page_id", "prefix_ok", "ignored_ext")
+
+
+# ---------------------------------------------------------------- step 3: robots
+
+from pagemill.operators import fetchlog as FL  # noqa: E402
+from pagemill.operators import robots as RB  # noqa: E402
+from pagemill.sources import fixtures as FX  # noqa: E402
+
+
+@register("w1_robots_rules")
+def w1_robots_rules(spark: SparkSession, d: str) -> DataFrame:
+    return RB.robots_rules(FX.robots(spark, d))
+
+
+@register("j1_robots_disallowed")
+def j1_robots_disallowed(spark: SparkSession, d: str) -> DataFrame:
+    df = U.with_normalized_url(_pages(spark, d, "page_id", "url"), "url", "norm_url")
+    rules = RB.robots_rules(FX.robots(spark, d))
+    return RB.with_robots_disallowed(df, rules, "norm_url", "disallowed").select("page_id", "norm_url", "disallowed")
+
+
+def url_decisions(spark: SparkSession, d: str, prefixes=()) -> DataFrame:
+    """P7 / P9 for every page URL against the seed of its root domain."""
+    df = _with_seed(spark, d)
+    df = U.with_ignored_extension(df, "norm_url", "ignored_ext")
+    df = U.with_internal(df, "norm_url", "start_host", "root", "internal")
+    df = U.with_path_prefix_match(df, "norm_url", "prefix_ok", prefixes)
+    df = RB.with_robots_disallowed(df, RB.robots_rules(FX.robots(spark, d)), "norm_url", "robots_disallowed")
+    return U.with_blocked_url(df, "norm_url", "blocked_url")
+
+
+@register("p7_url_decision")
+def p7_url_decision(spark: SparkSession, d: str) -> DataFrame:
+    df = url_decisions(spark, d)
+    reason = (
+        F.when(F.col("ignored_ext"), "ignored-extension")
+        .when(~F.col("internal"), "external")
+        .when(~F.col("prefix_ok"), "path-prefix")
+        .when(F.col("robots_disallowed"), "robots-disallowed")
+        .otherwise("ok")
+    )
+    return df.select("page_id", "norm_url", (reason == "ok").alias("allowed"), reason.alias("reason"))
+
+
+@register("p9_can_visit")
+def p9_can_visit(spark: SparkSession, d: str) -> DataFrame:
+    df = url_decisions(spark, d)
+    error = F.when(F.col("blocked_url"), "blocked-host").when(F.col("robots_disallowed"), "robots-disallowed").otherwise("")
+    allowed = ~F.col("ignored_ext") & F.col("internal") & F.col("prefix_ok") & ~F.col("robots_disallowed")
+    return df.select(
+        "page_id",
+        (~F.col("blocked_url") & allowed).alias("can_visit"),
+        error.alias("error_reason"),
+        (error == "robots-disallowed").alias("has_diagnostic"),
+    )
+
+
+# ---------------------------------------------------------------- step 4: fetch log
+
+
+@register("f1_outcome")
+def f1_outcome(spark: SparkSession, d: str) -> DataFrame:
+    c = FL.classify(FX.captures(spark, d))
+    return c.select("page_id", "attempt", FL.is_html("content_type").alias("is_html"), "reason", "retryable")
+
+
+@register("f3_backoff")
+def f3_backoff(spark: SparkSession, d: str) -> DataFrame:
+    return FL.backoff_plan(FX.captures(spark, d))
+
+
+@register("w3_last_attempt")
+def w3_last_attempt(spark: SparkSession, d: str) -> DataFrame:
+    last = FL.last_attempts(FX.captures(spark, d))
+    chk = FL.retries_consistent(FX.captures(spark, d))
+    return last.select("page_id", "attempt", "status", "reason", "attempts").join(chk.select("page_id", "consistent"), "page_id")
+
+
+@register("f5_diagnostics")
+def f5_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return FL.diagnostics(FX.captures(spark, d))
+
+
+@register("f6_errors")
+def f6_errors(spark: SparkSession, d: str) -> DataFrame:
+    return FL.errors(FL.diagnostics(FX.captures(spark, d)))
+
+
+@register("a9_by_reason")
+def a9_by_reason(spark: SparkSession, d: str) -> DataFrame:
+    return FL.by_reason(FL.diagnostics(FX.captures(spark, d)))
+
+
+@register("f4_variant")
+def f4_variant(spark: SparkSession, d: str) -> DataFrame:
+    v = FL.best_variant(FX.captures(spark, d), "auto", 600)
+    return v.select("page_id", "attempt", "renderer", "reason", "chars")
+
+
+@register("w2_latest_diag")
+def w2_latest_diag(spark: SparkSession, d: str) -> DataFrame:
+    diag = FL.diagnostics(FX.captures(spark, d)).withColumn("seq", F.col("page_id"))
+    return FL.latest_diagnostic(diag, "final_url", "seq").select("final_url", "page_id", "reason")
