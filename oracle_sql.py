@@ -403,3 +403,31 @@ WITH {_CLASSIFIED}
 SELECT final_url, page_id, reason FROM (
   SELECT *, row_number() OVER (PARTITION BY final_url ORDER BY page_id DESC) AS rn FROM diag) WHERE rn = 1
 """
+
+# ---------------------------------------------------------------- steps 2 + 5: HTML (regular markup of the fixture)
+
+
+def unescape_sql(x: str) -> str:
+    s = f"replace(replace(replace({x}, '&quot;', '\"'), '&copy;', chr(169)), '&middot;', chr(183))"
+    return f"regexp_replace({s}, '&amp;?', '&', 'g')"
+
+
+ORACLE["h3_title"] = f"""
+SELECT page_id, {strip(unescape_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)"))} AS title FROM pages
+"""
+
+ORACLE["h4_main_text"] = f"""
+WITH a AS (SELECT page_id, unnest(string_split_regex(regexp_extract(html, '<article>(.*)</article>', 1), '<[^>]*>')) AS raw,
+                  generate_subscripts(string_split_regex(regexp_extract(html, '<article>(.*)</article>', 1), '<[^>]*>'), 1) AS k
+           FROM pages),
+s AS (SELECT page_id, k, {strip(unescape_sql('raw'))} AS s FROM a)
+SELECT page_id, string_agg(s, ' ' ORDER BY k) AS main_text FROM s WHERE s <> '' GROUP BY page_id
+"""
+
+ORACLE["g1_links"] = f"""
+WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href,
+                  CAST(generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 AS INTEGER) AS pos FROM pages),
+j AS (SELECT page_id, pos, {unescape_sql('href')} AS href, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || {unescape_sql('href')} AS absu FROM a),
+{norm_ctes('j', 'page_id, pos', 'absu', 'dst_url')}
+SELECT j.page_id, j.pos, j.href, n.dst_url FROM j JOIN n_out n USING (page_id, pos)
+"""

@@ -466,3 +466,76 @@ def with_ignored_extension(df: DataFrame, url: str, out: str) -> DataFrame:
     df = with_url_parts(df, url, t)
     df = df.withColumn(out, ignored_extension(t + "path"))
     return df.drop(*[c for c in df.columns if c.startswith(t)])
+
+
+# ------------------------------------------------------------------ U3
+
+
+# Schemes that resolve relative references (Python's uses_relative).
+USES_RELATIVE = (
+    "", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms",
+    "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss",
+)
+USES_NETLOC = (
+    "", "ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file", "mms", "https", "shttp",
+    "snews", "prospero", "rtsp", "rtsps", "rtspu", "rsync", "svn", "svn+ssh", "sftp", "nfs", "git",
+    "git+ssh", "ws", "wss", "itms-services",
+)
+
+
+def _resolve_dots(segments: Column) -> Column:
+    empty = F.array().cast("array<string>")
+    resolved = F.aggregate(
+        segments,
+        empty,
+        lambda acc, s: F.when(s == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc))
+        .when(s == ".", acc)
+        .otherwise(F.concat(acc, F.array(s))),
+    )
+    last = F.element_at(segments, -1)
+    return F.when(last.isin(".", ".."), F.concat(resolved, F.array(F.lit("")))).otherwise(resolved)
+
+
+def with_urljoin(df: DataFrame, base: str, href: str, out: str) -> DataFrame:
+    """``urljoin(base, href)`` (RFC 3986 merge and dot-segment removal as Python does it)."""
+    t = _tmp()
+    df = with_url_parts(df, base, t + "b_")
+    df = with_url_parts(df, href, t + "h_")
+    b = lambda k: F.col(f"{t}b_{k}")
+    h = lambda k: F.col(f"{t}h_{k}")
+    df = df.withColumn(t + "s", F.when(h("scheme") != "", h("scheme")).otherwise(b("scheme")))
+    s = F.col(t + "s")
+    base_parts = F.split(b("path"), "/", -1)
+    base_parts = F.when(F.element_at(base_parts, -1) != "", F.slice(base_parts, 1, F.size(base_parts) - 1)).otherwise(base_parts)
+    rel = F.concat(base_parts, F.split(h("path"), "/", -1))
+    n = F.size(rel)
+    rel = F.when(
+        n > 2,
+        F.concat(F.slice(rel, 1, 1), F.filter(F.slice(rel, 2, F.greatest(n - 2, F.lit(1))), lambda x: x != ""), F.slice(rel, -1, 1)),
+    ).otherwise(rel)
+    segments = F.when(h("path").startswith("/"), F.split(h("path"), "/", -1)).otherwise(rel)
+    df = df.withColumn(t + "seg", _resolve_dots(segments))
+    merged = F.coalesce(nonempty(F.array_join(F.col(t + "seg"), "/")), F.lit("/"))
+
+    def with_params(path: Column, params: Column) -> Column:
+        return F.when(params != "", F.concat(path, F.lit(";"), params)).otherwise(path)
+
+    def with_frag(u: Column) -> Column:
+        return F.when(h("fragment") != "", F.concat(u, F.lit("#"), h("fragment"))).otherwise(u)
+
+    no_path = (h("path") == "") & (h("params") == "")
+    joined = (
+        F.when((s != b("scheme")) | ~s.isin(*USES_RELATIVE), F.col(href))
+        .when(s.isin(*USES_NETLOC) & (h("netloc") != ""), with_frag(_unsplit(s, h("netloc"), with_params(h("path"), h("params")), h("query"))))
+        .when(
+            no_path,
+            with_frag(_unsplit(s, b("netloc"), with_params(b("path"), b("params")), F.when(h("query") != "", h("query")).otherwise(b("query")))),
+        )
+        .otherwise(with_frag(_unsplit(s, b("netloc"), with_params(merged, h("params")), h("query"))))
+    )
+    src_b, src_h = F.col(base), F.col(href)
+    df = df.withColumn(
+        out,
+        F.when(F.coalesce(src_b, F.lit("")) == "", src_h).when(F.coalesce(src_h, F.lit("")) == "", src_b).otherwise(joined),
+    )
+    return df.drop(*[c for c in df.columns if c.startswith(t)])

@@ -236,3 +236,55 @@ def f4_variant(spark: SparkSession, d: str) -> DataFrame:
 def w2_latest_diag(spark: SparkSession, d: str) -> DataFrame:
     diag = FL.diagnostics(FX.captures(spark, d)).withColumn("seq", F.col("page_id"))
     return FL.latest_diagnostic(diag, "final_url", "seq").select("final_url", "page_id", "reason")
+
+
+# ---------------------------------------------------------------- steps 2 + 5: HTML
+
+from pagemill.operators import extract as X  # noqa: E402
+from pagemill.operators import links as LK  # noqa: E402
+from pagemill.plans import pages as PG  # noqa: E402
+
+
+def _nodes(spark: SparkSession, d: str, profile: str = "crawl") -> DataFrame:
+    return PG.node_table(_pages(spark, d, "page_id", "html"), profile)
+
+
+@register("h3_title")
+def h3_title(spark: SparkSession, d: str) -> DataFrame:
+    return X.titles(_nodes(spark, d))
+
+
+@register("h1_h2_noise")
+def h1_h2_noise(spark: SparkSession, d: str) -> DataFrame:
+    n = _nodes(spark, d).where(F.col("kind") == "t")
+    return n.groupBy("page_id").agg(
+        F.count_if(~F.col("removed")).alias("kept_text_nodes"), F.count_if(F.col("removed")).alias("removed_text_nodes")
+    )
+
+
+@register("h4_main_text")
+def h4_main_text(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _nodes(spark, d)
+    area = X.content_area(nodes, "crawl", readability=False)
+    return X.main_text(nodes, area)
+
+
+@register("a11_largest_div")
+def a11_largest_div(spark: SparkSession, d: str) -> DataFrame:
+    return X.largest_div(_nodes(spark, d))
+
+
+@register("h6_readability")
+def h6_readability(spark: SparkSession, d: str) -> DataFrame:
+    return X.readability_candidates(_nodes(spark, d), 600)
+
+
+@register("g1_links")
+def g1_links(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d, "page_id", "url", "html")
+    return LK.links(PG.node_table(pages), pages)
+
+
+@register("h8_markdown")
+def h8_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return PG.page_records(_pages(spark, d))

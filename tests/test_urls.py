@@ -82,3 +82,17 @@ def test_blocked_url_and_public(spark):
     assert rows["ftp://x.com"]["why"] == "Only http(s) URLs are allowed."
     assert rows["example.com/a"]["safe"] == "https://example.com/a"
     assert rows["http://127.0.0.1/secret"]["why"] == "Target host is not allowed."
+
+
+def test_urljoin_matches_python(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.com/b/c/d;p?q", "https://x.org", "https://x.org/dir/", "http://h.com/a/b"]
+    hrefs = ["g", "./g", "g/", "/g", "//g.com/x", "?y", "g?y", "#s", "g#s", "", ".", "./", "..", "../", "../g",
+             "../..", "../../g", "../../../g", "/./g", "/../g", "g.", ".g", "g..", "..g", "./../g", "./g/.", "g/./h",
+             "g/../h", "g;x=1/./y", "g;x=1/../y", "http:g", "ftp://o.org/x", "mailto:a@b", "a//b/../c", "/a//b/"]
+    rows = [(b, h) for b in bases for h in hrefs]
+    df = spark.createDataFrame(rows, "b string, h string")
+    got = urls.with_urljoin(df, "b", "h", "j").collect()
+    for r in got:
+        assert r["j"] == urljoin(r["b"], r["h"]), (r["b"], r["h"], r["j"], urljoin(r["b"], r["h"]))
