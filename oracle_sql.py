@@ -431,3 +431,112 @@ j AS (SELECT page_id, pos, {unescape_sql('href')} AS href, regexp_extract(url, '
 {norm_ctes('j', 'page_id, pos', 'absu', 'dst_url')}
 SELECT j.page_id, j.pos, j.href, n.dst_url FROM j JOIN n_out n USING (page_id, pos)
 """
+
+# ---------------------------------------------------------------- step 8: exports over SQL-expressible records
+
+RECORDS = f"""
+t3 AS ({ORACLE['h3_title'].strip()}),
+m4 AS ({ORACLE['h4_main_text'].strip()}),
+{norm_ctes('pages', 'page_id', 'url', 'norm_url')},
+{parts_ctes('n_out', 'page_id, norm_url', 'norm_url', 'h')},
+recs AS (
+  SELECT CAST(h6.page_id AS BIGINT) AS ord, h6.norm_url AS url, hhost AS host,
+         CASE WHEN hpath = '' THEN '/' ELSE hpath END || CASE WHEN hquery <> '' THEN '?' || hquery ELSE '' END AS path,
+         coalesce(nullif(t3.title, ''), h6.norm_url) AS title, coalesce(m4.main_text, '') || chr(10) AS markdown
+  FROM h6 LEFT JOIN t3 USING (page_id) LEFT JOIN m4 USING (page_id))
+"""
+
+
+def _nz(*xs: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif({x}, '')" for x in xs) + ")"
+
+
+FILES = f"""
+files AS (SELECT *, coalesce(host, '') || '__' || {slug_sql(_nz('title', 'path', 'url'), 'page')} || '.md' AS filename FROM recs)
+"""
+
+ORACLE["s11_files"] = f"WITH {RECORDS}, {FILES} SELECT filename, coalesce(markdown, '') AS content FROM files"
+
+ORACLE["s15_preview"] = f"WITH {RECORDS}, {FILES} SELECT ord AS id, url, host, path, title, filename AS suggested_filename FROM files"
+
+ORACLE["p12_search"] = f"""
+WITH {RECORDS}, {FILES}
+SELECT ord AS id, url, host, path, title, filename AS suggested_filename, coalesce(nullif(host, ''), 'Unknown host') AS host_label
+FROM files WHERE contains(lower(concat_ws(' ', coalesce(title, ''), coalesce(path, ''), coalesce(url, ''))), 'the')
+"""
+
+ORACLE["x3_hosts"] = f"WITH {RECORDS} SELECT DISTINCT coalesce(nullif(host, ''), 'Unknown host') AS host FROM recs"
+
+ORACLE["a6_pages_per_host"] = f"""
+WITH {RECORDS} SELECT coalesce(nullif(host, ''), 'Unknown host') AS host, count(*) AS pages, min(ord) AS first_ord FROM recs GROUP BY 1
+"""
+
+_SEL = f"""
+{RECORDS},
+sel AS (SELECT *, contains(lower(concat_ws(' ', coalesce(title, ''), coalesce(path, ''), coalesce(url, ''))), 'the') AS selected FROM recs)
+"""
+
+ORACLE["a8_selection"] = f"""
+WITH {_SEL}
+SELECT coalesce(nullif(host, ''), 'Unknown host') AS host, count(*) AS total, count_if(selected) AS selected,
+       bool_and(selected) AS all_selected, bool_or(selected) AS some_selected FROM sel GROUP BY 1
+UNION ALL
+SELECT NULL AS host, count(*), count_if(selected), bool_and(selected), bool_or(selected) FROM sel
+"""
+
+ORACLE["s16_selected"] = f"""
+WITH {_SEL}
+SELECT coalesce(host, '') || '__' || {slug_sql(_nz('title', 'path', 'url'), 'page')} || '.md' AS filename, coalesce(markdown, '') AS content
+FROM sel WHERE url IN (SELECT url FROM sel WHERE selected)
+"""
+
+ORACLE["a4_run_summary"] = f"""
+WITH {RECORDS}, {_CLASSIFIED},
+errs AS (SELECT count(*) AS errors_count FROM diag WHERE reason <> 'ok')
+SELECT count(*) AS pages_count, CAST(coalesce(sum(length(markdown)), 0) AS BIGINT) AS total_chars,
+       count_if(length({strip('markdown')}) < 200) AS thin_pages_count, (SELECT errors_count FROM errs) AS errors_count,
+       CAST(0 AS BIGINT) AS skipped_links, false AS timed_out,
+       count(*) > 0 AND coalesce(sum(length(markdown)), 0) >= 500 AS accepted, count(*) > 0 AS preview_ok
+FROM recs
+"""
+
+ORACLE["s10_grouped"] = f"""
+WITH {RECORDS},
+f AS (SELECT coalesce(host, '') AS h, min(ord) AS first FROM recs GROUP BY 1),
+r AS (SELECT recs.*, f.h, f.first, ord = f.first AS is_first, (SELECT min(ord) FROM recs) AS top FROM recs JOIN f ON coalesce(recs.host, '') = f.h)
+SELECT first AS host_rank, ord,
+  CASE WHEN ord = top THEN '# ' || h || chr(10) || chr(10) WHEN is_first THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) || '# ' || h || chr(10) || chr(10)
+       ELSE chr(10) || chr(10) END
+  || '## ' || coalesce({_nz('title', 'path', 'url')}, 'Page') || chr(10) || chr(10) || coalesce(markdown, '') || chr(10) AS text
+FROM r
+"""
+
+ORACLE["s12_index"] = f"""
+WITH {RECORDS}, {FILES},
+r AS (SELECT *, coalesce(host, '') AS h FROM files)
+SELECT 0 AS k, '' AS host, CAST(-2 AS BIGINT) AS ord, '# Index' AS line
+UNION ALL SELECT 0, '', CAST(-1 AS BIGINT), ''
+UNION ALL SELECT DISTINCT 1, h, CAST(-1 AS BIGINT), '## ' || h FROM r
+UNION ALL SELECT 1, h, ord, '- [' || {_nz('title', 'path', 'url', 'filename')} || '](' || filename || ')' FROM r WHERE coalesce(filename, '') <> ''
+UNION ALL SELECT DISTINCT 1, h, CAST(4611686018427387904 AS BIGINT), '' FROM r
+"""
+
+ORACLE["a7_combined"] = f"""
+WITH {RECORDS}, {_CLASSIFIED},
+errs AS (SELECT page_id AS seq, url, reason, CASE WHEN reason = 'timeout' THEN '' ELSE status END AS status FROM diag WHERE reason <> 'ok'),
+first20 AS (SELECT * FROM errs ORDER BY seq LIMIT 20),
+head AS (SELECT '<!-- Crawl summary:' || chr(10) || 'Total pages: ' || (SELECT count(*) FROM recs) || chr(10) || 'Skipped links: 0' || chr(10)
+               || 'Errors: ' || (SELECT count(*) FROM errs) || chr(10)
+               || coalesce((SELECT string_agg('  - ' || url || ' (' || reason || CASE WHEN coalesce(status, '') <> '' THEN ' ' || status ELSE '' END || ')', chr(10) ORDER BY seq) FROM first20) || chr(10), '')
+               || '-->' AS text),
+hh AS (SELECT recs.*, coalesce(nullif(host, ''), 'unknown host') AS h FROM recs),
+f AS (SELECT h, min(ord) AS first FROM hh GROUP BY h),
+r AS (SELECT hh.*, ord = f.first AS is_first, (SELECT min(h) FROM hh) AS top FROM hh JOIN f USING (h)),
+sec AS (SELECT *, '## ' || {_nz('title', 'path', 'url')} || chr(10) || chr(10) || {rstrip("coalesce(markdown, '')")} || chr(10) AS s FROM r)
+SELECT 0 AS section, '' AS host, CAST(0 AS BIGINT) AS ord, text FROM head
+UNION ALL
+SELECT 1, h, ord, CASE WHEN is_first THEN (CASE WHEN h = top THEN chr(10) || chr(10) ELSE chr(10) || chr(10) || '---' || chr(10) || chr(10) END)
+                                     || '# ' || h || chr(10) || chr(10) || s ELSE chr(10) || chr(10) || s END FROM sec
+UNION ALL
+SELECT 2, '', CAST(0 AS BIGINT), chr(10) FROM (SELECT count(*) AS c FROM recs) WHERE c = 0
+"""

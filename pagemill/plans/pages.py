@@ -21,7 +21,7 @@ def node_table(pages: DataFrame, profile: str = "crawl", checkpoint: bool = True
 
 
 def page_records(pages: DataFrame, cfg: Config = Config(), profile: str = "crawl", nodes: DataFrame | None = None,
-                 url_col: str = "url", renderer: str = "http") -> DataFrame:
+                 url_col: str = "url", renderer: str = "http", checkpoint: bool = True) -> DataFrame:
     """(page_id, url, host, path, title, markdown, clean_text_chars, used_readability, renderer).
 
     Title falls back to the URL; pages without content keep Markdown ``"\\n"``."""
@@ -35,7 +35,7 @@ def page_records(pages: DataFrame, cfg: Config = Config(), profile: str = "crawl
     df = base.join(title, "page_id", "left").join(md, "page_id", "left").join(area.select("page_id", "used_readability"), "page_id", "left")
     df = with_host_path(df, "url", None)
     markdown = F.coalesce(F.col("markdown"), postprocess_markdown(F.lit("")))
-    return df.select(
+    recs = df.select(
         "page_id",
         "url",
         "host",
@@ -46,3 +46,4 @@ def page_records(pages: DataFrame, cfg: Config = Config(), profile: str = "crawl
         F.coalesce(F.col("used_readability"), F.lit(False)).alias("used_readability"),
         F.lit(renderer).alias("renderer"),
     )
+    return cut_lineage(recs) if checkpoint else recs

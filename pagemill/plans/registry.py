@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.operators import lines
-from pagemill.session import table, tune_session
+from pagemill.session import cut_lineage, table, tune_session
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -288,3 +288,101 @@ def g1_links(spark: SparkSession, d: str) -> DataFrame:
 @register("h8_markdown")
 def h8_markdown(spark: SparkSession, d: str) -> DataFrame:
     return PG.page_records(_pages(spark, d))
+
+
+# ---------------------------------------------------------------- step 8: exports
+
+from pagemill.functions.text import nonempty  # noqa: E402
+from pagemill.operators import export as EX  # noqa: E402
+
+
+def simple_records(spark: SparkSession, d: str) -> DataFrame:
+    """Page records whose body is the main text (H4) and title H3: every column SQL-expressible,
+    so the exports below are checked against DuckDB. ``ord`` = page_id."""
+    pages = _pages(spark, d, "page_id", "url", "html")
+    nodes = PG.node_table(pages)
+    area = X.content_area(nodes, "crawl", readability=False)
+    body = X.main_text(nodes, area)
+    df = U.with_normalized_url(pages.select("page_id", "url"), "url", "norm_url")
+    df = df.join(X.titles(nodes), "page_id", "left").join(body, "page_id", "left")
+    df = U.with_host_path(df.drop("url").withColumnRenamed("norm_url", "url"), "url", None)
+    recs = df.select(
+        F.col("page_id").cast("bigint").alias("ord"),
+        "url",
+        "host",
+        "path",
+        F.coalesce(nonempty("title"), F.col("url")).alias("title"),
+        F.concat(F.coalesce(F.col("main_text"), F.lit("")), F.lit("\n")).alias("markdown"),
+    )
+    # a written table, as page records are for every export: later plans start from a scan
+    return cut_lineage(recs)
+
+
+def _errors(spark: SparkSession, d: str) -> DataFrame:
+    return FL.errors(FL.diagnostics(FX.captures(spark, d))).withColumn("seq", F.col("page_id"))
+
+
+@register("a7_combined")
+def a7_combined(spark: SparkSession, d: str) -> DataFrame:
+    recs = simple_records(spark, d)
+    header = EX.summary_header(recs, _errors(spark, d), 0)
+    return EX.combined_parts(recs, header)
+
+
+@register("s10_grouped")
+def s10_grouped(spark: SparkSession, d: str) -> DataFrame:
+    return EX.grouped_parts(simple_records(spark, d))
+
+
+@register("s12_index")
+def s12_index(spark: SparkSession, d: str) -> DataFrame:
+    return EX.index_lines(EX.with_file_names(simple_records(spark, d)))
+
+
+@register("s11_files")
+def s11_files(spark: SparkSession, d: str) -> DataFrame:
+    return EX.bundle_files(simple_records(spark, d))
+
+
+@register("s15_preview")
+def s15_preview(spark: SparkSession, d: str) -> DataFrame:
+    return EX.preview(simple_records(spark, d))
+
+
+@register("p12_search")
+def p12_search(spark: SparkSession, d: str) -> DataFrame:
+    return EX.search(EX.preview(simple_records(spark, d)), "The", "all")
+
+
+@register("x3_hosts")
+def x3_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return EX.hosts_sorted(simple_records(spark, d))
+
+
+@register("a6_pages_per_host")
+def a6_pages_per_host(spark: SparkSession, d: str) -> DataFrame:
+    return EX.pages_per_host(simple_records(spark, d))
+
+
+def _selection(spark: SparkSession, d: str) -> DataFrame:
+    """The pages a user selects: those the search 'the' finds."""
+    recs = simple_records(spark, d)
+    hits = EX.search(EX.preview(recs), "the", "all").select(F.col("id").alias("ord"), F.lit(True).alias("hit"))
+    return recs.join(hits, "ord", "left").withColumn("selected", F.coalesce("hit", F.lit(False))).drop("hit")
+
+
+@register("a8_selection")
+def a8_selection(spark: SparkSession, d: str) -> DataFrame:
+    return EX.selection_counts(_selection(spark, d))
+
+
+@register("s16_selected")
+def s16_selected(spark: SparkSession, d: str) -> DataFrame:
+    sel = _selection(spark, d)
+    chosen = EX.selected_pages(sel.drop("selected"), sel.where("selected").select("url"))
+    return EX.bundle_files(chosen)
+
+
+@register("a4_run_summary")
+def a4_run_summary(spark: SparkSession, d: str) -> DataFrame:
+    return EX.run_summary(simple_records(spark, d), _errors(spark, d), 0)
