@@ -540,3 +540,24 @@ SELECT 1, h, ord, CASE WHEN is_first THEN (CASE WHEN h = top THEN chr(10) || chr
 UNION ALL
 SELECT 2, '', CAST(0 AS BIGINT), chr(10) FROM (SELECT count(*) AS c FROM recs) WHERE c = 0
 """
+
+# ---------------------------------------------------------------- step 6: crawl + sitemaps
+
+ORACLE["g2_bfs"] = f"""
+WITH RECURSIVE {LINK_GRAPH},
+r(node, depth) AS (SELECT (SELECT min(page_id) FROM pages), 0
+                   UNION SELECT e.dst, r.depth + 1 FROM r JOIN link_graph e ON e.src = r.node WHERE r.depth < 3)
+SELECT node AS page_id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node
+"""
+
+_SM = f"""
+{SITEMAPS},
+e AS (SELECT host, unnest(regexp_extract_all(content, '<loc>([^<]*)</loc>', 1)) AS raw,
+             CAST(generate_subscripts(regexp_extract_all(content, '<loc>([^<]*)</loc>', 1), 1) - 1 AS INTEGER) AS pos FROM sitemaps),
+e2 AS (SELECT host, 'url' AS kind, pos, {strip("replace(raw, '&amp;', '&')")} AS loc FROM e)
+"""
+
+ORACLE["s2_sitemap_urls"] = f"""
+WITH {_SM}, {norm_ctes('e2', 'host, pos', 'loc', 'norm_url')}
+SELECT e2.host, e2.kind, e2.pos, e2.loc, n.norm_url FROM e2 JOIN n_out n USING (host, pos)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from pagemill.operators import lines
 from pagemill.session import cut_lineage, table, tune_session
@@ -386,3 +386,69 @@ def s16_selected(spark: SparkSession, d: str) -> DataFrame:
 @register("a4_run_summary")
 def a4_run_summary(spark: SparkSession, d: str) -> DataFrame:
     return EX.run_summary(simple_records(spark, d), _errors(spark, d), 0)
+
+
+# ---------------------------------------------------------------- step 6: crawl (G2-G6, J2, J3, J8, W5, O3, A10) + sitemaps
+
+from pagemill.plans import crawl as CR  # noqa: E402
+from pagemill.sources import sitemap as SM  # noqa: E402
+
+CRAWL = dict(max_depth=3, max_pages=500)  # the service's defaults after its clamps (depth 3, pages <= 500)
+
+
+def _crawl(spark: SparkSession, d: str):
+    edges = FX.link_graph(spark, d)
+    pages = _pages(spark, d, "page_id")
+    seeds = pages.agg(F.min("page_id").alias("node"))  # the crawl starts at the first page
+    return CR.bfs(edges, seeds, CRAWL["max_depth"], CRAWL["max_pages"])
+
+
+@register("g2_bfs")
+def g2_bfs(spark: SparkSession, d: str) -> DataFrame:
+    frontier, _ = _crawl(spark, d)
+    return frontier.select(F.col("node").alias("page_id"), F.col("depth").cast("int").alias("depth"))
+
+
+@register("g2_crawl_order")
+def g2_crawl_order(spark: SparkSession, d: str) -> DataFrame:
+    frontier, _ = _crawl(spark, d)
+    return frontier.select(F.col("node").alias("page_id"), "depth", "ord", "parent", "pos")
+
+
+@register("g3_decisions")
+def g3_decisions(spark: SparkSession, d: str) -> DataFrame:
+    _, decisions = _crawl(spark, d)
+    return decisions
+
+
+@register("a10_skipped")
+def a10_skipped(spark: SparkSession, d: str) -> DataFrame:
+    _, decisions = _crawl(spark, d)
+    return CR.skipped_counts(decisions)
+
+
+@register("s2_sitemap_urls")
+def s2_sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
+    e = SM.sitemap_entries(FX.sitemaps(spark, d))
+    return U.with_normalized_url(e, "loc", "norm_url").select("host", "kind", "pos", "loc", "norm_url")
+
+
+@register("g5_sitemap_enqueue")
+def g5_sitemap_enqueue(spark: SparkSession, d: str) -> DataFrame:
+    """Sitemap URLs that pass P8 (internal to their site, robots) enter the queue at depth 0,
+    at most 3 x max_pages per site, in sitemap order."""
+    e = SM.sitemap_entries(FX.sitemaps(spark, d)).where(F.col("kind") == "url")
+    e = cut_lineage(U.with_normalized_url(e, "loc", "norm_url").select("host", "pos", "norm_url"))
+    e = e.where(F.col("norm_url") != "")
+    e = e.withColumn("root", U.root_domain("host")).withColumn("start_host", F.lower("host"))
+    e = U.with_internal(e, "norm_url", "start_host", "root", "internal")
+    e = U.with_ignored_extension(e, "norm_url", "ignored_ext")
+    e = RB.with_robots_disallowed(e, RB.robots_rules(FX.robots(spark, d)), "norm_url", "disallowed")
+    # the decided queue candidates are written once; filtering the derived URL columns in the
+    # same plan would make the optimizer inline the URL expressions into every pushed filter
+    e = cut_lineage(e.select("host", "pos", "norm_url", "internal", "ignored_ext", "disallowed"))
+    ok = e.where(F.col("internal") & ~F.col("ignored_ext") & ~F.col("disallowed"))
+    first = ok.groupBy("host", "norm_url").agg(F.min("pos").alias("pos"))
+    w = Window.partitionBy("host").orderBy("pos")  # one site's sitemap: bounded by 3 x max_pages after the cut
+    ranked = first.withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= 3 * CRAWL["max_pages"]).select("host", "norm_url", "pos", F.lit(0).alias("depth"))
