@@ -561,3 +561,33 @@ ORACLE["s2_sitemap_urls"] = f"""
 WITH {_SM}, {norm_ctes('e2', 'host, pos', 'loc', 'norm_url')}
 SELECT e2.host, e2.kind, e2.pos, e2.loc, n.norm_url FROM e2 JOIN n_out n USING (host, pos)
 """
+
+# ---------------------------------------------------------------- step 7: import (text files are SQL-expressible)
+
+
+def t1_sql(x: str, final_newline: bool = True) -> str:
+    s = f"regexp_replace({x}, {q(chr(10) + '{3,}')}, {NL} || {NL}, 'g')"
+    s = f"regexp_replace(regexp_replace({s}, {q('(?:' + LINE_BREAK + ')\\z')}, ''), {q(LINE_BREAK)}, {NL}, 'g')"
+    s = strip(rstrip_lines(s))
+    if final_newline:
+        s = f"({s} || {NL})"
+    return f"(CASE WHEN {x} IS NULL OR {x} = '' THEN '' ELSE {s} END)"
+
+
+ORACLE["t1_normalize"] = f"SELECT doc_id, {t1_sql('text')} AS t1, {t1_sql('text', False)} AS t3, CAST(length({strip('text')}) AS INTEGER) AS t4 FROM documents"
+
+_TXT = """
+f AS (SELECT doc_id, '/import/' || source || '/doc-' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 2 = 0 THEN '.txt' ELSE '.md' END AS path, text FROM documents)
+"""
+
+ORACLE["s4_text_import"] = f"""
+WITH {_TXT}
+SELECT CAST(doc_id AS BIGINT) * 1000000 AS doc_no, regexp_extract(path, '([^/]*)$', 1) AS source, regexp_extract(path, '([^/]*)$', 1) AS title,
+       {t1_sql('text')} AS body_markdown, 'text' AS type FROM f
+"""
+
+ORACLE["s13_import_combined"] = f"""
+WITH {_TXT}
+SELECT CAST(doc_id AS BIGINT) * 1000000 AS doc_no,
+       '# ' || regexp_extract(path, '([^/]*)$', 1) || chr(10) || chr(10) || {strip(t1_sql('text'))} || chr(10) AS text FROM f
+"""

@@ -452,3 +452,77 @@ def g5_sitemap_enqueue(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("host").orderBy("pos")  # one site's sitemap: bounded by 3 x max_pages after the cut
     ranked = first.withColumn("rank", F.row_number().over(w))
     return ranked.where(F.col("rank") <= 3 * CRAWL["max_pages"]).select("host", "norm_url", "pos", F.lit(0).alias("depth"))
+
+
+# ---------------------------------------------------------------- step 7: import
+
+from pagemill.sources import files as FI  # noqa: E402
+
+
+def _doc_files(spark: SparkSession, d: str) -> DataFrame:
+    """documents as text files: (path, content bytes, order)."""
+    docs = table(spark, d, "documents")
+    ext = F.when(F.col("doc_id") % 2 == 0, F.lit(".txt")).otherwise(F.lit(".md"))
+    return docs.select(
+        F.concat(F.lit("/import/"), F.col("source"), F.lit("/doc-"), F.col("doc_id").cast("string"), ext).alias("path"),
+        F.encode("text", "UTF-8").alias("content"),
+        F.col("doc_id").alias("o"),
+    )
+
+
+@register("s4_text_import")
+def s4_text_import(spark: SparkSession, d: str) -> DataFrame:
+    docs = FI.import_documents(_doc_files(spark, d), "o")
+    return docs.select("doc_no", "source", "title", "body_markdown", F.col("meta")["type"].alias("type"))
+
+
+@register("s5_html_import")
+def s5_html_import(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select(
+        F.concat(F.lit("/import/page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
+        F.encode("html", "UTF-8").alias("content"),
+        F.col("page_id").alias("o"),
+    )
+    return FI.import_documents(pages, "o").select("doc_no", "source", "title", "body_markdown", F.col("meta")["type"].alias("type"))
+
+
+def _mbox_files(spark: SparkSession, d: str) -> DataFrame:
+    m = FX.mail(spark, d)
+    return m.select(F.concat(F.lit("/import/"), F.col("filename")).alias("path"), F.encode("content", "UTF-8").alias("content"), F.col("conv_id").alias("o"))
+
+
+@register("s7_mbox_import")
+def s7_mbox_import(spark: SparkSession, d: str) -> DataFrame:
+    docs = FI.import_documents(_mbox_files(spark, d), "o")
+    return docs.select("doc_no", "source", "title", "body_markdown", F.col("meta")["index"].alias("msg_index"))
+
+
+@register("s6_eml_import")
+def s6_eml_import(spark: SparkSession, d: str) -> DataFrame:
+    """Each mailbox message written as its own .eml file, then imported as e-mail."""
+    msgs = FI.mbox_messages(
+        FX.mail(spark, d).select(F.col("conv_id").alias("file_no"), F.concat(F.lit("/m/"), F.col("filename")).alias("path"), F.col("content").alias("text"))
+    )
+    eml = msgs.select(
+        F.concat(F.lit("/import/msg-"), F.col("file_no").cast("string"), F.lit("-"), F.col("idx").cast("string"), F.lit(".eml")).alias("path"),
+        F.encode("raw", "UTF-8").alias("content"),
+        F.col("msg_id").alias("o"),
+    )
+    return FI.import_documents(eml, "o").select("doc_no", "source", "title", "body_markdown")
+
+
+@register("s13_import_combined")
+def s13_import_combined(spark: SparkSession, d: str) -> DataFrame:
+    return FI.import_combined_parts(FI.import_documents(_doc_files(spark, d), "o"))
+
+
+@register("s14_import_bundle")
+def s14_import_bundle(spark: SparkSession, d: str) -> DataFrame:
+    return FI.import_bundle(FI.import_documents(_doc_files(spark, d), "o")).drop("title")
+
+
+@register("t1_normalize")
+def t1_normalize(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", T.normalize_markdown("text").alias("t1"), T.normalize_markdown("text", False).alias("t3"),
+                       T.text_chars("text").alias("t4"))
