@@ -591,3 +591,13 @@ WITH {_TXT}
 SELECT CAST(doc_id AS BIGINT) * 1000000 AS doc_no,
        '# ' || regexp_extract(path, '([^/]*)$', 1) || chr(10) || chr(10) || {strip(t1_sql('text'))} || chr(10) AS text FROM f
 """
+
+# ---------------------------------------------------------------- step 9: streams (equal to the batch answers)
+
+ORACLE["st1_url_dedupe_stream"] = f"WITH {norm_ctes('pages', 'page_id', 'url', 'norm_url')} SELECT DISTINCT norm_url FROM n_out WHERE norm_url <> ''"
+
+ORACLE["st2_outcome_counts_stream"] = f"""
+WITH {_CLASSIFIED},
+{parts_ctes('cls', 'reason', 'url', 'c')}
+SELECT chost AS host, reason, count(*) AS n FROM c6 GROUP BY ALL
+"""

@@ -526,3 +526,28 @@ def t1_normalize(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return docs.select("doc_id", T.normalize_markdown("text").alias("t1"), T.normalize_markdown("text", False).alias("t3"),
                        T.text_chars("text").alias("t4"))
+
+
+# ---------------------------------------------------------------- step 9: streams (ST1, ST2)
+
+from pagemill.streaming import stream as ST  # noqa: E402
+
+
+@register("st1_url_dedupe_stream")
+def st1_url_dedupe_stream(spark: SparkSession, d: str) -> DataFrame:
+    path = ST._scratch(spark, "pages-in")
+    # the captured URLs as files arriving in a folder (four files -> four micro-batches)
+    _pages(spark, d, "page_id", "url").repartition(4, "page_id").write.parquet(path)
+    src = spark.readStream.schema("page_id long, url string").option("maxFilesPerTrigger", 1).parquet(path)
+    out = ST.run_available_now(ST.url_dedupe_stream(src), "st1")
+    return out.select("norm_url").where(F.col("norm_url") != "")
+
+
+@register("st2_outcome_counts_stream")
+def st2_outcome_counts_stream(spark: SparkSession, d: str) -> DataFrame:
+    cap = FX.captures(spark, d)
+    path = ST._scratch(spark, "captures-in")
+    cap.write.parquet(path)  # the capture log as files arriving in a folder
+    src = spark.readStream.schema(cap.schema).parquet(path)
+    upd = ST.run_available_now(ST.outcome_counts_stream(src), "st2", mode="update")
+    return ST.latest_per_group(upd, ["host", "reason"])
