@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import postprocess_markdown, py_rstrip, py_strip, splitlines
-from pagemill.session import cut_lineage
+from pagemill.session import cut_lineage, spread
 
 # Short lines that are never removed, compared lower-cased.
 PROTECTED_HEADINGS = ("overview", "introduction", "summary", "contents", "table of contents")
@@ -45,7 +45,7 @@ def line_occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def line_frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
     """A1: (line, n) over all occurrences of each stripped non-blank line."""
-    lines = df.select(F.explode(splitlines(text_col)).alias("raw")).select(py_strip("raw").alias("line"))
+    lines = spread(df.select(text_col)).select(F.explode(splitlines(text_col)).alias("raw")).select(py_strip("raw").alias("line"))
     return lines.where(F.col("line") != "").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -87,7 +87,7 @@ def boilerplate_filter(
     opts: BoilerplateOptions = BoilerplateOptions(),
 ) -> DataFrame:
     """A2: (id, text) with lines repeated more than 3 times across ``df`` removed, then T2."""
-    src = df.select(id_col, text_col)
+    src = spread(df.select(id_col, text_col))
     drop = droppable_lines(line_frequencies(src, text_col), opts)
     if opts.checkpoint:
         drop = cut_lineage(drop)

@@ -81,3 +81,13 @@ def size_at_most(df: DataFrame, rows: int) -> bool:
     Runs a bounded job (``limit(rows + 1)``), never collects the rows themselves.
     """
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over the cluster when its scan yields fewer partitions than there are
+    cores (a single-row-group file is one task). A large input already arrives in many splits and
+    is returned unchanged, so no shuffle is added at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

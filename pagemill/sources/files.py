@@ -64,8 +64,12 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def message_parts(messages: DataFrame) -> DataFrame:
-    """(msg_id, part_no, headers..., content_type, disposition, text) per MIME part."""
-    return messages.select(F.col("msg_id").cast("long"), F.col("raw")).mapInPandas(_parts, PART_SCHEMA)
+    """(msg_id, part_no, headers..., content_type, disposition, text) per MIME part, written once
+    to the checkpoint folder so the header, body and HTML branches do not re-run the parser."""
+    from pagemill.session import cut_lineage, spread
+
+    raw = spread(messages.select(F.col("msg_id").cast("long"), F.col("raw")))
+    return cut_lineage(raw.mapInPandas(_parts, PART_SCHEMA))
 
 
 def _html_to_markdown(parts: DataFrame) -> DataFrame:
@@ -204,7 +208,9 @@ def import_documents(files: DataFrame, file_order: str | None = None) -> DataFra
         from pagemill.plans.crawl import dense_rank_by
 
         f = dense_rank_by(files.select("path", "content"), "path", "file_no", 1)
-    f = f.select("file_no", "path", extension("path").alias("ext"), decode_utf8("content").alias("text"))
+    from pagemill.session import spread
+
+    f = spread(f).select("file_no", "path", extension("path").alias("ext"), decode_utf8("content").alias("text"))
     docs = _text_docs(f.where(~F.col("ext").isin(*READERS.keys())))
     for ext in sorted(set(READERS)):
         docs = docs.unionByName(READERS[ext](f.where(F.col("ext") == ext)))

@@ -122,5 +122,7 @@ def _tokenize_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
 def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, n, kind 'e'|'t', tag, parent, depth, ancestors..., attributes, n_children, text)."""
-    src = pages.select(pages[id_col].cast("long").alias("page_id"), pages[html_col].alias("html"))
+    from pagemill.session import spread
+
+    src = spread(pages.select(pages[id_col].cast("long").alias("page_id"), pages[html_col].alias("html")))
     return src.mapInPandas(_tokenize_batches, NODE_SCHEMA)
