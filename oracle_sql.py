@@ -601,3 +601,27 @@ WITH {_CLASSIFIED},
 {parts_ctes('cls', 'reason', 'url', 'c')}
 SELECT chost AS host, reason, count(*) AS n FROM c6 GROUP BY ALL
 """
+
+# ---------------------------------------------------------------- S8, J5
+
+ORACLE["s8_url_list"] = f"""
+WITH base AS (SELECT page_id, {strip('url')} AS u0 FROM pages),
+b2 AS (SELECT page_id, CASE WHEN regexp_matches(regexp_replace(regexp_replace(u0, '[\\t\\r\\n]', '', 'g'), '^[\\x00-\\x20]+', ''),
+                                    {q(SCHEME)}) THEN u0 ELSE 'https://' || u0 END AS u, u0 FROM base WHERE u0 <> ''),
+{parts_ctes('b2', 'page_id, u, u0', 'u', 'p')},
+r AS (SELECT *, CASE WHEN pscheme NOT IN ('http', 'https') THEN 'Only http(s) URLs are allowed.'
+                     WHEN phost = 'localhost' OR coalesce({ipv4_blocked_sql('phost')}, false) THEN 'Target host is not allowed.'
+                     ELSE '' END AS reject_reason,
+             pscheme || '://' || pnetloc || ppath || CASE WHEN pparams <> '' THEN ';' || pparams ELSE '' END
+             || CASE WHEN pquery <> '' THEN '?' || pquery ELSE '' END
+             || CASE WHEN contains(u, '#') THEN '#' || regexp_extract(u, '#(.*)$', 1) ELSE '' END AS safe FROM p6)
+SELECT safe AS url, min(page_id) AS pos, '' AS reject_reason FROM r WHERE reject_reason = '' GROUP BY safe
+UNION ALL SELECT u0 AS url, page_id AS pos, reject_reason FROM r WHERE reject_reason <> ''
+"""
+
+ORACLE["j5_diag_extracted"] = f"""
+WITH {RECORDS}, {_CLASSIFIED}
+SELECT d.page_id, d.final_url, CASE WHEN d.reason = 'ok' THEN coalesce(CAST(length({strip('recs.markdown')}) AS BIGINT), d.extracted_chars)
+                                    ELSE d.extracted_chars END AS extracted_chars
+FROM diag d LEFT JOIN recs ON recs.ord = d.page_id
+"""

@@ -189,7 +189,9 @@ def main_text(nodes: DataFrame, area: DataFrame) -> DataFrame:
 
 
 def markdown(nodes: DataFrame, area: DataFrame, strip_links: bool = True, strip_images: bool = True, mark_code: bool = True) -> DataFrame:
-    """H8: (page_id, markdown) with T2 applied."""
+    """H8: (page_id, markdown) with T2 applied. Anchors always render as their text (with
+    ``strip_links=False`` the service appends reference-style link lists; ours does not) and
+    images as nothing."""
     rows = content_rows(nodes, area)
     rows = rows.where((F.col("kind") == "t") | F.col("tag").isin("br", "hr", "img"))
     anc = F.arrays_zip("anc_n", "anc_tag")
@@ -207,7 +209,6 @@ def markdown(nodes: DataFrame, area: DataFrame, strip_links: bool = True, strip_
     bold = F.exists(inline, lambda x: x["anc_tag"].isin("b", "strong"))
     italic = F.exists(inline, lambda x: x["anc_tag"].isin("em", "i"))
     code = F.exists(inline, lambda x: x["anc_tag"] == "code") & ~F.col("in_pre")
-    linked = F.exists(F.col("anc_tag"), lambda t: t == "a")
     collapsed = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[ \t\n\r\f]+", " ")
     body = F.when(F.col("in_pre"), F.col("text")).otherwise(collapsed)
     core = F.regexp_extract(body, r"(?s)^\s*(.*?)\s*\z", 1)
@@ -218,15 +219,12 @@ def markdown(nodes: DataFrame, area: DataFrame, strip_links: bool = True, strip_
         return F.when(cond & (core != ""), F.concat(lead, F.lit(mark), core, F.lit(mark), trail)).otherwise(c)
 
     piece = F.when(F.col("in_pre"), body).otherwise(wrap(wrap(wrap(body, "`", code), "_", italic), "**", bold))
-    if not strip_links:
-        piece = piece  # reference-style links are not emitted inline; the anchor text stays
     piece = (
         F.when(F.col("tag") == "br", F.lit("\n"))
         .when(F.col("tag") == "hr", F.lit("\n\n* * *\n\n"))
         .when(F.col("tag") == "img", F.lit(""))
         .otherwise(piece)
     )
-    _ = linked
     rows = rows.select("page_id", "n", "block_n", "block_tag", "in_pre", piece.alias("piece"))
     w = Window.partitionBy("page_id").orderBy("n")
     change = F.when(F.lag("block_n").over(w).isNull() | (F.lag("block_n").over(w) != F.col("block_n")), 1).otherwise(0)

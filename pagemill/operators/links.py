@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import with_normalized_url, with_urljoin
+from pagemill.session import cut_lineage
 
 
 def anchors(nodes: DataFrame) -> DataFrame:
@@ -22,3 +23,17 @@ def links(nodes: DataFrame, pages: DataFrame, base_col: str = "url") -> DataFram
     a = with_urljoin(a, "_base", "href", "_abs")
     a = with_normalized_url(a, "_abs", "dst_url")
     return a.select("page_id", "pos", "href", "dst_url")
+
+
+def canonical_links(nodes: DataFrame, pages: DataFrame, base_col: str = "url") -> DataFrame:
+    """(page_id, canonical_url) from the first ``<link rel~=canonical href>``, resolved and
+    normalised; pages without one (or whose result is empty) have no row."""
+    c = nodes.where((F.col("kind") == "e") & (F.col("tag") == "link") & F.lower(F.coalesce("attr_rel", F.lit(""))).contains("canonical")
+                    & (F.coalesce(F.col("href"), F.lit("")) != ""))
+    first = c.groupBy("page_id").agg(F.min_by("href", "n").alias("href"))
+    j = first.join(pages.select(F.col("page_id"), F.col(base_col).alias("_base")), "page_id")
+    j = with_urljoin(j, "_base", "href", "_abs")
+    j = with_normalized_url(j, "_abs", "canonical_url")
+    # written once: a filter on the derived URL would be inlined into every URL stage
+    j = cut_lineage(j.select("page_id", "canonical_url"))
+    return j.where(F.col("canonical_url") != "")

@@ -551,3 +551,42 @@ def st2_outcome_counts_stream(spark: SparkSession, d: str) -> DataFrame:
     src = spark.readStream.schema(cap.schema).parquet(path)
     upd = ST.run_available_now(ST.outcome_counts_stream(src), "st2", mode="update")
     return ST.latest_per_group(upd, ["host", "reason"])
+
+
+# ---------------------------------------------------------------- S8 URL lists, J5, U9
+
+def validate_url_list(urls: DataFrame, url_col: str = "url", pos_col: str = "pos", max_urls: int | None = None) -> DataFrame:
+    """Strip, skip blank, U6 public check (rejected rows keep their reason), ordered dedupe on
+    the exact accepted URL (no U1): (url, pos, reject_reason). ``max_urls`` (the service's 200)
+    is checked with a bounded count when given."""
+    if max_urls is not None and urls.limit(max_urls + 1).count() > max_urls:
+        raise ValueError(f"Provide {max_urls} URLs or fewer.")
+    df = urls.select(T.py_strip(F.col(url_col)).alias("_u"), F.col(pos_col).alias("pos")).where(F.col("_u") != "")
+    # checked URLs are written once; filters on derived URL columns go after the cut
+    df = cut_lineage(U.with_public_url(df, "_u", "url", "reject_reason").select("_u", "pos", "url", "reject_reason"))
+    ok = df.where(F.col("reject_reason") == "").groupBy("url").agg(F.min("pos").alias("pos"))
+    bad = df.where(F.col("reject_reason") != "").select(F.col("_u").alias("url"), "pos", "reject_reason")
+    return ok.withColumn("reject_reason", F.lit("")).unionByName(bad)
+
+
+@register("s8_url_list")
+def s8_url_list(spark: SparkSession, d: str) -> DataFrame:
+    """The page URLs as a bulk list in page order."""
+    return validate_url_list(_pages(spark, d, "page_id", "url"), "url", "page_id")
+
+
+@register("j5_diag_extracted")
+def j5_diag_extracted(spark: SparkSession, d: str) -> DataFrame:
+    """Each successful fetch's diagnostic carries the extracted length of its page."""
+    diag = FL.diagnostics(FX.captures(spark, d))
+    recs = simple_records(spark, d).select(F.col("ord").alias("page_id"), T.text_chars("markdown").alias("clean_text_chars"))
+    diag = cut_lineage(diag)
+    ok = diag.where(F.col("reason") == "ok")
+    return FL.with_extracted_chars(ok, recs).select("page_id", "final_url", "extracted_chars").unionByName(
+        diag.where(F.col("reason") != "ok").select("page_id", "final_url", "extracted_chars"))
+
+
+@register("u9_canonical")
+def u9_canonical(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d, "page_id", "url", "html")
+    return LK.canonical_links(PG.node_table(pages), pages)

@@ -25,7 +25,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NODE_SCHEMA = (
     "page_id long, n int, kind string, tag string, parent int, depth int, "
     "anc_n array<int>, anc_tag array<string>, anc_id array<string>, anc_cls array<string>, "
-    "attr_id string, attr_cls string, attr_role string, href string, n_children int, text string"
+    "attr_id string, attr_cls string, attr_role string, href string, n_children int, text string, attr_rel string"
 )
 
 
@@ -59,7 +59,7 @@ class _Tree(HTMLParser):
         self.buf = []
         parent = self._child()
         an, at, ai, ac = self._anc()
-        self.rows.append([None, len(self.rows), "t", None, parent, len(self.stack), an, at, ai, ac, None, None, None, None, 0, text])
+        self.rows.append([None, len(self.rows), "t", None, parent, len(self.stack), an, at, ai, ac, None, None, None, None, 0, text, None])
 
     # -- events
     def handle_starttag(self, tag, attrs):
@@ -71,7 +71,8 @@ class _Tree(HTMLParser):
         an, at, ai, ac = self._anc()
         idx = len(self.rows)
         self.rows.append(
-            [None, idx, "e", tag, parent, len(self.stack), an, at, ai, ac, a.get("id"), a.get("class"), a.get("role"), a.get("href"), 0, None]
+            [None, idx, "e", tag, parent, len(self.stack), an, at, ai, ac, a.get("id"), a.get("class"), a.get("role"), a.get("href"), 0, None,
+             a.get("rel")]
         )
         if tag not in VOID:
             self.stack.append(idx)

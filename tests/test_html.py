@@ -165,3 +165,12 @@ def test_title_falls_back_to_url(spark):
     recs = PG.page_records(_pages(spark, [(1, "http://example.com/x", "<p>no title</p>")]))
     assert recs.first()["title"] == "http://example.com/x"
     assert recs.select(F.col("markdown")).first()[0].endswith("\n")
+
+
+def test_canonical_link(spark):
+    from pagemill.operators.links import canonical_links
+
+    html = '<html><head><link rel="Canonical" href="/a/b/?utm_source=x&z=1#f"><title>t</title></head><body>x</body></html>'
+    pages = _pages(spark, [(1, "https://example.com/q", html), (2, "https://example.com/r", "<p>none</p>")])
+    got = {r["page_id"]: r["canonical_url"] for r in canonical_links(PG.node_table(pages), pages).collect()}
+    assert got == {1: "https://example.com/a/b?z=1"}
