@@ -40,6 +40,13 @@ def op6_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_groups(table(spark, d, "documents"))
 
 
+@register("op7_simhash")
+def op7_simhash(spark: SparkSession, d: str) -> DataFrame:
+    from pagemill.llm.simhash import edited_likeness
+
+    return edited_likeness(table(spark, d, "documents"))
+
+
 @register("op10_ring_sharding")
 def op10_ring_sharding(spark: SparkSession, d: str) -> DataFrame:
     from pagemill.llm.sharding import assign_shards
