@@ -47,6 +47,13 @@ def op7_simhash(spark: SparkSession, d: str) -> DataFrame:
     return edited_likeness(table(spark, d, "documents"))
 
 
+@register("op9_simhash_groups")
+def op9_simhash_groups(spark: SparkSession, d: str) -> DataFrame:
+    from pagemill.llm.pigeonhole import near_groups
+
+    return near_groups(table(spark, d, "documents"), length=3, radius=3)
+
+
 @register("op10_ring_sharding")
 def op10_ring_sharding(spark: SparkSession, d: str) -> DataFrame:
     from pagemill.llm.sharding import assign_shards
