@@ -24,6 +24,30 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op3_byte_bpe")
+def op3_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    from pagemill.llm.bpe import decode_ids, encode_texts
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = encode_texts(table(spark, d, "documents"), ranks, pattern)
+    back = decode_ids(encoded, ranks, pattern)
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op5_packing")
+def op5_packing(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    from pagemill.llm.packing import pack_documents
+
+    pieces = pack_documents(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length"
+    )
+
+
 @register(
     "op6_exact_dedup",
     """
