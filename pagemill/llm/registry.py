@@ -36,6 +36,49 @@ def op3_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@register(
+    "op4_line_templates",
+    r"""
+    WITH b AS (SELECT doc_id, text, string_split(text, chr(10)) AS bodies FROM documents),
+    x AS (SELECT doc_id, unnest(bodies) AS body, generate_subscripts(bodies, 1) - 1 AS line_no FROM b),
+    t AS (
+      SELECT doc_id, line_no, body, list_filter(regexp_split_to_array(regexp_replace(body,
+        '[^ \t\x0B\f\r]*(?:[0-9@]|://)[^ \t\x0B\f\r]*', '<*>', 'g'), '[ \t\x0B\f\r]+'), lambda z: z <> '') AS toks
+      FROM x),
+    lines AS (SELECT doc_id, line_no, toks, len(toks) AS n, toks[1:3] AS head FROM t WHERE len(toks) > 0),
+    by_line AS (SELECT n, head, toks, count(DISTINCT doc_id) AS docs FROM lines GROUP BY ALL),
+    leaf AS (SELECT n, head, count(*) AS kinds FROM by_line GROUP BY ALL HAVING sum(docs) >= 3),
+    cand AS (SELECT by_line.*, kinds FROM by_line JOIN leaf USING (n, head)),
+    placed AS (
+      SELECT n, head, toks, docs, unnest(toks) AS tok, generate_subscripts(toks, 1) AS spot FROM cand WHERE kinds > 1),
+    steady AS (SELECT n, head, spot, tok FROM placed WHERE tok <> '<*>' GROUP BY ALL HAVING sum(docs) >= 3),
+    kept AS (
+      SELECT n, head, toks, CAST(list({'p': spot, 't': tok} ORDER BY spot) AS VARCHAR) AS template
+      FROM placed JOIN steady USING (n, head, spot, tok) GROUP BY n, head, toks HAVING count(*) >= n * 0.8::DOUBLE),
+    named AS (SELECT toks, template FROM kept UNION ALL SELECT toks, 'alone' FROM cand WHERE kinds = 1),
+    met AS (SELECT doc_id, line_no, n, head, template FROM lines JOIN named USING (toks)),
+    enough AS (SELECT n, head, template FROM met GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+    ranked AS (
+      SELECT doc_id, line_no, row_number() OVER (PARTITION BY n, head, template ORDER BY doc_id, line_no) AS r
+      FROM met JOIN enough USING (n, head, template)),
+    drops AS (SELECT doc_id, line_no FROM ranked WHERE r > 1),
+    rest AS (
+      SELECT t.doc_id, count(*) AS n_lines, count(drops.line_no) AS n_dropped,
+        coalesce(string_agg(body, chr(10) ORDER BY t.line_no) FILTER (drops.line_no IS NULL), '') AS kept
+      FROM t LEFT JOIN drops ON t.doc_id = drops.doc_id AND t.line_no = drops.line_no GROUP BY t.doc_id)
+    SELECT b.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
+      CASE WHEN b.text IS NULL THEN NULL ELSE strlen(kept) END AS text_bytes, sha256(coalesce(kept, '')) AS text_sha256
+    FROM b LEFT JOIN rest ON b.doc_id = rest.doc_id
+    """,
+)
+def op4_line_templates(spark: SparkSession, d: str) -> DataFrame:
+    from pagemill.llm.line_templates import drop_recurring
+
+    cleaned = drop_recurring(table(spark, d, "documents"))
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.octet_length("text").cast("long").alias("text_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
 @register("op5_packing")
 def op5_packing(spark: SparkSession, d: str) -> DataFrame:
     import public_tokenizers
