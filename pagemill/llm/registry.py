@@ -125,6 +125,34 @@ def op7_simhash(spark: SparkSession, d: str) -> DataFrame:
     return edited_likeness(table(spark, d, "documents"))
 
 
+@register(
+    "op8_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+    d AS (SELECT page_id, strlen(payload) AS payload_bytes, payload, min(page_id) OVER (PARTITION BY payload) AS first FROM p),
+    x AS (SELECT *, unhex(sha1(payload)) AS raw FROM d),
+    bits AS (SELECT page_id, string_agg(lpad(bin(('0x' || substr(hex(raw), 2 * k + 1, 2))::INT), 8, '0'), '' ORDER BY k) AS b FROM x, range(20) r(k) GROUP BY page_id),
+    digits AS (
+      SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + list_sum(list_transform(range(5), lambda j: CASE WHEN substr(b, 5 * k + j + 1, 1) = '1' THEN 1 << (4 - j) ELSE 0 END))::INT, 1), '' ORDER BY k) AS payload_digest
+      FROM bits, range(32) r(k) GROUP BY page_id)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+    FROM d JOIN digits USING (page_id)
+    """,
+)
+def op8_warc(spark: SparkSession, d: str) -> DataFrame:
+    from pagemill.llm.warc import new_folder, read_records, write_bundles
+
+    pages = table(spark, d, "pages")
+    folder = new_folder(pages)
+    back = read_records(write_bundles(pages, folder), folder)
+    return back.select(
+        F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 @register("op9_simhash_groups")
 def op9_simhash_groups(spark: SparkSession, d: str) -> DataFrame:
     from pagemill.llm.pigeonhole import near_groups
