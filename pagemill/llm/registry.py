@@ -35,6 +35,22 @@ def op1_chat_format(spark: SparkSession, d: str) -> DataFrame:
     return conversation_digests(formatted).withColumnRenamed("conv", "conv_id")
 
 
+def toxicity_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The two categories that the labels table knows, in chain order."""
+    return table(spark, d, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+CATEGORIES = ("toxic", "low_quality")
+
+
+@register("op2_toxicity")
+def op2_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    from pagemill.llm.toxicity import toxicity
+
+    scored = toxicity(table(spark, d, "documents").select("doc_id", "text"), toxicity_labels(spark, d), CATEGORIES)
+    return scored.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("rejected"))
+
+
 @register("op3_byte_bpe")
 def op3_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     import public_tokenizers
