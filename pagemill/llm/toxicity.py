@@ -36,14 +36,20 @@ PREFIXES = (3, 4, 5, 6, 7)
 SCALE = 40.0
 FEWEST, LEAST_RATIO, STEPS, DECAY = 3, 0.5, 150, 1e-5
 
-SATURATION = 3
+SATURATION, AGAIN = 3, "<again>"
 #: Words, and runs of marks, which tell junk from prose.
 _word = re.compile(r"\w+|[^\w\s]+")
 
 
 def term_counts(text: str | None) -> dict[str, int]:
-    """Tokens and how often each occurs, saturating at ``SATURATION``: a word said a hundred times tells no more."""
-    return {t: min(n, SATURATION) for t, n in Counter(_word.findall((text or "").lower())).items()}
+    """Tokens and how often each occurs, saturating at ``SATURATION``: a word said a hundred times tells no
+    more. What is beyond counts together as ``AGAIN``."""
+    tokens = _word.findall((text or "").lower())
+    counts = {t: min(n, SATURATION) for t, n in Counter(tokens).items()}
+    beyond = len(tokens) - sum(counts.values())
+    if beyond:
+        counts[AGAIN] = beyond
+    return counts
 
 
 def buckets_of(word: str) -> list[int]:
