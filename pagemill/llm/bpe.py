@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.chunks import Memo
+from pagemill.llm.chunks import Memo, portions
 
 
 def read_ranks(lines: bytes) -> list[bytes]:
@@ -125,7 +125,7 @@ class BytePairs:
 
     def encode(self, text: str) -> bytes:
         """Token ids of a text as little-endian unsigned 32-bit integers."""
-        return self.memo.encode(text)
+        return self.memo.encode([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
@@ -160,7 +160,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
         for batch in batches:
             for lo in range(0, batch.num_rows, rows):
                 part = batch.slice(lo, rows)
-                ids = [vocabulary.encode(t.as_py() or "") for t in part.column(1)]
+                ids = [x for texts in portions(t.as_py() or "" for t in part.column(1)) for x in vocabulary.memo.encode(texts)]
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"])
 

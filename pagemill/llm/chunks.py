@@ -8,39 +8,64 @@ most are met again and again. Texts with longer runs are cut only before blanks
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 _ALONE = re.compile(r"(?<=[^ ])(?= [^ ])")
 
 
 def cut(text: str) -> list[str]:
     """Pieces of ``text`` in order; each is tokenised alike alone and in place."""
-    if not text:
-        return []
-    if "  " in text:
+    if "  " in text or text[:1] == " ":
         return _ALONE.split(text)
     first, *rest = text.split(" ")
-    made = [" " + x for x in rest]
-    if first:
-        made.insert(0, first)
-    return made
+    return [first, *(" " + x for x in rest)]
 
 
 class Memo:
-    """Encodings of short pieces, at most ``size`` of them; ``encode_all`` encodes the missing ones together."""
-
-    def __init__(self, encode_all: Callable[[list[str]], Iterable[bytes]], size: int = 300_000, longest: int = 64):
-        self.encode_all, self.size, self.longest, self.known = encode_all, size, longest, {}
-
-    def encode(self, text: str) -> bytes:
-        """The encodings of the pieces of ``text``, joined."""
-        pieces, known = cut(text), self.known
-        missing = [p for p in dict.fromkeys(pieces) if p not in known]
-        if not missing:
-            return b"".join(map(known.__getitem__, pieces))
-        found = dict(zip(missing, self.encode_all(missing)))
-        out = b"".join([found[p] if p in found else known[p] for p in pieces])
-        if len(known) + len(found) > self.size:
-            known.clear()
-        known.update((p, e) for p, e in found.items() if len(p) <= self.longest)
-        return out
+    """Encodings of the pieces of texts; ``encode_all`` encodes the missing ones together.
+
+    Two generations of ``size`` short pieces each bound the memory: when the young one is full it becomes
+    the old one, and pieces met again move back, so the common ones stay. A piece is kept without its
+    leading blank (and one without a leading blank with a blank and a bar before it, which no other key has)."""
+
+    def __init__(self, encode_all: Callable[[list[str]], Iterable[bytes]], size: int = 400_000, longest: int = 64):
+        self.encode_all, self.size, self.longest = encode_all, size, longest
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _keys(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if "  " in text or text[0] == " ":
+            return [x[1:] if x[0] == " " and x[1:2] != " " else " |" + x for x in _ALONE.split(text)]
+        keys = text.split(" ")
+        keys[0] = " |" + keys[0]
+        return keys
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """For each text the encodings of its pieces, joined. The pieces that are missing in any of the texts are encoded in one go."""
+        keys = [self._keys(t) for t in texts]
+        found = [list(map(self.young.get, ks)) for ks in keys]
+        missing = {k for ks, es in zip(keys, found) if None in es for k, e in zip(ks, es) if e is None}
+        if missing:
+            made = {k: self.old[k] for k in missing if k in self.old}
+            new = [k for k in missing if k not in made]
+            made.update(zip(new, self.encode_all([k[2:] if k[:2] == " |" else " " + k for k in new])))
+            found = [[made[k] if e is None else e for k, e in zip(ks, es)] if None in es else es for ks, es in zip(keys, found)]
+            if len(self.young) + len(made) > self.size:
+                self.old, self.young = self.young, {}
+            self.young.update((k, e) for k, e in made.items() if len(k) <= self.longest)
+        return list(map(b"".join, found))
+
+
+def portions(texts: Iterable[str], chars: int = 1 << 19) -> Iterator[list[str]]:
+    """The texts in order, in lists of about ``chars`` characters."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held

@@ -13,6 +13,7 @@ block, and a lost task repeats its own blocks only.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.chunks import Memo
+from pagemill.llm.chunks import Memo, portions
 
 
 def capacities(total: int, size: int) -> list[int]:
@@ -80,7 +81,7 @@ def _tokenizer(definition: str) -> Memo:
 
         def encode_all(pieces: list[str]) -> list[bytes]:
             found = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-            return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+            return [array("I", x.ids).tobytes() for x in found]
 
         _ready[key] = Memo(encode_all)
     return _ready[key]
@@ -125,9 +126,10 @@ def pack_documents(
         keys, ids, held = [], [], 0
         for batch in batches:
             lo = 0
-            for k, text in enumerate(batch.column(1)):
-                ids.append(memo.encode(text.as_py() or "") + end)
-                held += len(ids[-1]) // 4
+            encoded = (x for texts in portions(t.as_py() or "" for t in batch.column(1)) for x in memo.encode(texts))
+            for k, made in enumerate(encoded):
+                ids.append(made + end)
+                held += len(made) // 4 + 1
                 if held >= block_tokens:
                     yield from block([*keys, batch.column(0).slice(lo, k + 1 - lo)], ids)
                     keys, ids, held, lo = [], [], 0, k + 1

@@ -58,7 +58,7 @@ def test_pieces_tokenise_as_the_whole(text):
     assert "".join(chunks.cut(text)) == text
     with open(path, encoding="utf-8") as f:
         memo = packing._tokenizer(f.read())
-    assert np.frombuffer(memo.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(memo.encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 _made = {}
