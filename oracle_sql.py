@@ -392,16 +392,30 @@ WITH {_CLASSIFIED}
 SELECT reason, renderer, count(*) AS n, sum(elapsed_ms) AS total_elapsed_ms, max(elapsed_ms) AS max_elapsed_ms FROM diag GROUP BY ALL
 """
 
+_RENDERED = f"""
+{_CLASSIFIED},
+rendered AS (
+  SELECT page_id, attempt, 'http' AS renderer, reason, CASE WHEN page_id % 7 = 0 THEN 100 ELSE chars END AS chars FROM cls
+  UNION ALL
+  SELECT page_id, attempt, 'browser', CASE WHEN page_id % 15 = 0 THEN 'http-error' ELSE 'ok' END, chars FROM cls WHERE attempt = 0 AND page_id % 3 = 0)
+"""
+
 ORACLE["f4_variant"] = f"""
-WITH {_CLASSIFIED}
-SELECT page_id, arg_max(attempt, attempt) AS attempt, 'http' AS renderer, arg_max(reason, attempt) AS reason, arg_max(chars, attempt) AS chars
-FROM cls WHERE reason = 'ok' GROUP BY page_id
+WITH {_RENDERED},
+p AS (SELECT *, CASE WHEN renderer = 'http' AND chars >= 600 THEN 3 WHEN renderer = 'browser' THEN 2 ELSE 1 END AS prio FROM rendered WHERE reason = 'ok')
+SELECT page_id, attempt, renderer, reason, chars FROM p
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY prio DESC, attempt DESC) = 1
+"""
+
+ORACLE["f4_browser_variant"] = f"""
+WITH {_RENDERED}
+SELECT page_id, attempt, renderer, reason, chars FROM rendered WHERE renderer = 'browser' AND reason = 'ok'
 """
 
 ORACLE["w2_latest_diag"] = f"""
-WITH {_CLASSIFIED}
-SELECT final_url, page_id, reason FROM (
-  SELECT *, row_number() OVER (PARTITION BY final_url ORDER BY page_id DESC) AS rn FROM diag) WHERE rn = 1
+WITH {_CLASSIFIED},
+u AS (SELECT url AS any_url, * FROM diag UNION ALL SELECT final_url, * FROM diag WHERE final_url <> url)
+SELECT any_url, page_id, reason FROM u QUALIFY row_number() OVER (PARTITION BY any_url ORDER BY page_id DESC) = 1
 """
 
 # ---------------------------------------------------------------- steps 2 + 5: HTML (regular markup of the fixture)
@@ -546,10 +560,48 @@ SELECT 2, '', CAST(0 AS BIGINT), chr(10) FROM (SELECT count(*) AS c FROM recs) W
 ORACLE["g2_bfs"] = f"""
 WITH RECURSIVE {LINK_GRAPH},
 r(node, depth) AS (SELECT (SELECT min(page_id) FROM pages), 0
-                   UNION SELECT e.dst, r.depth + 1 FROM r JOIN link_graph e ON e.src = r.node WHERE r.depth < 3)
+                   UNION SELECT e.dst, r.depth + 1 FROM r JOIN link_graph e ON e.src = r.node WHERE r.depth < 40)
 SELECT node AS page_id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node
 """
 
+
+def crawl_ctes(levels: int, max_pages: int | None = None) -> str:
+    """The crawl level by level: lvK (nodes), eK (links of the level above) and dK (their decisions)."""
+    out = [f"{LINK_GRAPH}, lv0 AS MATERIALIZED (SELECT min(page_id) AS node, 0 AS depth, 0::BIGINT AS ord, NULL::BIGINT AS parent, NULL::INTEGER AS pos FROM pages)"]
+    for k in range(1, levels + 1):
+        seen = " UNION ALL ".join(f"SELECT node FROM lv{j}" for j in range(k))
+        total = f"(SELECT count(*) FROM ({seen}))"
+        cut = f"WHERE ord < {max_pages}" if max_pages else ""
+        out.append(f"e{k} AS MATERIALIZED (SELECT g.src, g.pos, g.dst, p.ord AS parent, g.dst IN ({seen}) AS seen FROM lv{k - 1} p JOIN link_graph g ON g.src = p.node)")
+        out.append(
+            f"lv{k} AS MATERIALIZED (SELECT * FROM (SELECT dst AS node, {k} AS depth, {total} + row_number() OVER (ORDER BY parent, pos) - 1 AS ord, parent, pos "
+            f"FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY parent, pos) AS rn FROM e{k} WHERE NOT seen) WHERE rn = 1) {cut})"
+        )
+        over = (
+            f"WHEN {total} + (SELECT count(*) FROM lv{k}) >= {max_pages} AND (SELECT count(*) FROM lv{k} WHERE (lv{k}.parent, lv{k}.pos) > (e{k}.parent, e{k}.pos)) = 0 THEN 'budget' "
+            if max_pages else ""
+        )
+        out.append(
+            f"d{k} AS (SELECT src, e{k}.pos, dst, {k} AS depth, CASE WHEN lv{k}.node IS NOT NULL THEN 'admitted' {over}ELSE 'seen' END AS decision "
+            f"FROM e{k} LEFT JOIN lv{k} ON lv{k}.parent = e{k}.parent AND lv{k}.pos = e{k}.pos)"
+        )
+    return ",\n".join(out)
+
+
+def _all(name: str, levels: range) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM {name}{k}" for k in levels)
+
+
+LEVELS = 14  # more than the link graph has at the checked size; deeper levels would be empty
+_ORDER = "SELECT node AS page_id, CAST(depth AS INTEGER) AS depth, ord, parent, pos FROM"
+ORACLE["g2_crawl_order"] = f"WITH {crawl_ctes(LEVELS)} {_ORDER} ({_all('lv', range(LEVELS + 1))})"
+ORACLE["g3_decisions"] = f"WITH {crawl_ctes(LEVELS)} {_all('d', range(1, LEVELS + 1))}"
+ORACLE["a10_skipped"] = f"WITH {crawl_ctes(LEVELS)} SELECT decision, count(*) AS n FROM ({_all('d', range(1, LEVELS + 1))}) GROUP BY decision"
+ORACLE["g4_budget_order"] = f"WITH {crawl_ctes(4, 100)} {_ORDER} ({_all('lv', range(5))})"
+ORACLE["g4_budget_decisions"] = f"""WITH {crawl_ctes(4, 100)}
+{_all('d', range(1, 5))} UNION ALL
+SELECT g.src, g.pos, g.dst, 5 AS depth, 'depth' AS decision FROM lv4 p JOIN link_graph g ON g.src = p.node"""
+
 _SM = f"""
 {SITEMAPS},
 e AS (SELECT host, unnest(regexp_extract_all(content, '<loc>([^<]*)</loc>', 1)) AS raw,
@@ -582,13 +634,13 @@ f AS (SELECT doc_id, '/import/' || source || '/doc-' || CAST(doc_id AS VARCHAR)
 
 ORACLE["s4_text_import"] = f"""
 WITH {_TXT}
-SELECT CAST(doc_id AS BIGINT) * 1000000 AS doc_no, regexp_extract(path, '([^/]*)$', 1) AS source, regexp_extract(path, '([^/]*)$', 1) AS title,
+SELECT CAST(doc_id AS BIGINT) * 2147483648 AS doc_no, regexp_extract(path, '([^/]*)$', 1) AS source, regexp_extract(path, '([^/]*)$', 1) AS title,
        {t1_sql('text')} AS body_markdown, 'text' AS type FROM f
 """
 
 ORACLE["s13_import_combined"] = f"""
 WITH {_TXT}
-SELECT CAST(doc_id AS BIGINT) * 1000000 AS doc_no,
+SELECT CAST(doc_id AS BIGINT) * 2147483648 AS doc_no,
        '# ' || regexp_extract(path, '([^/]*)$', 1) || chr(10) || chr(10) || {strip(t1_sql('text'))} || chr(10) AS text FROM f
 """
 

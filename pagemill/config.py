@@ -18,59 +18,44 @@ MAIN_SELECTORS = (
 
 
 def _clamp(value, lo: int, hi: int, default: int) -> int:
-    if value is None:
-        return default
     try:
-        v = int(value)
+        return max(lo, min(int(value), hi))
     except (TypeError, ValueError):
         return default
-    return max(lo, min(v, hi))
 
 
 @dataclass(frozen=True)
 class Config:
-    """Options of one crawl / export job.
+    """Options of one crawl / export job. The values given hold; ``None`` means no limit.
 
-    ``clamped()`` applies the request clamps (pages 1..500, depth 1..6,
-    min_text_chars 200..5000, render_mode http|auto|browser).
-    """
+    ``service_limits()`` applies the request limits of the web service, for jobs that must agree with it."""
 
-    max_pages: int = 10
-    max_depth: int = 3
+    max_pages: int | None = None
+    max_depth: int | None = None
     min_text_chars: int = 600
     include_subdomains: bool = False
     allowed_hosts: tuple[str, ...] = ()
     path_prefixes: tuple[str, ...] = ()
     respect_robots: bool = True
-    use_sitemap: bool = True
     strip_links: bool = True
     strip_images: bool = True
     readability_fallback: bool = True
     render_mode: str = "http"
-    remove_additional_noise: bool = True
     main_selectors: tuple[str, ...] = field(default=MAIN_SELECTORS)
     # options that switch off faithful-but-odd behaviour (off = faithful)
     empty_disallow: str = "block"  # "block" (faithful) or "allow" (the robots standard)
-    protect_fences: bool = False
-    protect_root: bool = False
-    # largest number of rows a side may hold to be broadcast
-    broadcast_rows: int = 2_000_000
 
-    def clamped(self) -> "Config":
-        mp = self.max_pages
-        try:
-            mp = int(mp)
-        except (TypeError, ValueError):
-            mp = 1
-        mode = str(self.render_mode or "http").strip().lower()
-        if mode not in ("http", "auto", "browser"):
-            mode = "http"
+    def __post_init__(self) -> None:
+        if self.render_mode not in ("http", "auto", "browser"):
+            raise ValueError(f"unknown render_mode {self.render_mode!r}")
+
+    def service_limits(self) -> "Config":
+        """Pages 1..500, depth 1..6, min_text_chars 200..5000; hosts and prefixes stripped."""
         return replace(
             self,
-            max_pages=max(1, min(mp, 500)),
+            max_pages=_clamp(self.max_pages, 1, 500, 10),
             max_depth=_clamp(self.max_depth, 1, 6, 3),
             min_text_chars=_clamp(self.min_text_chars, 200, 5000, 600),
-            render_mode=mode,
             allowed_hosts=tuple(h.strip().lower() for h in self.allowed_hosts if h and h.strip()),
             path_prefixes=tuple(p.strip() for p in self.path_prefixes if p and p.strip()),
         )

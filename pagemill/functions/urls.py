@@ -200,10 +200,6 @@ def with_normalized_url(df: DataFrame, src: str, out: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith(t)])
 
 
-def normalize_url_table(df: DataFrame, src: str = "url", out: str = "norm_url") -> DataFrame:
-    return with_normalized_url(df, src, out)
-
-
 # ------------------------------------------------------------------ U4 U5 U8 U10
 
 
@@ -234,16 +230,6 @@ def export_file_name(host, title, path, url) -> Column:
     )
 
 
-def normalize_hosts(hosts) -> Column:
-    """U10 hosts: strip, lower, drop empty."""
-    return F.filter(F.transform(col(hosts), lambda h: F.lower(py_strip(h))), lambda h: h != "")
-
-
-def normalize_prefixes(prefixes) -> Column:
-    """U10 prefixes: strip, drop empty."""
-    return F.filter(F.transform(col(prefixes), lambda h: py_strip(h)), lambda h: h != "")
-
-
 # ------------------------------------------------------------------ P1 P2 U6
 
 

@@ -97,16 +97,11 @@ def grouped_parts(records: DataFrame, ord_col: str = "ord") -> DataFrame:
 
 
 def to_text(parts: DataFrame, *order: str) -> DataFrame:
-    """Join ordered parts into one string (small results only, e.g. one crawl of <= 500 pages)."""
+    """Join ordered parts into one string (for small results; a large export is written as ordered parts)."""
     g = parts.agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col("text")))).alias("ps"))
     return g.select(F.array_join(F.transform("ps", lambda x: x["text"]), "").alias("text"))
 
 
-def finish_grouped(text: Column) -> Column:
-    """``.strip() + "\\n"`` of the grouped export."""
-    return F.concat(py_strip(text), F.lit("\n"))
-
-
 def with_file_names(records: DataFrame) -> DataFrame:
     """U8 per page."""
     return records.withColumn("filename", export_file_name("host", "title", "path", "url"))
@@ -128,10 +123,6 @@ def index_lines(records_with_files: DataFrame) -> DataFrame:
     return top.unionByName(heads).unionByName(entries).unionByName(blanks).withColumnRenamed("_h", "host")
 
 
-def index_text(lines: DataFrame) -> DataFrame:
-    g = lines.agg(F.array_sort(F.collect_list(F.struct("k", "host", "ord", "line"))).alias("ls"))
-    return g.select(F.concat(py_strip(F.array_join(F.transform("ls", lambda x: x["line"]), "\n")), F.lit("\n")).alias("text"))
-
 
 def bundle_files(records: DataFrame) -> DataFrame:
     """(filename, content) per page; duplicates of a file name are kept as they are."""
@@ -218,7 +209,3 @@ def gate_samples(diagnostics: DataFrame, errors: DataFrame) -> tuple[DataFrame,
 def selected_pages(records: DataFrame, selected_urls: DataFrame) -> DataFrame:
     """Pages whose URL was selected (left semi join)."""
     return records.join(selected_urls.select(F.col("url")).distinct(), "url", "left_semi")
-
-
-def import_slug(c) -> Column:
-    return slugify(c, "document")

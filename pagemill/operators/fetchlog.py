@@ -57,12 +57,13 @@ def backoff_plan(captures: DataFrame) -> DataFrame:
     )
 
 
-def last_attempts(captures: DataFrame, key: str = "page_id") -> DataFrame:
+def last_attempts(captures: DataFrame, key: str = "page_id", columns: list[str] | None = None) -> DataFrame:
     """The last attempt of each fetch, plus the number of attempts seen and whether each
     earlier attempt was one the retry rule allows (planned vs. observed)."""
     c = classify(captures)
+    columns = [x for x in columns or c.columns if x != key]
     g = c.groupBy(key).agg(
-        F.max_by(F.struct(*[x for x in c.columns if x != key]), "attempt").alias("last"),
+        F.max_by(F.struct(*columns), "attempt").alias("last"),
         F.count(F.lit(1)).alias("attempts"),
     )
     return g.select(key, "last.*", "attempts")
@@ -108,8 +109,7 @@ def errors(diag: DataFrame, key: str = "page_id") -> DataFrame:
 def best_variant(captures: DataFrame, mode: str, min_text_chars: int, key: str = "page_id", chars_col: str = "chars") -> DataFrame:
     """the capture a fetch ends with for ``render_mode``.
 
-    http -> the http capture; browser -> the browser capture (an http one only when the browser
-    failed); auto -> http when it is ok and long enough, else browser, else http. Fetches with no
+    http -> the http capture; browser -> the browser capture only; auto -> http when it is ok and long enough, else browser, else http. Fetches with no
     usable capture are dropped. One ``max_by`` on a priority column per fetch."""
     c = classify(captures)
     if "renderer" not in c.columns:
@@ -117,7 +117,7 @@ def best_variant(captures: DataFrame, mode: str, min_text_chars: int, key: str =
     ok = F.col("reason") == "ok"
     http, browser = F.col("renderer") == "http", F.col("renderer") == "browser"
     if mode == "browser":
-        prio = F.when(browser & ok, 2).when(http & ok, 1)
+        prio = F.when(browser & ok, 2)
     elif mode == "auto":
         prio = F.when(http & ok & (F.col(chars_col) >= min_text_chars), 3).when(browser & ok, 2).when(http & ok, 1)
     else:
@@ -127,10 +127,13 @@ def best_variant(captures: DataFrame, mode: str, min_text_chars: int, key: str =
     return g.select(key, "v.*")
 
 
-def latest_diagnostic(diag: DataFrame, url_col: str = "url", seq_col: str = "seq") -> DataFrame:
-    """Newest diagnostic per URL (``row_number`` over the URL, newest first)."""
-    w = Window.partitionBy(url_col).orderBy(F.col(seq_col).desc())
-    return diag.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def latest_diagnostic(diag: DataFrame, seq_col: str = "seq") -> DataFrame:
+    """The newest diagnostic of each URL, be it the one asked for or the one arrived at. One partial
+    aggregate, so a URL that most fetches end at is no hot window."""
+    urls = F.array_distinct(F.array("url", "final_url"))
+    each = diag.select(F.explode(urls).alias("any_url"), "*")
+    g = each.groupBy("any_url").agg(F.max_by(F.struct(*diag.columns), seq_col).alias("v"))
+    return g.select("any_url", "v.*")
 
 
 def with_extracted_chars(diag: DataFrame, pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -140,6 +143,14 @@ def with_extracted_chars(diag: DataFrame, pages: DataFrame, key: str = "page_id"
     return diag.join(p, key, "left").withColumn("extracted_chars", F.coalesce("_x", "extracted_chars")).drop("_x")
 
 
+def outcomes(captures: DataFrame, key: str = "page_id") -> DataFrame:
+    """What A9 and F6 need of the last attempt, without its length (so the body is never read)."""
+    renderer = ["renderer"] if "renderer" in captures.columns else []
+    last = last_attempts(captures, key, ["url", "status", "reason", "elapsed_ms", *renderer])
+    status = F.coalesce(F.col("status").cast("string"), F.lit(""))
+    return last.select(key, "url", status.alias("status"), "reason", F.col("elapsed_ms").cast("bigint").alias("elapsed_ms"), (F.col("renderer") if renderer else F.lit("http")).alias("renderer"))
+
+
 def by_reason(diag: DataFrame) -> DataFrame:
     """Diagnostics counted by (reason, renderer) with total and largest elapsed time."""
     return diag.groupBy("reason", "renderer").agg(

@@ -2,17 +2,16 @@
 
 Plan (two passes over the text, as the service does):
 
-1. ``line_occurrences``: ``posexplode`` of each page's lines (narrow, no shuffle).
-2. ``line_frequencies`` (A1): ``groupBy(line).count()``. Partial aggregation runs map-side,
+1. ``line_frequencies`` (A1): ``groupBy(line).count()``. Partial aggregation runs map-side,
    so a line that makes up a third of the corpus is collapsed to one row per task before
    the shuffle.
-3. The droppable lines (count > 3 and not a protected heading) are written to the shared
+2. The droppable lines (count > 3 and not a protected heading) are written to the shared
    checkpoint folder, measured with one aggregate and broadcast only if they fit
    ``broadcast_bytes``; otherwise the join stays a shuffle join and AQE splits skewed
    partitions.
-4. J4 + A2: left join of every occurrence with the droppable set, then one ``groupBy(page)``
-   that rebuilds the kept lines in order (a page is one row already, so the group is bounded)
-   and applies T2. Pages that lose every line are kept with text ``"\\n"``.
+3. J4: the positions of the droppable lines of each page (``dropped_positions``).
+4. A2: pages joined with their positions and rebuilt row by row, then T2. Pages that lose every
+   line are kept with text ``"\\n"``.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import postprocess_markdown, py_rstrip, py_strip, splitlines
-from pagemill.session import cut_lineage, spread
+from pagemill.session import spread, written
 
 # Short lines that are never removed, compared lower-cased.
 PROTECTED_HEADINGS = ("overview", "introduction", "summary", "contents", "table of contents")
@@ -38,14 +37,9 @@ class BoilerplateOptions:
     checkpoint: bool = True
 
 
-def line_occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per line: (id, pos, raw). Empty texts keep one row with NULL pos / raw."""
-    return df.select(F.col(id_col), F.posexplode_outer(splitlines(text_col)).alias("pos", "raw"))
-
-
 def line_frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
     """A1: (line, n) over all occurrences of each stripped non-blank line."""
-    lines = spread(df.select(text_col)).select(F.explode(splitlines(text_col)).alias("raw")).select(py_strip("raw").alias("line"))
+    lines = df.select(F.explode(splitlines(text_col)).alias("raw")).select(py_strip("raw").alias("line"))
     return lines.where(F.col("line") != "").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -59,16 +53,6 @@ def protected_line(stripped: Column, protect_fences: bool = False) -> Column:
     return cond
 
 
-def keep_line(line: Column, frequency: Column, protect_fences: bool = False) -> Column:
-    """P11 as a column: ``_should_keep_line(line, frequency)``."""
-    stripped = py_strip(line)
-    return (
-        (F.coalesce(frequency, F.lit(0)) <= REPEAT_LIMIT)
-        | (stripped == "")
-        | protected_line(stripped, protect_fences)
-    )
-
-
 def droppable_lines(freq: DataFrame, opts: BoilerplateOptions = BoilerplateOptions()) -> DataFrame:
     return freq.where((F.col("n") > REPEAT_LIMIT) & ~protected_line(F.col("line"), opts.protect_fences)).select(
         "line"
@@ -80,25 +64,34 @@ def _fits_broadcast(df: DataFrame, max_bytes: int) -> bool:
     return (row["bytes"] or 0) <= max_bytes
 
 
+def dropped_positions(df: DataFrame, key: list[str], text_col: str, opts: BoilerplateOptions = BoilerplateOptions()) -> DataFrame:
+    """(key, _drops) for the texts that have a droppable line: the positions of such lines. Blank
+    lines never join; what is shuffled is a key and an array per text."""
+    drop = droppable_lines(line_frequencies(df, text_col), opts)
+    if opts.checkpoint:
+        drop = written(drop, "droppable-lines")
+        if _fits_broadcast(drop, opts.broadcast_bytes):
+            drop = F.broadcast(drop)
+    occ = df.select(*key, F.posexplode(splitlines(text_col)).alias("_pos", "raw")).select(*key, "_pos", py_strip("raw").alias("line"))
+    hit = occ.where(F.col("line") != "").join(drop, "line")
+    return hit.groupBy(*key).agg(F.collect_set("_pos").alias("_drops"))
+
+
 def boilerplate_filter(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     opts: BoilerplateOptions = BoilerplateOptions(),
 ) -> DataFrame:
-    """A2: (id, text) with lines repeated more than 3 times across ``df`` removed, then T2."""
+    """A2: (id, text) with lines repeated more than 3 times across ``df`` removed, then T2.
+
+    Only the positions of dropped lines come together by id; the texts are rebuilt row by row."""
     src = spread(df.select(id_col, text_col))
-    drop = droppable_lines(line_frequencies(src, text_col), opts)
+    drops = dropped_positions(src, [id_col], text_col, opts)
     if opts.checkpoint:
-        drop = cut_lineage(drop)
-        if _fits_broadcast(drop, opts.broadcast_bytes):
-            drop = F.broadcast(drop)
-    drop = drop.select(F.col("line").alias("_key"), F.lit(True).alias("_drop"))
-
-    occ = line_occurrences(src, id_col, text_col)
-    occ = occ.select(id_col, "pos", py_rstrip("raw").alias("line"), py_strip("raw").alias("_key"))
-    flagged = occ.join(drop, "_key", "left")
-    kept = F.when(F.col("_drop").isNull() & F.col("pos").isNotNull(), F.struct("pos", "line"))
-    rebuilt = flagged.groupBy(id_col).agg(F.array_sort(F.collect_list(kept)).alias("_lines"))
-    text = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
-    return rebuilt.select(F.col(id_col), postprocess_markdown(text).alias(text_col))
+        drops = written(drops, "dropped-positions")
+    joined = src.join(drops, id_col, "left")
+    positions = F.coalesce("_drops", F.array().cast("array<int>"))
+    lines = F.filter(splitlines(text_col), lambda line, k: ~F.array_contains(positions, k))
+    text = F.array_join(F.transform(lines, lambda line: py_rstrip(line)), "\n")
+    return joined.select(id_col, postprocess_markdown(F.coalesce(text, F.lit(""))).alias(text_col))

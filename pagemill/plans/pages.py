@@ -25,10 +25,9 @@ def page_records(pages: DataFrame, cfg: Config = Config(), profile: str = "crawl
     """(page_id, url, host, path, title, markdown, clean_text_chars, used_readability, renderer).
 
     Title falls back to the URL; pages without content keep Markdown ``"\\n"``."""
-    cfg = cfg.clamped()
     if nodes is None:
         nodes = node_table(pages, profile)
-    area = X.content_area(nodes, profile, cfg.main_selectors, readability=True, min_text_chars=cfg.min_text_chars)
+    area = X.content_area(nodes, profile, cfg.main_selectors, readability=cfg.readability_fallback, min_text_chars=cfg.min_text_chars)
     md = X.markdown(nodes, area, cfg.strip_links, cfg.strip_images, mark_code=(profile == "crawl"))
     title = X.titles(nodes)
     base = pages.select("page_id", F.col(url_col).alias("url"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.operators import lines
-from pagemill.session import cut_lineage, table, tune_session
+from pagemill.session import cut_lineage, scratch_path, spread, table, tune_session
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,7 +32,7 @@ def register(name: str):
 
 @register("a1_line_freq")
 def a1_line_freq(spark: SparkSession, d: str) -> DataFrame:
-    return lines.line_frequencies(table(spark, d, "documents").select("text"))
+    return lines.line_frequencies(spread(table(spark, d, "documents").select("text")))
 
 
 @register("a2_boilerplate")
@@ -218,24 +218,30 @@ def f5_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 @register("f6_errors")
 def f6_errors(spark: SparkSession, d: str) -> DataFrame:
-    return FL.errors(FL.diagnostics(FX.captures(spark, d)))
+    return FL.errors(FL.outcomes(FX.captures(spark, d)))
 
 
 @register("a9_by_reason")
 def a9_by_reason(spark: SparkSession, d: str) -> DataFrame:
-    return FL.by_reason(FL.diagnostics(FX.captures(spark, d)))
+    return FL.by_reason(FL.outcomes(FX.captures(spark, d)))
 
 
 @register("f4_variant")
 def f4_variant(spark: SparkSession, d: str) -> DataFrame:
-    v = FL.best_variant(FX.captures(spark, d), "auto", 600)
+    v = FL.best_variant(FX.rendered_captures(spark, d), "auto", 600)
+    return v.select("page_id", "attempt", "renderer", "reason", "chars")
+
+
+@register("f4_browser_variant")
+def f4_browser_variant(spark: SparkSession, d: str) -> DataFrame:
+    v = FL.best_variant(FX.rendered_captures(spark, d), "browser", 600)
     return v.select("page_id", "attempt", "renderer", "reason", "chars")
 
 
 @register("w2_latest_diag")
 def w2_latest_diag(spark: SparkSession, d: str) -> DataFrame:
     diag = FL.diagnostics(FX.captures(spark, d)).withColumn("seq", F.col("page_id"))
-    return FL.latest_diagnostic(diag, "final_url", "seq").select("final_url", "page_id", "reason")
+    return FL.latest_diagnostic(diag).select("any_url", "page_id", "reason")
 
 
 # ---------------------------------------------------------------- steps 2 + 5: HTML
@@ -318,8 +324,15 @@ def simple_records(spark: SparkSession, d: str) -> DataFrame:
     return cut_lineage(recs)
 
 
+def url_records(spark: SparkSession, d: str) -> DataFrame:
+    """Page records without title and body, for questions about URLs alone: the HTML is never read."""
+    df = U.with_normalized_url(_pages(spark, d, "page_id", "url"), "url", "norm_url")
+    df = U.with_host_path(df.drop("url").withColumnRenamed("norm_url", "url"), "url", None)
+    return df.select(F.col("page_id").cast("bigint").alias("ord"), "url", "host", "path")
+
+
 def _errors(spark: SparkSession, d: str) -> DataFrame:
-    return FL.errors(FL.diagnostics(FX.captures(spark, d))).withColumn("seq", F.col("page_id"))
+    return FL.errors(FL.outcomes(FX.captures(spark, d))).withColumn("seq", F.col("page_id"))
 
 
 @register("a7_combined")
@@ -356,12 +369,12 @@ def p12_search(spark: SparkSession, d: str) -> DataFrame:
 
 @register("x3_hosts")
 def x3_hosts(spark: SparkSession, d: str) -> DataFrame:
-    return EX.hosts_sorted(simple_records(spark, d))
+    return EX.hosts_sorted(url_records(spark, d))
 
 
 @register("a6_pages_per_host")
 def a6_pages_per_host(spark: SparkSession, d: str) -> DataFrame:
-    return EX.pages_per_host(simple_records(spark, d))
+    return EX.pages_per_host(url_records(spark, d))
 
 
 def _selection(spark: SparkSession, d: str) -> DataFrame:
@@ -393,14 +406,14 @@ def a4_run_summary(spark: SparkSession, d: str) -> DataFrame:
 from pagemill.plans import crawl as CR  # noqa: E402
 from pagemill.sources import sitemap as SM  # noqa: E402
 
-CRAWL = dict(max_depth=3, max_pages=500)  # the service's defaults after its clamps (depth 3, pages <= 500)
+def _crawl(spark: SparkSession, d: str, **limits):
+    """The link graph from the first page on; without limits until nothing new is reached."""
+    seeds = _pages(spark, d, "page_id").agg(F.min("page_id").alias("node"))
+    return CR.bfs(FX.link_graph(spark, d), seeds, **limits)
 
 
-def _crawl(spark: SparkSession, d: str):
-    edges = FX.link_graph(spark, d)
-    pages = _pages(spark, d, "page_id")
-    seeds = pages.agg(F.min("page_id").alias("node"))  # the crawl starts at the first page
-    return CR.bfs(edges, seeds, CRAWL["max_depth"], CRAWL["max_pages"])
+def _frontier(frontier: DataFrame) -> DataFrame:
+    return frontier.select(F.col("node").alias("page_id"), F.col("depth").cast("int").alias("depth"), "ord", "parent", "pos")
 
 
 @register("g2_bfs")
@@ -411,20 +424,62 @@ def g2_bfs(spark: SparkSession, d: str) -> DataFrame:
 
 @register("g2_crawl_order")
 def g2_crawl_order(spark: SparkSession, d: str) -> DataFrame:
-    frontier, _ = _crawl(spark, d)
-    return frontier.select(F.col("node").alias("page_id"), "depth", "ord", "parent", "pos")
+    return _frontier(_crawl(spark, d)[0])
 
 
 @register("g3_decisions")
 def g3_decisions(spark: SparkSession, d: str) -> DataFrame:
-    _, decisions = _crawl(spark, d)
-    return decisions
+    return _crawl(spark, d)[1]
 
 
 @register("a10_skipped")
 def a10_skipped(spark: SparkSession, d: str) -> DataFrame:
-    _, decisions = _crawl(spark, d)
-    return CR.skipped_counts(decisions)
+    return CR.skipped_counts(_crawl(spark, d)[1])
+
+
+# the limits are the feature here: a crawl that may admit 100 pages down to depth 4
+BUDGET = dict(max_depth=4, max_pages=100)
+
+
+@register("g4_budget_order")
+def g4_budget_order(spark: SparkSession, d: str) -> DataFrame:
+    return _frontier(_crawl(spark, d, **BUDGET)[0])
+
+
+@register("g4_budget_decisions")
+def g4_budget_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return _crawl(spark, d, **BUDGET)[1]
+
+
+def site_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, successful, aliases) of the captured pages by normalised URL: the link graph with the
+    enqueue rules (P8: extension, robots, blocked host) decided once per target, the pages whose best
+    variant (F4) is usable, and the final URLs of redirected ones (G6)."""
+    pages = _pages(spark, d, "page_id", "url")
+    named = cut_lineage(U.with_normalized_url(pages, "url", "norm_url").select("page_id", F.col("norm_url").alias("node")))
+    ruled = U.with_ignored_extension(named, "node", "ignored_ext")
+    ruled = RB.with_robots_disallowed(ruled, RB.robots_rules(FX.robots(spark, d)), "node", "disallowed")
+    ruled = cut_lineage(U.with_blocked_url(ruled, "node", "blocked"))
+    ok = ruled.select(F.col("page_id").alias("dst_id"), F.col("node").alias("dst"), (~F.col("ignored_ext") & ~F.col("disallowed") & ~F.col("blocked")).alias("can_enqueue"))
+    graph = FX.link_graph(spark, d).join(named.select(F.col("page_id").alias("src"), F.col("node").alias("src_url")), "src")
+    edges = graph.join(ok, graph.dst == ok.dst_id).select(F.col("src_url").alias("src"), "pos", ok.dst, "can_enqueue")
+    # two pages with one normalised URL are one node: its first page's links count
+    edges = edges.groupBy("src", "pos").agg(F.min(F.struct("dst", "can_enqueue")).alias("e")).select("src", "pos", "e.*")
+    best = FL.best_variant(FX.rendered_captures(spark, d), "auto", 600).select("page_id", "final_url")
+    best = cut_lineage(U.with_normalized_url(best.join(named, "page_id"), "final_url", "alias").select("node", "alias"))
+    successful = best.select("node").distinct()
+    aliases = best.filter("alias <> node and alias <> ''").groupBy("node").agg(F.min("alias").alias("alias"))
+    return edges, successful, aliases
+
+
+@register("g6_site_crawl")
+def g6_site_crawl(spark: SparkSession, d: str) -> DataFrame:
+    """The crawl job over captures: rules, variants, redirects and queue order together."""
+    edges, successful, aliases = site_graph(spark, d)
+    seeds = edges.agg(F.min("src").alias("node"))
+    frontier, _ = CR.bfs(edges, seeds, can_enqueue="can_enqueue", expandable=successful, aliases=aliases)
+    pages = CR.first_pages(frontier, successful).select("node", "page_no")
+    return frontier.join(pages, "node", "left").select("node", F.col("depth").cast("int").alias("depth"), "ord", "visited", "page_no")
 
 
 @register("s2_sitemap_urls")
@@ -435,8 +490,8 @@ def s2_sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
 
 @register("g5_sitemap_enqueue")
 def g5_sitemap_enqueue(spark: SparkSession, d: str) -> DataFrame:
-    """Sitemap URLs that pass P8 (internal to their site, robots) enter the queue at depth 0,
-    at most 3 x max_pages per site, in sitemap order."""
+    """Sitemap URLs that pass P8 (internal to their site, robots) enter the queue at depth 0, all of
+    them, at their first place in the sitemap."""
     e = SM.sitemap_entries(FX.sitemaps(spark, d)).where(F.col("kind") == "url")
     e = cut_lineage(U.with_normalized_url(e, "loc", "norm_url").select("host", "pos", "norm_url"))
     e = e.where(F.col("norm_url") != "")
@@ -449,9 +504,7 @@ def g5_sitemap_enqueue(spark: SparkSession, d: str) -> DataFrame:
     e = cut_lineage(e.select("host", "pos", "norm_url", "internal", "ignored_ext", "disallowed"))
     ok = e.where(F.col("internal") & ~F.col("ignored_ext") & ~F.col("disallowed"))
     first = ok.groupBy("host", "norm_url").agg(F.min("pos").alias("pos"))
-    w = Window.partitionBy("host").orderBy("pos")  # one site's sitemap: bounded by 3 x max_pages after the cut
-    ranked = first.withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= 3 * CRAWL["max_pages"]).select("host", "norm_url", "pos", F.lit(0).alias("depth"))
+    return first.select("host", "norm_url", "pos", F.lit(0).alias("depth"))
 
 
 # ---------------------------------------------------------------- step 7: import
@@ -472,7 +525,7 @@ def _doc_files(spark: SparkSession, d: str) -> DataFrame:
 
 @register("s4_text_import")
 def s4_text_import(spark: SparkSession, d: str) -> DataFrame:
-    docs = FI.import_documents(_doc_files(spark, d), "o")
+    docs = FI.import_documents(_doc_files(spark, d), "o", kinds=("text",))
     return docs.select("doc_no", "source", "title", "body_markdown", F.col("meta")["type"].alias("type"))
 
 
@@ -483,7 +536,7 @@ def s5_html_import(spark: SparkSession, d: str) -> DataFrame:
         F.encode("html", "UTF-8").alias("content"),
         F.col("page_id").alias("o"),
     )
-    return FI.import_documents(pages, "o").select("doc_no", "source", "title", "body_markdown", F.col("meta")["type"].alias("type"))
+    return FI.import_documents(pages, "o", kinds=("html",)).select("doc_no", "source", "title", "body_markdown", F.col("meta")["type"].alias("type"))
 
 
 def _mbox_files(spark: SparkSession, d: str) -> DataFrame:
@@ -493,7 +546,7 @@ def _mbox_files(spark: SparkSession, d: str) -> DataFrame:
 
 @register("s7_mbox_import")
 def s7_mbox_import(spark: SparkSession, d: str) -> DataFrame:
-    docs = FI.import_documents(_mbox_files(spark, d), "o")
+    docs = FI.import_documents(_mbox_files(spark, d), "o", kinds=("mail",))
     return docs.select("doc_no", "source", "title", "body_markdown", F.col("meta")["index"].alias("msg_index"))
 
 
@@ -503,22 +556,27 @@ def s6_eml_import(spark: SparkSession, d: str) -> DataFrame:
     msgs = FI.mbox_messages(
         FX.mail(spark, d).select(F.col("conv_id").alias("file_no"), F.concat(F.lit("/m/"), F.col("filename")).alias("path"), F.col("content").alias("text"))
     )
-    eml = msgs.select(
+    eml = CR.dense_rank_by(msgs, "msg_id", "o").select(
         F.concat(F.lit("/import/msg-"), F.col("file_no").cast("string"), F.lit("-"), F.col("idx").cast("string"), F.lit(".eml")).alias("path"),
         F.encode("raw", "UTF-8").alias("content"),
-        F.col("msg_id").alias("o"),
+        "o",
     )
-    return FI.import_documents(eml, "o").select("doc_no", "source", "title", "body_markdown")
+    return FI.import_documents(eml, "o", kinds=("mail",)).select("doc_no", "source", "title", "body_markdown")
 
 
 @register("s13_import_combined")
 def s13_import_combined(spark: SparkSession, d: str) -> DataFrame:
-    return FI.import_combined_parts(FI.import_documents(_doc_files(spark, d), "o"))
+    return FI.import_combined_parts(FI.import_documents(_doc_files(spark, d), "o", kinds=("text",)))
 
 
 @register("s14_import_bundle")
 def s14_import_bundle(spark: SparkSession, d: str) -> DataFrame:
-    return FI.import_bundle(FI.import_documents(_doc_files(spark, d), "o")).drop("title")
+    return FI.import_bundle(FI.import_documents(_doc_files(spark, d), "o", kinds=("text",))).drop("title")
+
+
+@register("s14_index")
+def s14_index(spark: SparkSession, d: str) -> DataFrame:
+    return FI.import_index_lines(FI.import_bundle(FI.import_documents(_doc_files(spark, d), "o", kinds=("text",))))
 
 
 @register("t1_normalize")
@@ -535,21 +593,21 @@ from pagemill.streaming import stream as ST  # noqa: E402
 
 @register("st1_url_dedupe_stream")
 def st1_url_dedupe_stream(spark: SparkSession, d: str) -> DataFrame:
-    path = ST._scratch(spark, "pages-in")
+    path = scratch_path(spark, "pages-in")
     # the captured URLs as files arriving in a folder (four files -> four micro-batches)
     _pages(spark, d, "page_id", "url").repartition(4, "page_id").write.parquet(path)
     src = spark.readStream.schema("page_id long, url string").option("maxFilesPerTrigger", 1).parquet(path)
-    out = ST.run_available_now(ST.url_dedupe_stream(src), "st1")
+    out = ST.run_available_now(ST.url_dedupe_stream(src), scratch_path(spark, "st1"))
     return out.select("norm_url").where(F.col("norm_url") != "")
 
 
 @register("st2_outcome_counts_stream")
 def st2_outcome_counts_stream(spark: SparkSession, d: str) -> DataFrame:
     cap = FX.captures(spark, d)
-    path = ST._scratch(spark, "captures-in")
+    path = scratch_path(spark, "captures-in")
     cap.write.parquet(path)  # the capture log as files arriving in a folder
     src = spark.readStream.schema(cap.schema).parquet(path)
-    upd = ST.run_available_now(ST.outcome_counts_stream(src), "st2", mode="update")
+    upd = ST.run_available_now(ST.outcome_counts_stream(src), scratch_path(spark, "st2"), mode="update")
     return ST.latest_per_group(upd, ["host", "reason"])
 
 

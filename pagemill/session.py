@@ -101,10 +101,8 @@ def size_at_most(df: DataFrame, rows: int) -> bool:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over the cluster when its scan yields fewer partitions than there are
-    cores (a single-row-group file is one task). A large input already arrives in many splits and
-    is returned unchanged, so no shuffle is added at scale."""
+    """Round-robin a table of fewer files than there are cores over the cluster (a file with one row
+    group is one task). A table of many files, or a frame that reads none, is returned unchanged; only
+    the file list is looked at, nothing is run."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import decode_utf8, extension, file_name, first_nonempty, normalize_markdown
 from pagemill.operators import extract as X
+from pagemill.session import cut_lineage, spread
 from pagemill.sources.html_nodes import html_nodes
 
 DOC_SCHEMA = "doc_no long, source string, url string, title string, body_markdown string, meta map<string,string>"
@@ -32,6 +33,11 @@ PART_SCHEMA = (
 )
 
 
+def doc_key(file_no: str):
+    """First key of a file's documents. A file is one string of less than 2**31 bytes, so it has fewer messages than that."""
+    return F.shiftleft(F.col(file_no).cast("long"), 31)
+
+
 # ------------------------------------------------------------------ MIME parts (the Python step)
 
 
@@ -66,8 +72,6 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def message_parts(messages: DataFrame) -> DataFrame:
     """(msg_id, part_no, headers..., content_type, disposition, text) per MIME part, written once
     to the checkpoint folder so the header, body and HTML branches do not re-run the parser."""
-    from pagemill.session import cut_lineage, spread
-
     raw = spread(messages.select(F.col("msg_id").cast("long"), F.col("raw")))
     return cut_lineage(raw.mapInPandas(_parts, PART_SCHEMA))
 
@@ -75,7 +79,7 @@ def message_parts(messages: DataFrame) -> DataFrame:
 def _html_to_markdown(parts: DataFrame) -> DataFrame:
     """text/html parts -> Markdown with links kept (import profile, whole document)."""
     html = parts.where(F.col("content_type") == "text/html").select(F.col("msg_id").alias("page_id"), F.col("text").alias("html"))
-    nodes = X.with_removed(html_nodes(html), "import")
+    nodes = cut_lineage(X.with_removed(html_nodes(html), "import"))  # tokenised once
     area = nodes.select("page_id").distinct().withColumn("container_n", F.lit(-1))
     md = X.markdown(nodes, area, strip_links=False, strip_images=True, mark_code=False)
     return md.select(F.col("page_id").alias("msg_id"), F.col("markdown").alias("html_md"))
@@ -115,11 +119,12 @@ def mbox_messages(files: DataFrame) -> DataFrame:
     lines = files.select("file_no", "path", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("ln", "line"))
     w = Window.partitionBy("file_no").orderBy("ln").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("idx", F.sum(F.when(F.col("line").startswith("From "), 1).otherwise(0)).over(w))
-    body = lines.where((F.col("idx") > 0) & ~F.col("line").startswith("From "))
-    msgs = body.groupBy("file_no", "path", "idx").agg(F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("ls"))
+    # the separator opens its message, so a message that has nothing else is still one
+    body = F.when(~F.col("line").startswith("From "), F.struct("ln", "line"))
+    msgs = lines.where(F.col("idx") > 0).groupBy("file_no", "path", "idx").agg(F.array_sort(F.collect_list(body)).alias("ls"))
     name = file_name("path")
     return msgs.select(
-        (F.col("file_no") * 1_000_000 + F.col("idx")).alias("msg_id"),
+        (doc_key("file_no") + F.col("idx")).alias("msg_id"),
         F.concat(name, F.lit("#"), F.col("idx").cast("string")).alias("source"),
         F.concat(F.lit("Message "), F.col("idx").cast("string")).alias("fallback_title"),
         F.create_map(F.lit("type"), F.lit("email"), F.lit("mbox_source"), name, F.lit("index"), F.col("idx").cast("string")).alias("meta"),
@@ -139,7 +144,7 @@ def _text_docs(files: DataFrame) -> DataFrame:
         F.create_map(F.lit("type"), F.lit("text"), F.lit("note"), F.lit("Unknown extension treated as text"))
     )
     return files.select(
-        (F.col("file_no") * 1_000_000).alias("doc_no"),
+        doc_key("file_no").alias("doc_no"),
         F.coalesce(F.when(name != "", name), F.when(known, F.lit("text")).otherwise(F.lit("file"))).alias("source"),
         F.lit(None).cast("string").alias("url"),
         F.coalesce(F.when(name != "", name), F.when(known, F.lit("Text document")).otherwise(F.lit("Uploaded file"))).alias("title"),
@@ -152,13 +157,13 @@ def _html_docs(files: DataFrame) -> DataFrame:
     """Noise tags removed, selectors then body then the whole document, title or file name."""
     name = F.coalesce(F.when(file_name("path") != "", file_name("path")), F.lit("HTML page"))
     src = files.select(F.col("file_no").alias("page_id"), F.col("text").alias("html"))
-    nodes = X.with_removed(html_nodes(src), "import")
+    nodes = cut_lineage(X.with_removed(html_nodes(src), "import"))  # tokenised once
     area = X.content_area(nodes, "import", readability=False)
     md = X.markdown(nodes, area, strip_links=True, strip_images=True, mark_code=False)
     title = X.titles(nodes)
     df = files.join(md.withColumnRenamed("page_id", "file_no"), "file_no", "left").join(title.withColumnRenamed("page_id", "file_no"), "file_no", "left")
     return df.select(
-        (F.col("file_no") * 1_000_000).alias("doc_no"),
+        doc_key("file_no").alias("doc_no"),
         name.alias("source"),
         F.lit(None).cast("string").alias("url"),
         F.coalesce(first_nonempty("title"), name).alias("title"),
@@ -167,53 +172,57 @@ def _html_docs(files: DataFrame) -> DataFrame:
     )
 
 
-def _eml_docs(files: DataFrame) -> DataFrame:
+def _eml_messages(files: DataFrame) -> DataFrame:
     name = F.coalesce(F.when(file_name("path") != "", file_name("path")), F.lit("email"))
-    msgs = files.select(
-        (F.col("file_no") * 1_000_000).alias("msg_id"),
-        (F.col("file_no") * 1_000_000).alias("doc_no"),
+    return files.select(
+        doc_key("file_no").alias("msg_id"),
         name.alias("source"),
         name.alias("fallback_title"),
         F.create_map(F.lit("type"), F.lit("email")).alias("meta"),
         F.col("text").alias("raw"),
     )
-    return email_documents(msgs)
 
 
-def _mbox_docs(files: DataFrame) -> DataFrame:
-    msgs = mbox_messages(files).withColumn("doc_no", F.col("msg_id"))
-    return email_documents(msgs)
+def _mail_docs(files: DataFrame) -> DataFrame:
+    """S6 + S7 together: one pass of the MIME reader over single messages and mailboxes."""
+    boxes = mbox_messages(files.where(F.col("ext") == ".mbox")).drop("file_no", "idx")
+    single = _eml_messages(files.where(F.col("ext") != ".mbox"))
+    return email_documents(single.unionByName(boxes).withColumn("doc_no", F.col("msg_id")))
 
 
-READERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    ".html": _html_docs,
-    ".htm": _html_docs,
-    ".eml": _eml_docs,
-    ".mbox": _mbox_docs,
-}
+Reader = Callable[[DataFrame], DataFrame]
+#: kind -> (extensions, reader); a kind is one branch of the plan. Other extensions are text.
+READERS: dict[str, tuple[tuple[str, ...], Reader]] = {"html": ((".html", ".htm"), _html_docs), "mail": ((".eml", ".mbox"), _mail_docs)}
 
 
-def register_reader(ext: str, fn: Callable[[DataFrame], DataFrame]) -> None:
+def register_reader(kind: str, extensions: tuple[str, ...], fn: Reader) -> None:
     """S17 extension point: a reader is ``files(file_no, path, ext, text) -> documents``."""
-    READERS[ext.lower()] = fn
+    READERS[kind] = (tuple(e.lower() for e in extensions), fn)
 
 
-def import_documents(files: DataFrame, file_order: str | None = None) -> DataFrame:
+def import_documents(files: DataFrame, file_order: str | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """files(path, content[, order]) -> documents(doc_no, source, url, title, body_markdown, meta).
 
-    ``doc_no`` orders documents as the service lists them (file order, then message index)."""
+    ``doc_no`` orders documents as the service lists them (file order, then message index). ``kinds``
+    names the kinds of files there are ("text" and those of ``READERS``); the plan then has no branch for
+    the others, and files of other kinds are left out."""
     if file_order:
         f = files.select("path", "content", F.col(file_order).cast("long").alias("file_no"))
     else:  # files in path order; a distributed dense rank, no one-partition window
         from pagemill.plans.crawl import dense_rank_by
 
         f = dense_rank_by(files.select("path", "content"), "path", "file_no", 1)
-    from pagemill.session import spread
-
     f = spread(f).select("file_no", "path", extension("path").alias("ext"), decode_utf8("content").alias("text"))
-    docs = _text_docs(f.where(~F.col("ext").isin(*READERS.keys())))
-    for ext in sorted(set(READERS)):
-        docs = docs.unionByName(READERS[ext](f.where(F.col("ext") == ext)))
+    known = [e for exts, _ in READERS.values() for e in exts]
+    branches = []
+    if kinds is None or "text" in kinds:
+        branches.append(_text_docs(f.where(~F.col("ext").isin(*known))))
+    for kind, (exts, read) in READERS.items():
+        if kinds is None or kind in kinds:
+            branches.append(read(f.where(F.col("ext").isin(*exts))))
+    docs = branches[0]
+    for more in branches[1:]:
+        docs = docs.unionByName(more)
     return docs
 
 
@@ -250,7 +259,7 @@ def import_bundle(docs: DataFrame) -> DataFrame:
 
 def import_index_lines(bundle: DataFrame) -> DataFrame:
     """S14 index.md as ordered lines (i, line): '# Imported documents', blank, '- [title](file)'.
-    ``index_text`` = T1 of the lines joined by newlines."""
+    The file is T1 of the lines joined by newlines."""
     head = bundle.sparkSession.createDataFrame([(-1, "# Imported documents"), (0, "")], "i long, line string")
     entries = bundle.select(
         F.col("i").cast("long").alias("i"),

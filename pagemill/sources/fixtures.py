@@ -49,6 +49,20 @@ def captures(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def rendered_captures(spark: SparkSession, d: str) -> DataFrame:
+    """``captures`` with a renderer: every third page is also rendered by a browser, in one attempt that
+    fails on every fifteenth page; of every seventh page the http text is short."""
+    c = captures(spark, d)
+    http = c.withColumn("renderer", F.lit("http")).withColumn("chars", F.when(F.col("page_id") % 7 == 0, F.lit(100)).otherwise(F.col("chars")).cast("bigint"))
+    browser = c.where((F.col("attempt") == 0) & (F.col("page_id") % 3 == 0)).withColumns({
+        "renderer": F.lit("browser"),
+        "status": F.when(F.col("page_id") % 15 == 0, 500).otherwise(200).cast("int"),
+        "content_type": F.lit("text/html"),
+        "failure": F.lit(""),
+    })
+    return http.unionByName(browser)
+
+
 def link_graph(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages").select("page_id")
     n = p.count()  # one number, computed by Spark

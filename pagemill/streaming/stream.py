@@ -5,24 +5,17 @@ state; without an event-time watermark the state grows with the number of distin
 production stream should pass ``watermark``). ST2: running outcome counts per host, an
 aggregation in update mode written per micro-batch with ``foreachBatch``.
 
-Both run with ``Trigger.AvailableNow``; sinks and state live under the session's checkpoint
-folder, so a restarted query resumes exactly once from its offsets.
+Both run with ``Trigger.AvailableNow``; sink and state live below a folder that the caller names, so a
+query restarted with the same folder resumes from its offsets.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import with_normalized_url, with_url_parts
 from pagemill.operators.fetchlog import outcome
-from pagemill.session import ensure_checkpoint_dir
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:8]}"
 
 
 def url_dedupe_stream(source: DataFrame, url_col: str = "url", watermark: tuple[str, str] | None = None) -> DataFrame:
@@ -41,17 +34,18 @@ def outcome_counts_stream(captures: DataFrame) -> DataFrame:
     return df.groupBy(F.col("c_host").alias("host"), "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_available_now(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming query to completion (AvailableNow) into a parquet table under the
-    checkpoint folder and return the table as a batch DataFrame."""
+def run_available_now(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a streaming query to completion (AvailableNow) into a Parquet table below ``folder`` and
+    return the table. ``folder`` holds the sink and the state: started again with the same folder, the
+    query goes on from its offsets and writes each row once."""
     spark = stream.sparkSession
-    out, ckpt = _scratch(spark, name + "-out"), _scratch(spark, name + "-state")
+    out, ckpt = f"{folder}/out", f"{folder}/state"
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    else:  # update mode: each micro-batch carries the changed groups; keep the latest value per group
+    else:  # update mode: each micro-batch carries the changed groups; a repeated batch replaces its own part
 
         def upsert(batch: DataFrame, epoch: int) -> None:
-            batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+            batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
         q = stream.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
