@@ -137,24 +137,23 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
     twice = beside.select(
         "range", "at", "id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"),
-        F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"),
-        F.xxhash64("next_text").alias("x1"), F.xxhash64(F.lit(1), "next_text").alias("x2"),
+        "next_range", "next_at",
     )
-    keys = ["range", "at", "id", "n_chars", "sha", "t1", "t2", "x1", "x2"]
+    keys = ["range", "at", "id", "n_chars", "sha", "next_range", "next_at"]
     twice = twice.withColumn("sha", F.unhex(F.sha2(F.encode("edited", "UTF-8"), 256)))
     twice = twice.select(*keys, F.posexplode(F.array("text", "edited")).alias("kind", "body"))
     made = fingerprints(twice, [*keys, "kind"], words(F.lower("body"), r"\s+"), length)
     of = lambda k: F.max(F.when(F.col("kind") == k, F.col("fingerprint")))
     rows = written(made.groupBy(*keys).agg(of(0).alias("own"), of(1).alias("edited")), "fingerprints")
 
-    following = rows.groupBy(F.col("t1").alias("x1"), F.col("t2").alias("x2")).agg(F.max("own").alias("next"))
+    following = rows.select(F.col("range").alias("next_range"), F.col("at").alias("next_at"), F.col("own").alias("next"))
     is_query = F.coalesce(F.col("id") % 100 == 0, F.lit(False))
     weights = rows.groupBy(F.col("own").alias("fp")).agg(F.count(F.lit(1)).alias("copies"))
     near = within_radius(rows.filter(is_query).select(F.col("own").alias("q")), weights, radius)
     near = near.join(weights, "fp").groupBy(F.col("q").alias("own")).agg(F.sum("copies").alias("near_docs"))
     asked = rows.withColumn("asked", F.when(is_query, F.col("own")))
     near = near.withColumnRenamed("own", "asked")
-    out = asked.join(following, ["x1", "x2"], "left").join(near, "asked", "left")
+    out = asked.join(following, ["next_range", "next_at"]).join(near, "asked", "left")
     like = lambda a, b: 1 - distance(a, b) / F.lit(64.0)
     return out.select(
         F.col("id").alias(id_col), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
@@ -165,7 +164,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def with_next(docs: DataFrame, id_col: str, carry: Sequence[str], buckets: int) -> DataFrame:
     """``docs`` with ``next_<c>`` for each ``c`` of ``carry``, of the next row by descending id; after the
-    last comes the first again. No one-task window: rows are cut into ``buckets`` id ranges by
+    last comes the first again. (range, at) numbers a row, (next_range, next_at) its successor. No one-task window: rows are cut into ``buckets`` id ranges by
     approximate quantiles; only the last row of a range looks up the first row of the next range.
 
     Ties of the id are ordered by the hash of the carried columns; a null id comes last."""
@@ -186,7 +185,10 @@ def with_next(docs: DataFrame, id_col: str, carry: Sequence[str], buckets: int)
     after = list(zip(present, present[1:] + present[:1])) or [(0, 0)]
     chain = spark.createDataFrame(after, "range int, range_next int")
     heads = heads.withColumnRenamed("range", "range_next").join(F.broadcast(chain), "range_next")
-    joined = rows.join(heads.select("range", "head"), "range", "left")
+    joined = rows.join(heads.select("range", "head", "range_next"), "range", "left")
+    last = F.col(f"in_{carry[0]}").isNull()
     return joined.select(
-        *docs.columns, "range", "at", *[F.coalesce(F.col(f"in_{c}.v"), F.when(F.col(f"in_{c}").isNull(), F.col(f"head.{c}"))).alias(f"next_{c}") for c in carry]
+        *docs.columns, "range", "at",
+        F.when(last, F.col("range_next")).otherwise(F.col("range")).alias("next_range"), F.when(last, F.lit(1)).otherwise(F.col("at") + 1).alias("next_at"),
+        *[F.coalesce(F.col(f"in_{c}.v"), F.when(F.col(f"in_{c}").isNull(), F.col(f"head.{c}"))).alias(f"next_{c}") for c in carry]
     )
