@@ -487,38 +487,39 @@ def with_urljoin(df: DataFrame, base: str, href: str, out: str) -> DataFrame:
     t = _tmp()
     df = with_url_parts(df, base, t + "b_")
     df = with_url_parts(df, href, t + "h_")
-    b = lambda k: F.col(f"{t}b_{k}")
-    h = lambda k: F.col(f"{t}h_{k}")
+    df = with_joined_parts(df, base, href, out, t + "b_", t + "h_")
+    return df.drop(*[c for c in df.columns if c.startswith(t)])
+
+
+def with_joined_parts(df: DataFrame, base: str, href: str, out: str, base_parts: str, href_parts: str) -> DataFrame:
+    """``with_urljoin`` for URLs that are split already, into columns with the given prefixes."""
+    t = _tmp()
+    b = lambda k: F.col(f"{base_parts}{k}")
+    h = lambda k: F.col(f"{href_parts}{k}")
     df = df.withColumn(t + "s", F.when(h("scheme") != "", h("scheme")).otherwise(b("scheme")))
     s = F.col(t + "s")
-    base_parts = F.split(b("path"), "/", -1)
-    base_parts = F.when(F.element_at(base_parts, -1) != "", F.slice(base_parts, 1, F.size(base_parts) - 1)).otherwise(base_parts)
-    rel = F.concat(base_parts, F.split(h("path"), "/", -1))
-    n = F.size(rel)
-    rel = F.when(
-        n > 2,
-        F.concat(F.slice(rel, 1, 1), F.filter(F.slice(rel, 2, F.greatest(n - 2, F.lit(1))), lambda x: x != ""), F.slice(rel, -1, 1)),
-    ).otherwise(rel)
-    segments = F.when(h("path").startswith("/"), F.split(h("path"), "/", -1)).otherwise(rel)
-    df = df.withColumn(t + "seg", _resolve_dots(segments))
-    merged = F.coalesce(nonempty(F.array_join(F.col(t + "seg"), "/")), F.lit("/"))
-
-    def with_params(path: Column, params: Column) -> Column:
-        return F.when(params != "", F.concat(path, F.lit(";"), params)).otherwise(path)
-
-    def with_frag(u: Column) -> Column:
-        return F.when(h("fragment") != "", F.concat(u, F.lit("#"), h("fragment"))).otherwise(u)
-
-    no_path = (h("path") == "") & (h("params") == "")
-    joined = (
-        F.when((s != b("scheme")) | ~s.isin(*USES_RELATIVE), F.col(href))
-        .when(s.isin(*USES_NETLOC) & (h("netloc") != ""), with_frag(_unsplit(s, h("netloc"), with_params(h("path"), h("params")), h("query"))))
-        .when(
-            no_path,
-            with_frag(_unsplit(s, b("netloc"), with_params(b("path"), b("params")), F.when(h("query") != "", h("query")).otherwise(b("query")))),
-        )
-        .otherwise(with_frag(_unsplit(s, b("netloc"), with_params(merged, h("params")), h("query"))))
-    )
+    folder = F.split(b("path"), "/", -1)
+    df = df.withColumn(t + "rel", F.concat(F.when(F.element_at(folder, -1) != "", F.slice(folder, 1, F.size(folder) - 1)).otherwise(folder), F.split(h("path"), "/", -1)))
+    rel, n = F.col(t + "rel"), F.size(t + "rel")
+    inner = F.filter(F.slice(rel, 2, F.greatest(n - 2, F.lit(1))), lambda x: x != "")
+    rel = F.when(n > 2, F.concat(F.slice(rel, 1, 1), inner, F.slice(rel, -1, 1))).otherwise(rel)
+    df = df.withColumn(t + "segs", F.when(h("path").startswith("/"), F.split(h("path"), "/", -1)).otherwise(rel))
+    merged = F.coalesce(nonempty(F.array_join(_resolve_dots(F.col(t + "segs")), "/")), F.lit("/"))
+    # each part of the result is chosen once: the reference's own from its host on, or the base's as far as it is silent
+    df = df.withColumn(t + "own", s.isin(*USES_NETLOC) & (h("netloc") != ""))
+    df = df.withColumn(t + "silent", ~F.col(t + "own") & (h("path") == "") & (h("params") == ""))
+    own, silent = F.col(t + "own"), F.col(t + "silent")
+    df = df.withColumns({
+        t + "netloc": F.when(own, h("netloc")).otherwise(b("netloc")),
+        t + "path": F.when(own, h("path")).when(silent, b("path")).otherwise(merged),
+        t + "params": F.when(silent, b("params")).otherwise(h("params")),
+        t + "query": F.when(silent & (h("query") == ""), b("query")).otherwise(h("query")),
+    })
+    params = F.col(t + "params")
+    path = F.when(params != "", F.concat(F.col(t + "path"), F.lit(";"), params)).otherwise(F.col(t + "path"))
+    df = df.withColumn(t + "url", _unsplit(s, F.col(t + "netloc"), path, F.col(t + "query")))
+    url = F.when(h("fragment") != "", F.concat(F.col(t + "url"), F.lit("#"), h("fragment"))).otherwise(F.col(t + "url"))
+    joined = F.when((s != b("scheme")) | ~s.isin(*USES_RELATIVE), F.col(href)).otherwise(url)
     src_b, src_h = F.col(base), F.col(href)
     df = df.withColumn(
         out,

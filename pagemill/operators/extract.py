@@ -189,20 +189,23 @@ def main_text(nodes: DataFrame, area: DataFrame) -> DataFrame:
 
 
 def markdown(nodes: DataFrame, area: DataFrame, strip_links: bool = True, strip_images: bool = True, mark_code: bool = True) -> DataFrame:
-    """H8: (page_id, markdown) with T2 applied. Anchors always render as their text (with
-    ``strip_links=False`` the service appends reference-style link lists; ours does not) and
-    images as nothing."""
+    """H8: (page_id, markdown) with T2 applied. Items of a list follow each other line by line, indented by
+    depth, with bullets or their numbers; a table is a line per row with a rule after the first. Links
+    and images are their text and nothing, or with ``strip_links`` / ``strip_images`` off their Markdown."""
     rows = content_rows(nodes, area)
     rows = rows.where((F.col("kind") == "t") | F.col("tag").isin("br", "hr", "img"))
     anc = F.arrays_zip("anc_n", "anc_tag")
     below = F.filter(anc, lambda x: x["anc_n"] >= F.col("container_n"))
     blocks = F.filter(below, lambda x: x["anc_tag"].isin(*BLOCK_TAGS))
+    nearest = lambda tag: F.get(F.transform(F.reverse(F.filter(below, lambda x: x["anc_tag"] == tag)), lambda x: x["anc_n"]), 0)
     rows = rows.withColumn("_blk", F.element_at(blocks, -1))
     rows = rows.withColumns(
         {
             "block_n": F.coalesce(F.col("_blk.anc_n"), F.lit(-1)),
             "block_tag": F.coalesce(F.col("_blk.anc_tag"), F.lit("")),
             "in_pre": F.exists("anc_tag", lambda t: t == "pre"),
+            "tr_n": nearest("tr"),
+            "table_n": nearest("table"),
         }
     )
     inline = F.filter(below, lambda x: x["anc_n"] > F.col("block_n"))
@@ -214,24 +217,32 @@ def markdown(nodes: DataFrame, area: DataFrame, strip_links: bool = True, strip_
     core = F.regexp_extract(body, r"(?s)^\s*(.*?)\s*\z", 1)
     lead = F.regexp_extract(body, r"(?s)^(\s*)", 1)
     trail = F.regexp_extract(body, r"(?s)(\s*)\z", 1)
-
-    def wrap(c: Column, mark: str, cond: Column) -> Column:
-        return F.when(cond & (core != ""), F.concat(lead, F.lit(mark), core, F.lit(mark), trail)).otherwise(c)
-
-    piece = F.when(F.col("in_pre"), body).otherwise(wrap(wrap(wrap(body, "`", code), "_", italic), "**", bold))
+    # marks go around the text without its outer blanks: code innermost, then italic, bold and the link
+    marked = core
+    for mark, cond in (("`", code), ("_", italic), ("**", bold)):
+        marked = F.when(cond, F.concat(F.lit(mark), marked, F.lit(mark))).otherwise(marked)
+    if not strip_links:
+        target = F.coalesce("link", F.lit(""))
+        marked = F.when(target != "", F.concat(F.lit("["), marked, F.lit("]("), target, F.lit(")"))).otherwise(marked)
+    piece = F.when(F.col("in_pre") | (core == ""), body).otherwise(F.concat(lead, marked, trail))
+    image = F.lit("") if strip_images else F.concat(F.lit("!["), F.coalesce("alt", F.lit("")), F.lit("]("), F.coalesce("src", F.lit("")), F.lit(")"))
     piece = (
         F.when(F.col("tag") == "br", F.lit("\n"))
         .when(F.col("tag") == "hr", F.lit("\n\n* * *\n\n"))
-        .when(F.col("tag") == "img", F.lit(""))
+        .when(F.col("tag") == "img", image)
         .otherwise(piece)
     )
-    rows = rows.select("page_id", "n", "block_n", "block_tag", "in_pre", piece.alias("piece"))
+    rows = rows.select("page_id", "n", "block_n", "block_tag", "in_pre", "tr_n", "table_n", "li_no", "list_depth", piece.alias("piece"))
     w = Window.partitionBy("page_id").orderBy("n")
     change = F.when(F.lag("block_n").over(w).isNull() | (F.lag("block_n").over(w) != F.col("block_n")), 1).otherwise(0)
     rows = rows.withColumn("seg", F.sum(change).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first = lambda c: F.min_by(c, "n").alias(c)
     segs = rows.groupBy("page_id", "seg").agg(
-        F.first("block_tag").alias("block_tag"),
-        F.max("in_pre").alias("in_pre"),
+        first("block_tag"),
+        first("tr_n"),
+        first("table_n"),
+        first("li_no"),
+        first("list_depth"),
         F.array_sort(F.collect_list(F.struct("n", "piece"))).alias("ps"),
     )
     txt = F.array_join(F.transform("ps", lambda x: x["piece"]), "")
@@ -240,15 +251,28 @@ def markdown(nodes: DataFrame, area: DataFrame, strip_links: bool = True, strip_
     bt = F.col("block_tag")
     level = F.regexp_extract(bt, r"^h([1-6])\z", 1)
     t = F.col("t")
+    item = F.when(F.col("li_no") > 0, F.concat(F.col("li_no").cast("string"), F.lit(". "))).otherwise(F.lit("* "))
     fmt = (
         F.when(t.rlike(r"^\s*\z"), F.lit(""))
         .when(level != "", F.concat(F.repeat(F.lit("#"), level.cast("int")), F.lit(" "), F.regexp_replace(t, "\n", " ")))
-        .when(bt == "li", F.concat(F.lit("  * "), t))
+        .when(bt == "li", F.concat(F.repeat(F.lit("  "), F.greatest(F.coalesce("list_depth", F.lit(1)), F.lit(1))), item, t))
         .when(bt == "blockquote", F.concat(F.lit("> "), F.regexp_replace(t, "\n", "\n> ")))
         .when(bt == "pre", F.concat(F.lit("[code]" if mark_code else ""), t, F.lit("[/code]" if mark_code else "")))
+        .when(bt.isin("td", "th"), F.regexp_replace(t, "\n", " "))
         .otherwise(t)
     )
-    segs = segs.select("page_id", "seg", fmt.alias("md")).where(F.col("md") != "")
-    g = segs.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seg", "md"))).alias("bs"))
-    md = F.array_join(F.transform("bs", lambda x: x["md"]), "\n\n")
+    segs = segs.select("page_id", "seg", (bt == "li").alias("is_item"), F.when(bt.isin("td", "th"), F.col("table_n")).alias("table_n"), "tr_n", fmt.alias("md"))
+    # one block per page for each table: its rows are lines of cells, with a rule after the first
+    cells = segs.where(F.col("table_n").isNotNull()).groupBy("page_id", "table_n", "tr_n").agg(F.array_sort(F.collect_list(F.struct("seg", "md"))).alias("cs"))
+    line = F.array_join(F.transform("cs", lambda x: x["md"]), " | ")
+    lines = cells.select("page_id", "table_n", F.get("cs", F.lit(0))["seg"].alias("seg"), line.alias("line"), F.size("cs").alias("width"))
+    tables = lines.groupBy("page_id", "table_n").agg(F.array_sort(F.collect_list(F.struct("seg", "line", "width"))).alias("ls"))
+    top = F.get("ls", F.lit(0))
+    rule = F.array_join(F.array_repeat(F.lit("---"), top["width"]), "|")
+    shown = F.concat(F.array(top["line"], rule), F.transform(F.slice("ls", 2, F.size("ls")), lambda x: x["line"]))
+    tables = tables.select("page_id", top["seg"].alias("seg"), F.lit(False).alias("is_item"), F.array_join(shown, "\n").alias("md"))
+    blocks_ = segs.where(F.col("table_n").isNull() & (F.col("md") != "")).select("page_id", "seg", "is_item", "md").unionByName(tables)
+    g = blocks_.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seg", "is_item", "md"))).alias("bs"))
+    sep = lambda x, k: F.when(k == 0, F.lit("")).when(x["is_item"] & F.get("bs", k - 1)["is_item"], F.lit("\n")).otherwise(F.lit("\n\n"))
+    md = F.array_join(F.transform("bs", lambda x, k: F.concat(sep(x, k), x["md"])), "")
     return g.select("page_id", postprocess_markdown(md).alias("markdown"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.urls import with_normalized_url, with_urljoin
+from pagemill.functions.urls import with_joined_parts, with_normalized_url, with_url_parts, with_urljoin
 from pagemill.session import cut_lineage
 
 
@@ -19,10 +19,11 @@ def anchors(nodes: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, pages: DataFrame, base_col: str = "url") -> DataFrame:
     """G1: (page_id, pos, href, dst_url); dst_url = normalize(urljoin(base, href)), '' when not http(s)."""
-    a = anchors(nodes).join(pages.select(F.col("page_id"), F.col(base_col).alias("_base")), "page_id")
-    a = with_urljoin(a, "_base", "href", "_abs")
-    a = with_normalized_url(a, "_abs", "dst_url")
-    return a.select("page_id", "pos", "href", "dst_url")
+    # a base is split once for its page; each URL step is written, because their joint code exceeds what can be compiled
+    bases = cut_lineage(with_url_parts(pages.select("page_id", F.col(base_col).alias("_base")), "_base", "_b_"))
+    a = cut_lineage(with_url_parts(anchors(nodes).join(bases, "page_id"), "href", "_h_"))
+    a = with_joined_parts(a, "_base", "href", "_abs", "_b_", "_h_").select("page_id", "pos", "href", "_abs")
+    return with_normalized_url(cut_lineage(a), "_abs", "dst_url").select("page_id", "pos", "href", "dst_url")
 
 
 def canonical_links(nodes: DataFrame, pages: DataFrame, base_col: str = "url") -> DataFrame:
@@ -32,7 +33,7 @@ def canonical_links(nodes: DataFrame, pages: DataFrame, base_col: str = "url") -
                     & (F.coalesce(F.col("href"), F.lit("")) != ""))
     first = c.groupBy("page_id").agg(F.min_by("href", "n").alias("href"))
     j = first.join(pages.select(F.col("page_id"), F.col(base_col).alias("_base")), "page_id")
-    j = with_urljoin(j, "_base", "href", "_abs")
+    j = cut_lineage(with_urljoin(j, "_base", "href", "_abs").select("page_id", "_abs"))
     j = with_normalized_url(j, "_abs", "canonical_url")
     # written once: a filter on the derived URL would be inlined into every URL stage
     j = cut_lineage(j.select("page_id", "canonical_url"))

@@ -251,8 +251,9 @@ from pagemill.operators import links as LK  # noqa: E402
 from pagemill.plans import pages as PG  # noqa: E402
 
 
-def _nodes(spark: SparkSession, d: str, profile: str = "crawl") -> DataFrame:
-    return PG.node_table(_pages(spark, d, "page_id", "html"), profile)
+def _nodes(spark: SparkSession, d: str, profile: str = "crawl", reused: bool = True) -> DataFrame:
+    """The node table; written only where a query reads it more than once."""
+    return PG.node_table(_pages(spark, d, "page_id", "html"), profile, checkpoint=reused)
 
 
 @register("h3_title")
@@ -262,7 +263,7 @@ def h3_title(spark: SparkSession, d: str) -> DataFrame:
 
 @register("h1_h2_noise")
 def h1_h2_noise(spark: SparkSession, d: str) -> DataFrame:
-    n = _nodes(spark, d).where(F.col("kind") == "t")
+    n = _nodes(spark, d, reused=False).where(F.col("kind") == "t")
     return n.groupBy("page_id").agg(
         F.count_if(~F.col("removed")).alias("kept_text_nodes"), F.count_if(F.col("removed")).alias("removed_text_nodes")
     )
@@ -277,12 +278,12 @@ def h4_main_text(spark: SparkSession, d: str) -> DataFrame:
 
 @register("a11_largest_div")
 def a11_largest_div(spark: SparkSession, d: str) -> DataFrame:
-    return X.largest_div(_nodes(spark, d))
+    return X.largest_div(_nodes(spark, d, reused=False))
 
 
 @register("h6_readability")
 def h6_readability(spark: SparkSession, d: str) -> DataFrame:
-    return X.readability_candidates(_nodes(spark, d), 600)
+    return X.readability_candidates(_nodes(spark, d, reused=False), 600)
 
 
 @register("g1_links")

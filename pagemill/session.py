@@ -71,9 +71,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once into the shared checkpoint folder and read again (survives executor loss). A
+    Parquet table rather than ``checkpoint()``: that one runs the job twice and keeps whole rows."""
+    return written(df, "cut")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -25,7 +25,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NODE_SCHEMA = (
     "page_id long, n int, kind string, tag string, parent int, depth int, "
     "anc_n array<int>, anc_tag array<string>, anc_id array<string>, anc_cls array<string>, "
-    "attr_id string, attr_cls string, attr_role string, href string, n_children int, text string, attr_rel string"
+    "attr_id string, attr_cls string, attr_role string, href string, n_children int, text string, attr_rel string, "
+    "li_no int, list_depth int, link string, src string, alt string"
 )
 
 
@@ -35,8 +36,21 @@ class _Tree(HTMLParser):
         self.rows: list[list] = []
         self.stack: list[int] = []  # row indexes of open elements
         self.buf: list[str] = []
+        self.items: dict[int, int] = {}  # open list element -> items so far
 
     # -- helpers
+    def _place(self, tag: str | None = None):
+        """Number of the list item a node stands in (0 in a bullet list, null outside), how many lists
+        enclose it, and the target of the link around it."""
+        rows = self.rows
+        lists = [i for i in self.stack if rows[i][3] in ("ul", "ol")]
+        inside = tag == "li" or any(rows[i][3] == "li" for i in self.stack)
+        li_no = None
+        if lists and inside:
+            li_no = self.items.get(lists[-1], 0) if rows[lists[-1]][3] == "ol" else 0
+        link = next((rows[i][13] for i in reversed(self.stack) if rows[i][3] == "a"), None)
+        return [li_no, len(lists), link]
+
     def _anc(self):
         rows = self.rows
         return (
@@ -59,7 +73,7 @@ class _Tree(HTMLParser):
         self.buf = []
         parent = self._child()
         an, at, ai, ac = self._anc()
-        self.rows.append([None, len(self.rows), "t", None, parent, len(self.stack), an, at, ai, ac, None, None, None, None, 0, text, None])
+        self.rows.append([None, len(self.rows), "t", None, parent, len(self.stack), an, at, ai, ac, None, None, None, None, 0, text, None, *self._place(), None, None])
 
     # -- events
     def handle_starttag(self, tag, attrs):
@@ -70,9 +84,13 @@ class _Tree(HTMLParser):
         parent = self._child()
         an, at, ai, ac = self._anc()
         idx = len(self.rows)
+        if tag == "li":
+            top = next((i for i in reversed(self.stack) if self.rows[i][3] in ("ul", "ol")), None)
+            if top is not None:
+                self.items[top] = self.items.get(top, 0) + 1
         self.rows.append(
             [None, idx, "e", tag, parent, len(self.stack), an, at, ai, ac, a.get("id"), a.get("class"), a.get("role"), a.get("href"), 0, None,
-             a.get("rel")]
+             a.get("rel"), *self._place(tag), a.get("src"), a.get("alt")]
         )
         if tag not in VOID:
             self.stack.append(idx)

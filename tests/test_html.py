@@ -111,3 +111,21 @@ def test_combined_export(spark):
 def test_only_visible_columns_are_needed(spark):
     recs = PG.page_records(pages_of(spark, SHOP))
     assert recs.select(F.col("host")).first()[0] == "shop.test"
+
+
+def markdown_of(spark, html, **options):
+    nodes = PG.node_table(pages_of(spark, html))
+    area = X.content_area(nodes, "crawl", readability=False)
+    return X.markdown(nodes, area, **options).first().markdown
+
+
+def test_lists_and_tables(spark):
+    html = """<main><ol><li>one</li><li>two<ul><li>inner</li></ul></li></ol><p>after</p>
+      <table><tr><th>k</th><th>v</th></tr><tr><td>a</td><td>1</td></tr></table></main>"""
+    assert markdown_of(spark, html) == "  1. one\n  2. two\n    * inner\n\nafter\n\nk | v\n---|---\na | 1\n"
+
+
+def test_links_and_images_on_request(spark):
+    html = '<main><p>see <a href="/x">the <b>list</b></a> <img src="i.png" alt="pic"></p></main>'
+    assert markdown_of(spark, html) == "see the **list**\n"
+    assert markdown_of(spark, html, strip_links=False, strip_images=False) == "see [the](/x) [**list**](/x) ![pic](i.png)\n"
