@@ -89,7 +89,8 @@ def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, depth: int, c
     met = written(lines.join(named, "line").select(*KEY, "line_no", "template"), "template-lines")
     stats = met.groupBy("template", *KEY).agg(F.min("line_no").alias("line_no"))
     stats = stats.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(*KEY, "line_no")).alias("at"))
-    stats = stats.filter(F.col("docs") >= min_docs)
+    # written, so that the join below has two plain sides and a frequent template can be split
+    stats = written(stats.filter(F.col("docs") >= min_docs), "template-stats")
     return met.join(stats, "template").select(*KEY, "line_no", "template", "docs", (F.struct(*KEY, "line_no") == F.col("at")).alias("first"))
 
 
