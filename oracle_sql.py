@@ -644,6 +644,29 @@ SELECT CAST(doc_id AS BIGINT) * 2147483648 AS doc_no,
        '# ' || regexp_extract(path, '([^/]*)$', 1) || chr(10) || chr(10) || {strip(t1_sql('text'))} || chr(10) AS text FROM f
 """
 
+_BUNDLE = f"""
+{_TXT},
+bundle AS (SELECT CAST(doc_id AS BIGINT) * 2147483648 AS doc_no, row_number() OVER (ORDER BY doc_id) AS i,
+                  {slug_sql("regexp_extract(path, '([^/]*)$', 1)", 'document')} || '.md' AS filename, {t1_sql('text')} AS content,
+                  regexp_extract(path, '([^/]*)$', 1) AS title FROM f)
+"""
+
+ORACLE["s14_import_bundle"] = f"WITH {_BUNDLE} SELECT doc_no, i, filename, content FROM bundle"
+
+ORACLE["s14_index"] = f"""
+WITH {_BUNDLE}
+SELECT i, '- [' || title || '](' || filename || ')' AS line FROM bundle UNION ALL SELECT -1, '# Imported documents' UNION ALL SELECT 0, ''
+"""
+
+# the sitemap of a host lists its pages in page order, so P8 of an entry is that of its page
+ORACLE["g5_sitemap_enqueue"] = f"""
+WITH {_DECIDED},
+entries AS (SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS pos
+            FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages))
+SELECT host, norm_url, min(pos) AS pos, 0 AS depth FROM entries JOIN dec USING (page_id)
+WHERE norm_url <> '' AND NOT ignored_ext AND NOT disallowed AND NOT blocked_url GROUP BY ALL
+"""
+
 # ---------------------------------------------------------------- step 9: streams (equal to the batch answers)
 
 ORACLE["st1_url_dedupe_stream"] = f"WITH {norm_ctes('pages', 'page_id', 'url', 'norm_url')} SELECT DISTINCT norm_url FROM n_out WHERE norm_url <> ''"
@@ -677,3 +700,33 @@ SELECT d.page_id, d.final_url, CASE WHEN d.reason = 'ok' THEN coalesce(CAST(leng
                                     ELSE d.extracted_chars END AS extracted_chars
 FROM diag d LEFT JOIN recs ON recs.ord = d.page_id
 """
+
+ORACLE["u9_canonical"] = """
+SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/c/' || (page_id % 40)::VARCHAR || '?b=1' AS canonical_url FROM pages WHERE page_id % 2 = 0
+"""
+
+# ---------------------------------------------------------------- F6 over a visit, F7
+
+ORACLE["f6_visit_errors"] = f"""
+WITH {_DECIDED}, {_CLASSIFIED},
+v AS (SELECT page_id, norm_url, CASE WHEN blocked_url THEN 'blocked-host' WHEN disallowed THEN 'robots-disallowed' ELSE '' END AS e FROM dec)
+SELECT page_id, norm_url AS url, e AS reason, '' AS status FROM v WHERE e <> ''
+UNION ALL
+SELECT page_id, url, reason, CASE WHEN reason = 'timeout' THEN '' ELSE status END FROM diag JOIN v USING (page_id) WHERE e = '' AND reason <> 'ok'
+"""
+
+_RUNS = f"""
+{_CLASSIFIED},
+runs AS (SELECT (page_id + 1) % 5 AS run, count(*) FILTER (reason = 'ok') AS pages_count, count(*) FILTER (reason <> 'ok') AS errors_count,
+                CAST(coalesce(sum(bytes) FILTER (reason = 'ok'), 0) AS BIGINT) AS total_chars, max(elapsed_ms) AS max_elapsed_ms
+         FROM diag GROUP BY 1)
+"""
+
+ORACLE["f7_run_snapshots"] = f"WITH {_RUNS} SELECT * FROM runs"
+
+ORACLE["f7_last_run_errors"] = f"""
+WITH {_RUNS}
+SELECT (d.page_id + 1) % 5 AS run, d.page_id, d.url, d.reason, CASE WHEN d.reason = 'timeout' THEN '' ELSE d.status END AS status,
+       r.pages_count, r.errors_count, r.total_chars
+FROM diag d JOIN runs r ON r.run = (d.page_id + 1) % 5 WHERE d.reason <> 'ok' AND r.run = (SELECT max(run) FROM runs)
+"""

@@ -209,3 +209,8 @@ def gate_samples(diagnostics: DataFrame, errors: DataFrame) -> tuple[DataFrame,
 def selected_pages(records: DataFrame, selected_urls: DataFrame) -> DataFrame:
     """Pages whose URL was selected (left semi join)."""
     return records.join(selected_urls.select(F.col("url")).distinct(), "url", "left_semi")
+
+
+def combined_file_name(host, started_at) -> Column:
+    """``slug(host)__YYYYmmdd_HHMMSS.md`` of a combined export."""
+    return F.concat(slugify(host, "output"), F.lit("__"), F.date_format(started_at, "yyyyMMdd_HHmmss"), F.lit(".md"))

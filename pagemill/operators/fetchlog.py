@@ -158,3 +158,27 @@ def by_reason(diag: DataFrame) -> DataFrame:
         F.sum("elapsed_ms").alias("total_elapsed_ms"),
         F.max("elapsed_ms").alias("max_elapsed_ms"),
     )
+
+
+def run_snapshots(diag: DataFrame, run_col: str) -> DataFrame:
+    """one summary row per run of the diagnostics."""
+    ok = F.col("reason") == "ok"
+    return diag.groupBy(run_col).agg(
+        F.count_if(ok).alias("pages_count"),
+        F.count_if(~ok).alias("errors_count"),
+        F.coalesce(F.sum(F.when(ok, F.col("bytes"))), F.lit(0)).cast("bigint").alias("total_chars"),
+        F.max("elapsed_ms").alias("max_elapsed_ms"),
+    )
+
+
+def last_run(snapshots: DataFrame, started_col: str) -> DataFrame:
+    """the snapshot of the run that started last."""
+    return snapshots.agg(F.max_by(F.struct(*snapshots.columns), started_col).alias("v")).where(F.col("v").isNotNull()).select("v.*")
+
+
+def visit_errors(decided: DataFrame, fetch_errors: DataFrame, key: str = "page_id") -> DataFrame:
+    """F6 for a whole visit: a row for every URL that was not fetched because of its host or robots rules
+    (``decided`` has error_reason, '' for the others), and the fetch errors of those that were."""
+    barred = decided.where(F.col("error_reason") != "").select(key, "url", F.col("error_reason").alias("reason"), F.lit("").alias("status"))
+    fetched = decided.where(F.col("error_reason") == "").select(key)
+    return barred.unionByName(fetch_errors.join(fetched, key, "left_semi"))

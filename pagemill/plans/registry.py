@@ -647,5 +647,34 @@ def j5_diag_extracted(spark: SparkSession, d: str) -> DataFrame:
 
 @register("u9_canonical")
 def u9_canonical(spark: SparkSession, d: str) -> DataFrame:
-    pages = _pages(spark, d, "page_id", "url", "html")
-    return LK.canonical_links(PG.node_table(pages), pages)
+    pages = FX.canonical_pages(spark, d)
+    return LK.canonical_links(PG.node_table(pages.select("page_id", "html"), checkpoint=False), pages)
+
+
+# ---------------------------------------------------------------- F6 over a visit, F7
+
+
+@register("f6_visit_errors")
+def f6_visit_errors(spark: SparkSession, d: str) -> DataFrame:
+    df = cut_lineage(url_decisions(spark, d))
+    reason = F.when(F.col("blocked_url"), "blocked-host").when(F.col("robots_disallowed"), "robots-disallowed").otherwise("")
+    decided = df.select("page_id", F.col("norm_url").alias("url"), reason.alias("error_reason"))
+    return FL.visit_errors(decided, FL.errors(FL.outcomes(FX.captures(spark, d))))
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """The fetch log as five runs that started one after another."""
+    return FL.diagnostics(FX.captures(spark, d)).withColumn("run", (F.col("page_id") + 1) % 5)
+
+
+@register("f7_run_snapshots")
+def f7_run_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    return FL.run_snapshots(_runs(spark, d), "run")
+
+
+@register("f7_last_run_errors")
+def f7_last_run_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The latest run's summary beside each of its errors."""
+    runs = _runs(spark, d)
+    last = FL.last_run(FL.run_snapshots(runs, "run"), "run")
+    return FL.errors(runs).join(runs.select("page_id", "run"), "page_id").join(F.broadcast(last), "run").drop("max_elapsed_ms")

@@ -63,6 +63,13 @@ def rendered_captures(spark: SparkSession, d: str) -> DataFrame:
     return http.unionByName(browser)
 
 
+def canonical_pages(spark: SparkSession, d: str) -> DataFrame:
+    """``pages`` with a canonical link in the head of every second one; forty pages share one target."""
+    p = table(spark, d, "pages").select("page_id", "url", "html")
+    target = F.concat(F.lit('<link rel="Canonical" href="/c//'), (F.col("page_id") % 40).cast("string"), F.lit('/?utm_source=x&amp;b=1#top"></head>'))
+    return p.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("</head>"), target)).otherwise(F.col("html")))
+
+
 def link_graph(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages").select("page_id")
     n = p.count()  # one number, computed by Spark

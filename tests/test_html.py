@@ -129,3 +129,8 @@ def test_links_and_images_on_request(spark):
     html = '<main><p>see <a href="/x">the <b>list</b></a> <img src="i.png" alt="pic"></p></main>'
     assert markdown_of(spark, html) == "see the **list**\n"
     assert markdown_of(spark, html, strip_links=False, strip_images=False) == "see [the](/x) [**list**](/x) ![pic](i.png)\n"
+
+
+def test_combined_export_is_named_by_host_and_time(spark):
+    name = spark.sql("SELECT 'Docs.Example.com' AS host, timestamp'2024-01-02 03:04:05' AS at").select(EX.combined_file_name("host", "at")).first()[0]
+    assert name == "docs-example-com__20240102_030405.md"
