@@ -13,44 +13,42 @@ from collections.abc import Callable, Iterable, Iterator
 _ALONE = re.compile(r"(?<=[^ ])(?= [^ ])")
 
 
-def cut(text: str) -> list[str]:
-    """Pieces of ``text`` in order; each is tokenised alike alone and in place."""
-    if "  " in text or text[:1] == " ":
-        return _ALONE.split(text)
-    first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)]
+def keys_of(text: str) -> list[str]:
+    """The pieces of ``text`` in order, as keys: a piece that begins with its one blank is kept without it,
+    any other with a blank and a bar before it, which no key of the first kind begins with."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " ":
+        return [x[1:] if x[0] == " " and x[1:2] != " " else " |" + x for x in _ALONE.split(text)]
+    keys = text.split(" ")
+    keys[0] = " |" + keys[0]
+    return keys
+
+
+def piece_of(key: str) -> str:
+    return key[2:] if key[:2] == " |" else " " + key
 
 
 class Memo:
     """Encodings of the pieces of texts; ``encode_all`` encodes the missing ones together.
 
     Two generations of ``size`` short pieces each bound the memory: when the young one is full it becomes
-    the old one, and pieces met again move back, so the common ones stay. A piece is kept without its
-    leading blank (and one without a leading blank with a blank and a bar before it, which no other key has)."""
+    the old one, and pieces met again move back, so the common ones stay."""
 
     def __init__(self, encode_all: Callable[[list[str]], Iterable[bytes]], size: int = 400_000, longest: int = 64):
         self.encode_all, self.size, self.longest = encode_all, size, longest
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _keys(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if "  " in text or text[0] == " ":
-            return [x[1:] if x[0] == " " and x[1:2] != " " else " |" + x for x in _ALONE.split(text)]
-        keys = text.split(" ")
-        keys[0] = " |" + keys[0]
-        return keys
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text the encodings of its pieces, joined. The pieces that are missing in any of the texts are encoded in one go."""
-        keys = [self._keys(t) for t in texts]
+        keys = [keys_of(t) for t in texts]
         found = [list(map(self.young.get, ks)) for ks in keys]
         missing = {k for ks, es in zip(keys, found) if None in es for k, e in zip(ks, es) if e is None}
         if missing:
             made = {k: self.old[k] for k in missing if k in self.old}
             new = [k for k in missing if k not in made]
-            made.update(zip(new, self.encode_all([k[2:] if k[:2] == " |" else " " + k for k in new])))
+            made.update(zip(new, self.encode_all(list(map(piece_of, new)))))
             found = [[made[k] if e is None else e for k, e in zip(ks, es)] if None in es else es for ks, es in zip(keys, found)]
             if len(self.young) + len(made) > self.size:
                 self.old, self.young = self.young, {}

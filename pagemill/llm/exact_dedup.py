@@ -37,7 +37,7 @@ def heavy_digests(digests: DataFrame, support: float) -> DataFrame:
     named = named.select(F.explode("h_freqItems").alias("h")).select(F.unhex("h").alias("digest"))
     exact = _groups(digests.join(F.broadcast(named), "digest", "left_semi"))
     least = digests.agg((F.count(F.lit(1)) * F.lit(support)).alias("least"))
-    return exact.join(F.broadcast(least), exact.group_size > least.least).drop("least")
+    return exact.filter(F.col("group_size") > least.scalar())
 
 
 def _groups(digests: DataFrame) -> DataFrame:
