@@ -88,16 +88,20 @@ def fit(buckets: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, earl
     bias = float(np.log((ones + 0.5) / (rest + 0.5)))
     if not ones or not rest:
         return Linear(none, np.zeros(0), np.zeros(earlier.shape[1]), bias)
-    at, value = np.concatenate(buckets), np.concatenate(shares)
-    row = np.repeat(np.arange(len(y)), [len(b) for b in buckets])
-    mass = [np.bincount(at, weights=value * (y[row] == k), minlength=BUCKETS) * 100 + 0.5 for k in (1, 0)]
-    ratio = np.log(mass[0] / ones) - np.log(mass[1] / rest)
-    chosen = np.flatnonzero((np.bincount(at, minlength=BUCKETS) >= FEWEST) & (np.abs(ratio) >= LEAST_RATIO))
-    place = np.full(BUCKETS, -1, dtype=np.int64)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[at] >= 0
-    col, row = place[at[keep]], row[keep]
-    value = value[keep] * SCALE * ratio[chosen][col]
+    # document by document: the whole sample's features never stand in one array
+    mass, seen = np.full((2, BUCKETS), 0.005), np.zeros(BUCKETS, dtype=np.int32)
+    for b, s, v in zip(buckets, shares, y):
+        mass[int(v), b] += s
+        seen[b] += 1
+    ratio = np.log(mass[1] / ones) - np.log(mass[0] / rest)
+    chosen = np.flatnonzero((seen >= FEWEST) & (np.abs(ratio) >= LEAST_RATIO))
+    place = np.full(BUCKETS, -1, dtype=np.int32)
+    place[chosen] = np.arange(len(chosen), dtype=np.int32)
+    del mass, seen
+    kept = [place[b] >= 0 for b in buckets]
+    col = np.concatenate([place[b[k]] for b, k in zip(buckets, kept)])
+    value = np.concatenate([s[k] for s, k in zip(shares, kept)]) * SCALE * ratio[chosen][col]
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [int(k.sum()) for k in kept])
     n, width = len(y), len(chosen)
     w = np.zeros(width + earlier.shape[1])
     mean, square = np.zeros_like(w), np.zeros_like(w)
@@ -158,8 +162,8 @@ def _fitter(j: int):
         """Fits without the held-out fold (-1: on all) and predicts that fold."""
         hold = int(group["hold"].iloc[0])
         group = group.sort_values("id")
-        at = [np.frombuffer(x, np.int32).astype(np.int64) for x in group["buckets"]]
-        shares = [np.frombuffer(x, np.float32).astype(np.float64) for x in group["shares"]]
+        at = [np.frombuffer(x, np.int32) for x in group["buckets"]]
+        shares = [np.frombuffer(x, np.float32) for x in group["shares"]]
         y = np.array([v[j] for v in group["y"]])
         before = np.array([list(v) for v in group["earlier"]], dtype=np.float64).reshape(len(group), j)
         out = group["fold"].to_numpy() == hold
@@ -225,7 +229,7 @@ def score(docs: DataFrame, chain: list[Linear], categories: Sequence[str], id_co
                     counts = term_counts(text.as_py())
                     total = sum(counts.values())
                     new = [t for t in counts if t not in memos[0]]
-                    if len(memos[0]) + len(new) > 400_000:
+                    if len(memos[0]) + len(new) > 250_000:
                         for memo in memos:
                             memo.clear()
                         new = list(counts)
