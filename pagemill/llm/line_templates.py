@@ -1,11 +1,12 @@
 """Line deduplication with a log-template tree, in DataFrame operations only.
 
 The tree has a fixed depth: the number of tokens of a line, then its first tokens. A leaf holds the
-lines that agree on these. Within a leaf a token that recurs at its position, in at least ``min_docs``
-documents, stays; any other token is a variable field, and so is, anywhere, a token with a digit in it
-(numbers, dates, addresses, identifiers) or of a URL or mail address. What remains is the line's
-template. Unlike the usual parser, which grows its templates line by line, the outcome depends on the
-set of lines alone, not on their order or placing.
+lines that agree on these. Runs of digits, URLs and mail addresses are masked inside their tokens, and a
+masked token is a variable field. A line with fewer than ``constant_share`` unmasked tokens says too
+little without its fields: it is compared by its whole text, with lines equal to it only. Within a leaf a
+token that recurs at its position, in at least ``min_docs`` documents, stays; any other token is a
+variable field. What remains is the line's template. Unlike the usual parser, which grows its templates
+line by line, the outcome depends on the set of lines alone, not on their order or placing.
 
 A template in at least ``min_docs`` documents recurs: its lines are dropped but for the first (by
 document and line number), so that no content leaves the corpus altogether.
@@ -24,16 +25,25 @@ from pagemill.session import written
 VARIABLE = "<*>"
 #: A token with one of these is a variable field wherever it stands.
 VARIABLE_MARK = r"[0-9@]|://"
-VARIABLE_TOKEN = r"[^ \t\x0B\f\r]*(?:[0-9@]|://)[^ \t\x0B\f\r]*"
+#: The variable part of such a token: a mail address, a URL (as far as it is ASCII) or a run of digits.
+#: A run is tried from its start only, so that a very long token takes linear time.
+VARIABLE_PART = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*+@[A-Za-z0-9.-]*|(?<![A-Za-z0-9+.-])[A-Za-z0-9+.-]*+://[!-~]*|[0-9]+"
 BLANKS = r"[ \t\x0B\f\r]+"
 ID, TEXT_HASH = "__id", "__text_hash"
 KEY = [ID, TEXT_HASH]
 
 
+def split_tokens(line: Column) -> Column:
+    return F.array_remove(F.split(line, BLANKS), "")
+
+
 def tokens(line: Column) -> Column:
-    """Tokens between blanks, variable fields replaced."""
-    masked = F.when(line.rlike(VARIABLE_MARK), F.regexp_replace(line, VARIABLE_TOKEN, VARIABLE)).otherwise(line)
-    return F.array_remove(F.split(masked, BLANKS), "")
+    """Tokens between blanks, their variable parts replaced."""
+    return split_tokens(F.when(line.rlike(VARIABLE_MARK), F.regexp_replace(line, VARIABLE_PART, VARIABLE)).otherwise(line))
+
+
+def constant(tok: Column) -> Column:
+    return ~F.contains(tok, F.lit(VARIABLE))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,18 +55,26 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a[ID].eqNullSafe(b[ID]) & (a[TEXT_HASH] == b[TEXT_HASH])
 
 
-def lines_of(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
-    """(key, line_no, leaf, line): two hashes for every line with a token; equal lines share ``line``."""
+def lines_of(docs: DataFrame, text_col: str, depth: int, constant_share: float) -> DataFrame:
+    """(key, line_no, leaf, line): two hashes for every line with a token; equal lines share ``line``. A line
+    without enough constant tokens has a leaf of its own, named by its unmasked tokens."""
     split = docs.select(*KEY, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "body"))
-    cut = split.select(*KEY, "line_no", tokens(F.col("body")).alias("toks")).filter(F.size("toks") > 0)
-    return cut.select(*KEY, "line_no", F.xxhash64(F.size("toks"), F.slice("toks", 1, depth)).alias("leaf"), F.xxhash64("toks").alias("line"))
+    cut = split.select(*KEY, "line_no", "body", tokens(F.col("body")).alias("toks")).filter(F.size("toks") > 0)
+    enough = F.size(F.filter("toks", constant)) >= F.size("toks") * F.lit(constant_share)
+    cut = cut.withColumn("plain", F.when(F.col("body").rlike(VARIABLE_MARK), F.when(~enough, split_tokens(F.col("body")))))
+    leaf = F.xxhash64(F.size("toks"), F.slice("toks", 1, depth))
+    by_text = F.xxhash64(F.lit(-1), "plain")
+    return cut.select(
+        *KEY, "line_no", F.when(F.col("plain").isNull(), leaf).otherwise(by_text).alias("leaf"),
+        F.when(F.col("plain").isNull(), F.xxhash64("toks")).otherwise(by_text).alias("line"),
+    )
 
 
 def steady_templates(looked: DataFrame, min_docs: int, constant_share: float) -> DataFrame:
     """(line, template) of the lines (leaf, line, docs, toks) whose template is constant enough: the
     tokens that recur at their place in the leaf are the template, by place and hash."""
     placed = looked.select("leaf", "line", "docs", F.size("toks").alias("n"), F.posexplode("toks").alias("at", "tok"))
-    placed = placed.select("leaf", "line", "docs", "n", "at", F.xxhash64("tok").alias("tok"), (F.col("tok") == VARIABLE).alias("variable"))
+    placed = placed.select("leaf", "line", "docs", "n", "at", F.xxhash64("tok").alias("tok"), (~constant(F.col("tok"))).alias("variable"))
     placed = placed.filter(~F.col("variable"))
     steady = placed.groupBy("leaf", "at", "tok").agg(F.sum("docs").alias("seen")).filter(F.col("seen") >= min_docs).drop("seen")
     kept = placed.join(steady, ["leaf", "at", "tok"]).groupBy("leaf", "line", "n")
@@ -68,7 +86,7 @@ def steady_templates(looked: DataFrame, min_docs: int, constant_share: float) ->
 def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, depth: int, constant_share: float) -> DataFrame:
     """(key, line_no, template, docs, first): every line of a recurring template of the keyed ``docs``;
     ``first`` marks the line that stays."""
-    lines = written(lines_of(docs, text_col, depth), "lines")
+    lines = written(lines_of(docs, text_col, depth, constant_share), "lines")
     # a document counts once for a line, and partial sums come before any shuffle
     in_docs = lines.groupBy("leaf", "line", *KEY).agg(F.min("line_no").alias("line_no"))
     by_line = in_docs.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(*KEY, "line_no")).alias("at"))
