@@ -5,8 +5,8 @@ earlier ones gave. In training those are out-of-fold: the rows of a fold are pre
 has not seen them, so a later model learns from predictions of the kind it will meet.
 
 Features are words and their prefixes, hashed; a feature's value is its share of the text's tokens
-(a token counts three times at most), so a text's score is the mean of its tokens' scores, whatever its
-length. Values are scaled by the
+(a token counts three times at most, or for a hundredth of the text if that is more), so a text's score is
+the mean of its tokens' scores, whatever its length. Values are scaled by the
 log-ratio of the feature's frequencies in the two classes, which also prunes the features that don't
 differ.
 
@@ -36,16 +36,19 @@ PREFIXES = (3, 4, 5, 6, 7)
 SCALE = 40.0
 FEWEST, LEAST_RATIO, STEPS, DECAY = 3, 0.5, 150, 1e-5
 
-SATURATION, AGAIN = 3, "<again>"
+#: A token counts this often at most, or for this share of a text of more than 300 tokens: a bare count would
+#: leave a few words of a long text no weight, however often it says them.
+SATURATION, SATURATION_SHARE, AGAIN = 3, 0.01, "<again>"
 #: Words, and runs of marks, which tell junk from prose.
 _word = re.compile(r"\w+|[^\w\s]+")
 
 
 def term_counts(text: str | None) -> dict[str, int]:
-    """Tokens and how often each occurs, saturating at ``SATURATION``: a word said a hundred times tells no
-    more. What is beyond counts together as ``AGAIN``."""
+    """Tokens and how often each occurs, saturating at ``SATURATION`` or ``SATURATION_SHARE`` of the text: a
+    word said a hundred times in a page tells no more. What is beyond counts together as ``AGAIN``."""
     tokens = _word.findall((text or "").lower())
-    counts = {t: min(n, SATURATION) for t, n in Counter(tokens).items()}
+    most = max(SATURATION, int(SATURATION_SHARE * len(tokens)))
+    counts = {t: min(n, most) for t, n in Counter(tokens).items()}
     beyond = len(tokens) - sum(counts.values())
     if beyond:
         counts[AGAIN] = beyond

@@ -1,6 +1,10 @@
 """Cases in which an operator once did less than its whole job."""
 
-from pagemill.llm import line_templates
+import random
+
+import numpy as np
+
+from pagemill.llm import line_templates, toxicity
 
 
 def kept(spark, bodies):
@@ -23,3 +27,26 @@ def test_copies_of_a_line_of_fields_go(spark):
 
 def test_a_masked_field_among_constant_tokens_is_still_one(spark):
     assert kept(spark, [f"Posted by user{k} on Monday" for k in range(3)]) == {0: "Posted by user0 on Monday", 1: "", 2: ""}
+
+
+def text_of(rate, words, seed):
+    r = random.Random(seed)
+    return " ".join(f"insult{r.randrange(5)}" if r.random() < rate else f"word{r.randrange(400)}" for _ in range(words))
+
+
+def features(text):
+    counts, found = toxicity.term_counts(text), {}
+    for word, n in counts.items():
+        for b in toxicity.buckets_of(word):
+            found[b] = found.get(b, 0) + n
+    return np.array(list(found), np.int32), np.array(list(found.values()), np.float32) / sum(counts.values())
+
+
+def test_a_toxic_text_is_caught_at_any_length():
+    made = [features(text_of(0.05 * (k % 2), 200, k)) for k in range(200)]
+    y = np.array([k % 2 for k in range(200)], dtype=float)
+    model = toxicity.fit([b for b, _ in made], [s for _, s in made], y, np.zeros((200, 0)))
+    for words in (200, 2000, 20_000, 60_000):
+        for toxic in (0, 1):
+            at, share = features(text_of(0.05 * toxic, words, 999 + words))
+            assert (toxicity.predict(model, [at], [share], np.zeros((1, 0)))[0] >= 0.5) == toxic, (words, toxic)
