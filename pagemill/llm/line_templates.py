@@ -4,8 +4,9 @@ The tree has a fixed depth: the number of tokens of a line, then its first token
 lines that agree on these. Runs of digits, URLs and mail addresses are masked inside their tokens, and a
 masked token is a variable field. A line with fewer than ``constant_share`` unmasked tokens says too
 little without its fields: it is compared by its whole text, with lines equal to it only. Within a leaf a
-token that recurs at its position, in at least ``min_docs`` documents, stays; any other token is a
-variable field. What remains is the line's template. Unlike the usual parser, which grows its templates
+token that recurs at its position, in at least ``min_docs`` documents and more than half as many as the
+line's other constant tokens do, stays; any other token is a variable field. What remains is the line's
+template. Unlike the usual parser, which grows its templates
 line by line, the outcome depends on the set of lines alone, not on their order or placing.
 
 A template in at least ``min_docs`` documents recurs: its lines are dropped but for the first (by
@@ -71,16 +72,21 @@ def lines_of(docs: DataFrame, text_col: str, depth: int, constant_share: float)
 
 
 def steady_templates(looked: DataFrame, min_docs: int, constant_share: float) -> DataFrame:
-    """(line, template) of the lines (leaf, line, docs, toks) whose template is constant enough: the
-    tokens that recur at their place in the leaf are the template, by place and hash."""
-    placed = looked.select("leaf", "line", "docs", F.size("toks").alias("n"), F.posexplode("toks").alias("at", "tok"))
-    placed = placed.select("leaf", "line", "docs", "n", "at", F.xxhash64("tok").alias("tok"), (~constant(F.col("tok"))).alias("variable"))
-    placed = placed.filter(~F.col("variable"))
-    steady = placed.groupBy("leaf", "at", "tok").agg(F.sum("docs").alias("seen")).filter(F.col("seen") >= min_docs).drop("seen")
+    """(line, template) of the lines (leaf, line, docs, toks) whose template is constant enough.
+
+    A line's cluster is about as large as the count of its k-th most seen token, where k tokens are enough
+    to be constant. Its tokens in more than half as many documents are the template, by place and hash;
+    masked tokens don't count. A line that is itself in ``min_docs`` documents always has a template."""
+    placed = looked.select("leaf", "line", "docs", F.size(F.filter("toks", constant)).alias("n"), F.posexplode("toks").alias("at", "tok"))
+    placed = placed.filter(constant(F.col("tok"))).select("leaf", "line", "docs", "n", "at", F.xxhash64("tok").alias("tok"))
+    steady = placed.groupBy("leaf", "at", "tok").agg(F.sum("docs").alias("seen")).filter(F.col("seen") >= min_docs)
     kept = placed.join(steady, ["leaf", "at", "tok"]).groupBy("leaf", "line", "n")
-    kept = kept.agg(F.array_sort(F.collect_list(F.struct("at", "tok"))).alias("kept"))
-    kept = kept.filter(F.size("kept") >= F.col("n") * F.lit(constant_share))
-    return kept.select("line", F.xxhash64("leaf", "kept").alias("template"))
+    kept = kept.agg(F.array_sort(F.collect_list(F.struct("seen", "at", "tok"))).alias("kept"))
+    enough = F.ceil(F.col("n") * F.lit(constant_share)).cast("int")
+    kept = kept.filter(F.size("kept") >= enough).withColumn("cluster", F.element_at("kept", -enough)["seen"])
+    template = F.filter("kept", lambda t: t["seen"] * 2 > F.col("cluster"))
+    template = F.array_sort(F.transform(template, lambda t: F.struct(t["at"].alias("at"), t["tok"].alias("tok"))))
+    return kept.select("line", F.xxhash64("leaf", template).alias("template"))
 
 
 def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, depth: int, constant_share: float) -> DataFrame:

@@ -29,6 +29,20 @@ def test_a_masked_field_among_constant_tokens_is_still_one(spark):
     assert kept(spark, [f"Posted by user{k} on Monday" for k in range(3)]) == {0: "Posted by user0 on Monday", 1: "", 2: ""}
 
 
+def test_recurring_lines_go_whatever_else_is_in_their_leaf(spark):
+    masked = "Call our office now or write to us at x@y.z about order 17"
+    other = "Call our office {} if you need any help with that second matter"
+    assert len(masked.split()) == len(other.split())
+    texts = [masked] * 3 + [other.format(w) for w in ("soon", "later", "today")] + ["Call our office a b c d e f g h i j"]
+    assert kept(spark, texts) == {k: t if k in (0, 3, 6) else "" for k, t in enumerate(texts)}
+
+
+def test_a_field_value_in_many_documents_is_a_field(spark):
+    line = "The account of user {} was opened again from the city of {} by the front desk"
+    texts = [line.format(u, c) for u in ("alice", "bob", "carol", "dave") for c in ("paris", "rome", "oslo", "bern")]
+    assert kept(spark, texts) == {k: "" if k else texts[0] for k in range(16)}
+
+
 def text_of(rate, words, seed):
     r = random.Random(seed)
     return " ".join(f"insult{r.randrange(5)}" if r.random() < rate else f"word{r.randrange(400)}" for _ in range(words))
