@@ -10,8 +10,8 @@ fingerprint's own value there, and to verify what is found.
   probes and candidate pairs are fewest. The plan steers cost only; any plan finds every link.
 * Rows with one partition and value meet in a sorted run. A run of any size gives a spanning forest
   of its links instead of all its pairs: at most one edge fewer than it has fingerprints.
-* Components of distinct fingerprints grow from those forests by smallest-label propagation with
-  pointer jumping. Copies and equal fingerprints are one vertex throughout.
+* Components of distinct fingerprints grow from those forests by hooking to the smallest neighbour and
+  contraction. Copies and equal fingerprints are one vertex throughout.
 """
 
 from __future__ import annotations
@@ -231,24 +231,38 @@ def run_links(radius: int):
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, label) for every vertex of ``edges`` (a, b): the smallest vertex reachable.
 
-    Each round takes the smallest label among neighbours and then the label of that label. Tables are
+    Each round hooks every vertex to its smallest neighbour, follows the hooks to their roots and
+    contracts the graph to these. Two rounds at least halve the vertices that have a link left, and
+    pointer jumping halves the way to a root, so a long chain takes rounds by its logarithm. Tables are
     written between rounds, so a lost executor costs one round."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("label")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.v).groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "v").select("v", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("v").alias("low"), F.col("label").alias("lower"))
-        step = step.join(jump, "low").select("v", F.least("low", "lower").alias("label"), (F.least("low", "lower") != F.col("label")).alias("moved"))
-        step = written(step, "labels")
-        moved = step.filter("moved").limit(1).count()
-        labels = step.drop("moved")
-        if not moved:
-            return labels
-    raise RuntimeError("labels still move after the given rounds")
+    links, labels = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"), None
+    while labels is None or links.limit(1).count():
+        both = links.union(links.select("b", "a"))
+        roots = to_roots(written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("root")), "hooks"))
+        if labels is None:
+            labels = roots.withColumnRenamed("root", "label")
+        else:
+            higher = labels.join(roots, labels.label == roots.v, "left")
+            labels = written(higher.select(labels.v, F.coalesce("root", "label").alias("label")), "labels")
+        for end in ("a", "b"):
+            links = links.join(roots.withColumnRenamed("v", end), end).drop(end).withColumnRenamed("root", end)
+        links = links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = written(links.distinct(), "edges")
+    return labels
+
+
+def to_roots(hooks: DataFrame) -> DataFrame:
+    """``hooks`` (v, root) followed until every root is its own."""
+    while True:
+        above = hooks.select(F.col("v").alias("root"), F.col("root").alias("higher"))
+        step = hooks.join(above, "root").select("v", F.col("higher").alias("root"), (F.col("higher") != F.col("root")).alias("moved"))
+        step = written(step, "hooks")
+        if not step.filter("moved").limit(1).count():
+            return hooks
+        hooks = step.drop("moved")
 
 
 # ---------------------------------------------------------------- operator
