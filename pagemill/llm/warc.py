@@ -59,15 +59,15 @@ def record(page: str, url: str | None, payload: bytes, digest: str, date: str, r
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: memoryview, at: int) -> tuple[dict[str, str], bytes]:
-    """Headers and payload of the record at a place."""
-    end = bytes(data[at : at + 65536]).index(b"\r\n\r\n")
-    first, *lines = bytes(data[at : at + end]).decode().split("\r\n")
+def parse(data: memoryview, at: int, size: int) -> tuple[dict[str, str], bytes]:
+    """Headers and payload of the record of ``size`` bytes at a place."""
+    whole = bytes(data[at : at + size])
+    end = whole.index(b"\r\n\r\n")
+    first, *lines = whole[:end].decode().split("\r\n")
     if first != "WARC/1.1":
         raise ValueError("no record here")
     head = dict(line.split(": ", 1) for line in lines)
-    body = at + end + 4
-    block = bytes(data[body : body + int(head["Content-Length"])])
+    block = whole[end + 4 : end + 4 + int(head["Content-Length"])]
     return head, block[block.index(b"\r\n\r\n") + 4 :]
 
 
@@ -176,7 +176,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         unpacker, bundle, file, table, number, data = zstandard.ZstdDecompressor(), None, None, [], -1, memoryview(b"")
         for batch in batches:
             rows, held = [], 0
-            for b, f, at, page in zip(*(c.to_pylist() for c in batch.columns)):
+            for b, f, at, length, page in zip(*(c.to_pylist() for c in batch.columns)):
                 if b != bundle:
                     file = store.open_input_file(b)
                     bundle, table, number = b, frames_of(file), -1
@@ -184,7 +184,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     start, size, plain = table[f]
                     file.seek(start)
                     data, number = memoryview(unpacker.decompress(file.read(size), max_output_size=plain)), f
-                head, payload = parse(data, at)
+                head, payload = parse(data, at, length)
                 digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                 revisit = head["WARC-Type"] == "revisit"
                 if not revisit and base32_sha1(payload) != digest:
@@ -205,7 +205,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     # each frame is read by one task, frames of a bundle by many
-    ordered = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "at").select("bundle", "frame", "at", "page")
+    ordered = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "at").select("bundle", "frame", "at", "size", "page")
     return ordered.mapInArrow(run, "page string, type string, refers_to string, payload_bytes long, payload_digest string, payload binary")
 
 
