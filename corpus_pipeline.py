@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines of templates that recur in three documents or more, but for the first; n_chars follows."""
+    """Texts without the lines of templates that recur in three documents or more (long lines: two), but for the first; n_chars follows."""
     cleaned = without_recurring(docs)
     return cleaned.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
 

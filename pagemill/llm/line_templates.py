@@ -9,7 +9,8 @@ line's other constant tokens do, stays; any other token is a variable field. Wha
 template. Unlike the usual parser, which grows its templates
 line by line, the outcome depends on the set of lines alone, not on their order or placing.
 
-A template in at least ``min_docs`` documents recurs: its lines are dropped but for the first (by
+A template in at least ``min_docs`` documents, or in ``long_docs`` for lines of ``LONG_LINE`` tokens or more
+(which don't agree by chance), recurs: its lines are dropped but for the first (by
 document and line number), so that no content leaves the corpus altogether.
 
 What is shuffled: two hashes for every line, the text of each document once to look up the candidate
@@ -30,6 +31,7 @@ VARIABLE_MARK = r"[0-9@]|://"
 #: A run is tried from its start only, so that a very long token takes linear time.
 VARIABLE_PART = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*+@[A-Za-z0-9.-]*|(?<![A-Za-z0-9+.-])[A-Za-z0-9+.-]*+://[!-~]*|[0-9]+"
 BLANKS = r"[ \t\x0B\f\r]+"
+LONG_LINE = 20
 ID, TEXT_HASH = "__id", "__text_hash"
 KEY = [ID, TEXT_HASH]
 
@@ -57,7 +59,7 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
 
 
 def lines_of(docs: DataFrame, text_col: str, depth: int, constant_share: float) -> DataFrame:
-    """(key, line_no, leaf, line): two hashes for every line with a token; equal lines share ``line``. A line
+    """(key, line_no, long, leaf, line): two hashes for every line with a token; equal lines share ``line``. A line
     without enough constant tokens has a leaf of its own, named by its unmasked tokens."""
     split = docs.select(*KEY, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "body"))
     cut = split.select(*KEY, "line_no", "body", tokens(F.col("body")).alias("toks")).filter(F.size("toks") > 0)
@@ -66,20 +68,25 @@ def lines_of(docs: DataFrame, text_col: str, depth: int, constant_share: float)
     leaf = F.xxhash64(F.size("toks"), F.slice("toks", 1, depth))
     by_text = F.xxhash64(F.lit(-1), "plain")
     return cut.select(
-        *KEY, "line_no", F.when(F.col("plain").isNull(), leaf).otherwise(by_text).alias("leaf"),
+        *KEY, "line_no", (F.size("toks") >= LONG_LINE).alias("long"), F.when(F.col("plain").isNull(), leaf).otherwise(by_text).alias("leaf"),
         F.when(F.col("plain").isNull(), F.xxhash64("toks")).otherwise(by_text).alias("line"),
     )
 
 
-def steady_templates(looked: DataFrame, min_docs: int, constant_share: float) -> DataFrame:
-    """(line, template) of the lines (leaf, line, docs, toks) whose template is constant enough.
+def enough_docs(min_docs: int, long_docs: int) -> Column:
+    """In how many documents a line must stand."""
+    return F.when(F.col("long"), F.lit(long_docs)).otherwise(F.lit(min_docs))
+
+
+def steady_templates(looked: DataFrame, constant_share: float) -> DataFrame:
+    """(line, template) of the lines (leaf, line, docs, least, toks) whose template is constant enough.
 
     A line's cluster is about as large as the count of its k-th most seen token, where k tokens are enough
     to be constant. Its tokens in more than half as many documents are the template, by place and hash;
-    masked tokens don't count. A line that is itself in ``min_docs`` documents always has a template."""
-    placed = looked.select("leaf", "line", "docs", F.size(F.filter("toks", constant)).alias("n"), F.posexplode("toks").alias("at", "tok"))
-    placed = placed.filter(constant(F.col("tok"))).select("leaf", "line", "docs", "n", "at", F.xxhash64("tok").alias("tok"))
-    steady = placed.groupBy("leaf", "at", "tok").agg(F.sum("docs").alias("seen")).filter(F.col("seen") >= min_docs)
+    masked tokens don't count. A line that is itself in ``least`` documents always has a template."""
+    placed = looked.select("leaf", "line", "docs", "least", F.size(F.filter("toks", constant)).alias("n"), F.posexplode("toks").alias("at", "tok"))
+    placed = placed.filter(constant(F.col("tok"))).select("leaf", "line", "docs", "least", "n", "at", F.xxhash64("tok").alias("tok"))
+    steady = placed.groupBy("leaf", "at", "tok", "least").agg(F.sum("docs").alias("seen")).filter(F.col("seen") >= F.col("least")).drop("least")
     kept = placed.join(steady, ["leaf", "at", "tok"]).groupBy("leaf", "line", "n")
     kept = kept.agg(F.array_sort(F.collect_list(F.struct("seen", "at", "tok"))).alias("kept"))
     enough = F.ceil(F.col("n") * F.lit(constant_share)).cast("int")
@@ -89,36 +96,37 @@ def steady_templates(looked: DataFrame, min_docs: int, constant_share: float) ->
     return kept.select("line", F.xxhash64("leaf", template).alias("template"))
 
 
-def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, depth: int, constant_share: float) -> DataFrame:
+def recurring_lines(docs: DataFrame, text_col: str, min_docs: int, long_docs: int, depth: int, constant_share: float) -> DataFrame:
     """(key, line_no, template, docs, first): every line of a recurring template of the keyed ``docs``;
     ``first`` marks the line that stays."""
     lines = written(lines_of(docs, text_col, depth, constant_share), "lines")
     # a document counts once for a line, and partial sums come before any shuffle
-    in_docs = lines.groupBy("leaf", "line", *KEY).agg(F.min("line_no").alias("line_no"))
-    by_line = in_docs.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(*KEY, "line_no")).alias("at"))
+    in_docs = lines.groupBy("leaf", "line", "long", *KEY).agg(F.min("line_no").alias("line_no"))
+    by_line = in_docs.groupBy("leaf", "line", "long").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(*KEY, "line_no")).alias("at"))
     by_line = written(by_line, "distinct-lines")
     # a leaf matters only if its lines stand in enough documents together
+    least = enough_docs(min_docs, long_docs)
     leaves = by_line.groupBy("leaf").agg(F.sum("docs").alias("in_leaf"), F.count(F.lit(1)).alias("kinds"))
-    cand = by_line.join(leaves.filter(F.col("in_leaf") >= min_docs), "leaf")
-    cand = written(cand.select("leaf", "line", "docs", "at", "kinds"), "candidate-lines")
+    cand = by_line.join(leaves, "leaf").withColumn("least", least).filter(F.col("in_leaf") >= F.col("least"))
+    cand = written(cand.select("leaf", "line", "docs", "at", "kinds", "least"), "candidate-lines")
     # a line alone in its leaf is its own template; the others need their tokens, from one document that has the line
-    mixed = cand.filter("kinds > 1").select("at.*", "leaf", "line", "docs")
-    wanted = mixed.groupBy(*KEY).agg(F.collect_list(F.struct("line_no", "leaf", "line", "docs")).alias("wanted"))
+    mixed = cand.filter("kinds > 1").select("at.*", "leaf", "line", "docs", "least")
+    wanted = mixed.groupBy(*KEY).agg(F.collect_list(F.struct("line_no", "leaf", "line", "docs", "least")).alias("wanted"))
     bodies = docs.select(*KEY, F.split(F.col(text_col), "\n").alias("bodies"))
     looked = bodies.join(wanted, same_row(bodies, wanted)).select("bodies", F.explode("wanted").alias("w"))
-    looked = looked.select("w.leaf", "w.line", "w.docs", tokens(F.get("bodies", F.col("w.line_no"))).alias("toks"))
+    looked = looked.select("w.leaf", "w.line", "w.docs", "w.least", tokens(F.get("bodies", F.col("w.line_no"))).alias("toks"))
     looked = written(looked.dropDuplicates(["line"]), "line-tokens")
     alone = cand.filter(F.col("kinds") == 1).select("line", F.xxhash64("leaf", "line").alias("template"))
-    named = written(steady_templates(looked, min_docs, constant_share).unionByName(alone), "line-templates")
-    met = written(lines.join(named, "line").select(*KEY, "line_no", "template"), "template-lines")
-    stats = met.groupBy("template", *KEY).agg(F.min("line_no").alias("line_no"))
-    stats = stats.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(*KEY, "line_no")).alias("at"))
+    named = written(steady_templates(looked, constant_share).unionByName(alone), "line-templates")
+    met = written(lines.join(named, "line").select(*KEY, "line_no", "long", "template"), "template-lines")
+    stats = met.groupBy("template", "long", *KEY).agg(F.min("line_no").alias("line_no"))
+    stats = stats.groupBy("template", "long").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(*KEY, "line_no")).alias("at"))
     # written, so that the join below has two plain sides and a frequent template can be split
-    stats = written(stats.filter(F.col("docs") >= min_docs), "template-stats")
+    stats = written(stats.filter(F.col("docs") >= least).drop("long"), "template-stats")
     return met.join(stats, "template").select(*KEY, "line_no", "template", "docs", (F.struct(*KEY, "line_no") == F.col("at")).alias("first"))
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, depth: int = 3, constant_share: float = 0.8) -> DataFrame:
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, long_docs: int = 2, depth: int = 3, constant_share: float = 0.8) -> DataFrame:
     """``docs`` with the recurring lines taken out of the text, and n_lines, n_dropped (long).
 
     Kept lines stand in their order, joined by line feeds. Lines without a token are never dropped.
@@ -126,7 +134,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text and counts as the first; rows alike in id and text count as one document and are treated alike;
     an empty table gives an empty result; other columns are passed on, whatever their names."""
     rows = keyed(docs, id_col, text_col)
-    found = recurring_lines(rows.select(*KEY, text_col), text_col, min_docs, depth, constant_share).filter(~F.col("first"))
+    found = recurring_lines(rows.select(*KEY, text_col), text_col, min_docs, long_docs, depth, constant_share).filter(~F.col("first"))
     drops = written(found.groupBy(*KEY).agg(F.collect_set("line_no").alias("__drops")), "dropped-lines")
     joined = rows.join(drops, same_row(rows, drops), "left").drop(drops[ID]).drop(drops[TEXT_HASH])
     split = F.split(F.col(text_col), "\n")

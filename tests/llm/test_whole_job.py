@@ -43,6 +43,11 @@ def test_a_field_value_in_many_documents_is_a_field(spark):
     assert kept(spark, texts) == {k: "" if k else texts[0] for k in range(16)}
 
 
+def test_a_long_line_recurs_from_two_documents_on(spark):
+    long, short = " ".join(f"word{chr(97 + k)}" for k in range(20)), "a line of few words"
+    assert kept(spark, [f"{short}\n{long}", f"{long}\n{short}"]) == {0: f"{short}\n{long}", 1: short}
+
+
 def text_of(rate, words, seed):
     r = random.Random(seed)
     return " ".join(f"insult{r.randrange(5)}" if r.random() < rate else f"word{r.randrange(400)}" for _ in range(words))
