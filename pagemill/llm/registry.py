@@ -40,7 +40,7 @@ def toxicity_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
 
 
-CATEGORIES = ("toxic", "low_quality")
+CATEGORIES = ("low_quality", "toxic")
 
 
 @register("op2_toxicity")

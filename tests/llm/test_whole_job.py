@@ -48,6 +48,12 @@ def test_a_long_line_recurs_from_two_documents_on(spark):
     assert kept(spark, [f"{short}\n{long}", f"{long}\n{short}"]) == {0: f"{short}\n{long}", 1: short}
 
 
+def test_the_rejecting_model_comes_last_in_the_chain():
+    from pagemill.llm.registry import CATEGORIES
+
+    assert CATEGORIES[-1] == "toxic" and len(CATEGORIES) > 1
+
+
 def text_of(rate, words, seed):
     r = random.Random(seed)
     return " ".join(f"insult{r.randrange(5)}" if r.random() < rate else f"word{r.randrange(400)}" for _ in range(words))
