@@ -8,6 +8,7 @@ most are met again and again. Texts with longer runs are cut only before blanks
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 _ALONE = re.compile(r"(?<=[^ ])(?= [^ ])")
@@ -29,31 +30,97 @@ def piece_of(key: str) -> str:
     return key[2:] if key[:2] == " |" else " " + key
 
 
+def words_of(text: str) -> list[str]:
+    """The keys of ``text`` for a tokenizer that drops white space: its pieces between blanks and line feeds."""
+    return list(filter(None, text.replace("\n", " ").split(" ")))
+
+
 class Memo:
-    """Encodings of the pieces of texts; ``encode_all`` encodes the missing ones together.
+    """Encodings of the pieces of texts; ``encode_all`` encodes the missing ones together. ``keys`` cuts a
+    text into the keys of its pieces, ``piece`` gives the piece of a key.
 
     Two generations of ``size`` short pieces each bound the memory: when the young one is full it becomes
     the old one, and pieces met again move back, so the common ones stay."""
 
-    def __init__(self, encode_all: Callable[[list[str]], Iterable[bytes]], size: int = 400_000, longest: int = 64):
-        self.encode_all, self.size, self.longest = encode_all, size, longest
+    def __init__(
+        self, encode_all: Callable[[list[str]], Iterable[bytes]], size: int = 400_000, longest: int = 64,
+        keys: Callable[[str], list[str]] = keys_of, piece: Callable[[str], str] = piece_of,
+    ):
+        self.encode_all, self.size, self.longest, self.keys, self.piece = encode_all, size, longest, keys, piece
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text the encodings of its pieces, joined. The pieces that are missing in any of the texts are encoded in one go."""
-        keys = [keys_of(t) for t in texts]
-        found = [list(map(self.young.get, ks)) for ks in keys]
-        missing = {k for ks, es in zip(keys, found) if None in es for k, e in zip(ks, es) if e is None}
+        out, lacking, missing = [b""] * len(texts), [], set()
+        for k, text in enumerate(texts):
+            keys = self.keys(text)
+            found = list(map(self.young.get, keys))
+            try:
+                out[k] = b"".join(found)
+            except TypeError:  # a piece is missing
+                lacking.append((k, keys, found))
+                missing.update(key for key, e in zip(keys, found) if e is None)
         if missing:
             made = {k: self.old[k] for k in missing if k in self.old}
             new = [k for k in missing if k not in made]
-            made.update(zip(new, self.encode_all(list(map(piece_of, new)))))
-            found = [[made[k] if e is None else e for k, e in zip(ks, es)] if None in es else es for ks, es in zip(keys, found)]
+            made.update(zip(new, self.encode_all(list(map(self.piece, new)))))
+            for k, keys, found in lacking:
+                out[k] = b"".join([made[key] if e is None else e for key, e in zip(keys, found)])
             if len(self.young) + len(made) > self.size:
                 self.old, self.young = self.young, {}
             self.young.update((k, e) for k, e in made.items() if len(k) <= self.longest)
-        return list(map(b"".join, found))
+        return out
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: itself where Latin-1 prints it, else the next from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+#: Text whose letters, digits and blanks every version of Unicode agrees on, and that no normal form changes.
+_STABLE = re.compile("[\t\n\r -~\xa1-\u012f\u0131-\u024f]*")
+
+
+class Encoder:
+    """The ids of short pieces by a byte-level tokenizer of the ``tokenizers`` library, as little-endian unsigned 32-bit.
+
+    A call of the whole tokenizer costs many times its merges. So a piece of stable characters is cut into
+    pre-tokens by ``pattern`` here, and only pre-tokens not met before go to the library's merge model, each
+    alone, as the library does. Any other piece, and one with a special token in it, goes to the library whole.
+    ``lower``: the tokenizer lower-cases."""
+
+    def __init__(self, tokenizer, pattern: str, lower: bool, size: int = 400_000):
+        import regex
+
+        self.tokenizer, self.find, self.lower, self.size = tokenizer, regex.compile(pattern).findall, lower, size
+        self.model, self.letters = tokenizer.model, str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.specials = [] if tokenizer.encode_special_tokens else [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+
+    def pre_token(self, token: str) -> bytes:
+        spelled = token if token.isascii() and token.isalnum() else token.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        if len(token) <= 32:
+            if len(self.known) >= self.size:
+                self.known.clear()
+            self.known[token] = ids
+        return ids
+
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        out, whole, get = [b""] * len(pieces), [], self.known.get
+        for k, piece in enumerate(pieces):
+            if (piece.isalpha() and piece.isascii()) or (_STABLE.fullmatch(piece) and not any(s in piece for s in self.specials)):
+                tokens = self.find(piece.lower() if self.lower else piece)
+                out[k] = b"".join([get(t) or self.pre_token(t) for t in tokens])
+            else:
+                whole.append(k)
+        if whole:
+            for k, x in zip(whole, self.tokenizer.encode_batch_fast([pieces[k] for k in whole], add_special_tokens=False)):
+                out[k] = array("I", x.ids).tobytes()
+        return out
 
 
 def portions(texts: Iterable[str], chars: int = 1 << 19) -> Iterator[list[str]]:

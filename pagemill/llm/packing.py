@@ -13,7 +13,6 @@ block, and a lost task repeats its own blocks only.
 from __future__ import annotations
 
 import os
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.chunks import Memo, portions
+from pagemill.llm.chunks import Encoder, Memo, keys_of, portions
 
 
 def capacities(total: int, size: int) -> list[int]:
@@ -66,35 +65,39 @@ def pack(lengths: list[int], size: int, linear: float, quadratic: float) -> list
     return done + [(doc, start, n, seq + first, at) for doc, start, n, seq, at in out]
 
 
-_ready: dict[int, Memo] = {}
+_ready: dict[tuple, Memo] = {}
 
 
-def _tokenizer(definition: str) -> Memo:
+def _tokenizer(definition: str, specials_as_text: bool = False) -> Memo:
     """Ids of the pieces of a text by the ``tokenizers`` library, one memo for all tasks of a worker."""
-    key = hash(definition)
+    key = (hash(definition), specials_as_text)
     if key not in _ready:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import public_tokenizers
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(definition)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokenizer.encode_special_tokens = specials_as_text
+        encoder = Encoder(tokenizer, public_tokenizers.PATTERN, lower=False)
 
-        def encode_all(pieces: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-            return [array("I", x.ids).tobytes() for x in found]
+        def keys(text: str) -> list[str]:
+            # a special token ends the run of blanks before it, so such a text isn't cut
+            return [" |" + text] if any(s in text for s in encoder.specials) else keys_of(text)
 
-        _ready[key] = Memo(encode_all)
+        _ready[key] = Memo(encoder.encode, keys=keys)
     return _ready[key]
 
 
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1,
     linear: float = 1.0, quadratic: float = 1 / 1024, block_tokens: int = 1 << 21,
+    specials_as_text: bool = False,
 ) -> DataFrame:
     """One row per piece: ``id_col``, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset, sequence_length.
 
-    A document's ids are its whole text's, then ``end_id``. Sequences hold ``size`` tokens, or a power of
+    A document's ids are its whole text's, then ``end_id``; the string of a special token in a text is that
+    token, as in the library's plain call, or ordinary text with ``specials_as_text``. Sequences hold ``size`` tokens, or a power of
     two below it where a block of at least ``block_tokens`` (or a partition) ends. ``docs`` should be a
     written table, whose partitions repeat alike. Defined results: a null or empty text is ``end_id``
     alone; a null or repeated id is kept, each row being a document of its own; an empty table gives an
@@ -103,7 +106,7 @@ def pack_documents(
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end = _tokenizer(definition.value), np.array([end_id], dtype="<u4").tobytes()
+        memo, end = _tokenizer(definition.value, specials_as_text), np.array([end_id], dtype="<u4").tobytes()
         number = TaskContext.get().partitionId() << 32
 
         def block(keys: list[pa.Array], ids: list[bytes]) -> Iterator[pa.RecordBatch]:

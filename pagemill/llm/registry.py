@@ -186,3 +186,20 @@ def op10_ring_sharding(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "home_shard",
     )
+
+
+@register("op11_residual_packing")
+def op11_residual_packing(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    from pagemill.llm.residual_packing import pack_whole
+
+    pieces = pack_whole(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@register("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    from pagemill.llm.periodic_runs import periodic_runs, run_digests, with_planted_runs
+
+    return run_digests(periodic_runs(with_planted_runs(table(spark, d, "documents"))))
