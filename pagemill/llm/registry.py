@@ -203,3 +203,49 @@ def op12_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
     from pagemill.llm.periodic_runs import periodic_runs, run_digests, with_planted_runs
 
     return run_digests(periodic_runs(with_planted_runs(table(spark, d, "documents"))))
+
+
+@register(
+    "op13_importance_resampling",
+    r"""
+    WITH crc_table AS MATERIALIZED (
+      SELECT list(list_reduce([x::UBIGINT FOR x IN range(8)], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, b::UBIGINT) ORDER BY b) AS t
+      FROM range(256) r(b)),
+    d AS MATERIALIZED (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents),
+    m AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    df AS MATERIALIZED (
+      SELECT doc_id, f, count(*) AS n FROM (
+        SELECT doc_id, unnest(w) AS f FROM d
+        UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d) GROUP BY ALL),
+    mf AS MATERIALIZED (
+      SELECT f, count(*) AS n FROM (
+        SELECT unnest(w) AS f FROM m
+        UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM m) GROUP BY ALL),
+    hexed AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM df UNION SELECT f FROM mf)),
+    crc AS MATERIALIZED (
+      SELECT f, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::UBIGINT),
+        lambda c, b: xor(t[(xor(c, b) & 255)::BIGINT + 1], c >> 8), 4294967295::UBIGINT), 4294967295::UBIGINT) % 10000 AS bucket
+      FROM hexed, crc_table),
+    s AS (SELECT bucket, sum(n) AS s FROM df JOIN crc USING (f) GROUP BY 1),
+    t AS (SELECT bucket, sum(n) AS t FROM mf JOIN crc USING (f) GROUP BY 1),
+    sums AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS all_s, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS all_t),
+    gain AS (
+      SELECT b AS bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (all_t + 10000)))) AS gain
+      FROM range(10000) r(b) LEFT JOIN s ON b = s.bucket LEFT JOIN t ON b = t.bucket, sums),
+    weighed AS (SELECT doc_id, sum(n) AS n_features, floor(sum(n * gain) / sum(n)) AS weight FROM df JOIN crc USING (f) JOIN gain USING (bucket) GROUP BY 1),
+    scored AS (
+      SELECT d.doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM d LEFT JOIN weighed ON d.doc_id = weighed.doc_id),
+    placed AS (
+      SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+    SELECT scored.doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank
+    FROM scored LEFT JOIN placed ON scored.doc_id = placed.doc_id
+    """,
+)
+def op13_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
+    from pagemill.llm.importance import resample
+
+    return resample(table(spark, d, "documents"), table(spark, d, "benchmark"))

@@ -3,10 +3,11 @@
 A document longer than a sequence is cut into whole sequences and a rest; nothing else is cut. Each partition
 places its pieces in descending length, block by block, into the open sequence with the least room that
 holds them. Nearly full sequences are final at once. The underfull ones are the items of the next level: ``fan``
-nodes meet in one, which best-fits their sequences into each other, and so on up to one node.
+nodes meet in one, which best-fits their sequences into each other, whole or, where that takes fewer, piece
+by piece, and so on up to one node.
 
 What a node passes on is bounded without loss: of its open sequences no two fit together, so at most one is
-half empty, and a group of ``fan`` nodes has at most ``fan`` sequences to place. The ``carry`` emptiest of each
+half full or less, and a group of ``fan`` nodes has at most ``fan`` sequences to place whole. The ``carry`` emptiest of each
 node, ``carry`` at least ``fan``, hold a place for every one that has a place at all. So no task ever gathers
 more than ``fan * carry`` sequences, however large the input."""
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -83,39 +85,23 @@ def place(rooms: Rooms, pieces: list[tuple], size: int, numbers: Iterator[int])
 
 
 def merge(bins: list[Bin], size: int) -> list[Bin]:
-    """One best-fit round over whole sequences as items, in descending fill. A sequence at most half full
-    that fits nowhere whole is dissolved if the gaps of the others take all its pieces."""
-    rooms = Rooms(bins)
-    for b in sorted(bins, key=lambda b: (b.room, b.number)):
-        fill = size - b.room
+    """Two best-fit rounds: whole sequences as items in descending fill, then their pieces afresh. The round
+    that leaves fewer sequences counts; of equals, the one that leaves the emptier last one."""
+    pieces = [p for b in bins for p in b.pieces]
+    numbers = sorted(b.number for b in bins)
+    rooms = Rooms(Bin(b.number, b.room, list(b.pieces)) for b in bins)
+    for b in sorted((b for held in rooms.at.values() for b in held), key=lambda b: (b.room, b.number)):
         rooms.drop(b)
-        into = rooms.take(fill)
+        into = rooms.take(size - b.room)
         if into:
             into.pieces += b.pieces
-            into.room -= fill
-            rooms.add(into)
-        elif 2 * fill > size or not _dissolve(rooms, b):
-            rooms.add(b)
-    return rooms.all()
-
-
-def _dissolve(rooms: Rooms, b: Bin) -> bool:
-    """Place every piece of ``b`` into the others, or none of them."""
-    done = []
-    for piece in sorted(b.pieces, key=lambda p: -p[0]):
-        into = rooms.take(piece[0])
-        if into is None:
-            for other, moved in reversed(done):
-                rooms.drop(other)
-                other.pieces.pop()
-                other.room += moved
-                rooms.add(other)
-            return False
-        into.pieces.append(piece)
-        into.room -= piece[0]
-        rooms.add(into)
-        done.append((into, piece[0]))
-    return True
+            into.room -= size - b.room
+        rooms.add(into or b)
+    afresh = Rooms()
+    place(afresh, pieces, size, chain(numbers, range(-1, -len(pieces) - 1, -1)))  # numbers below 0: more sequences than before, not taken
+    one, two = rooms.all(), afresh.all()
+    better = (len(two), -two[0].room) < (len(one), -one[0].room) if bins else False
+    return two if better else one
 
 
 _ready: dict[tuple, Memo] = {}
