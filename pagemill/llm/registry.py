@@ -69,25 +69,38 @@ def op3_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     WITH b AS (SELECT doc_id, text, string_split(text, chr(10)) AS bodies FROM documents),
     x AS (SELECT doc_id, unnest(bodies) AS body, generate_subscripts(bodies, 1) - 1 AS line_no FROM b),
     t AS (
-      SELECT doc_id, line_no, body, list_filter(regexp_split_to_array(regexp_replace(body,
-        '[^ \t\x0B\f\r]*(?:[0-9@]|://)[^ \t\x0B\f\r]*', '<*>', 'g'), '[ \t\x0B\f\r]+'), lambda z: z <> '') AS toks
+      SELECT doc_id, line_no, body, list_filter(regexp_split_to_array(body, '[ \t\x0B\f\r]+'), lambda z: z <> '') AS raw,
+        list_filter(regexp_split_to_array(regexp_replace(body,
+          '[A-Za-z0-9._%+-]+@[A-Za-z0-9._%+-]*|[A-Za-z0-9+.-]+://[!-~]*|[0-9]+', '<*>', 'g'), '[ \t\x0B\f\r]+'), lambda z: z <> '') AS toks
       FROM x),
-    lines AS (SELECT doc_id, line_no, toks, len(toks) AS n, toks[1:3] AS head FROM t WHERE len(toks) > 0),
-    by_line AS (SELECT n, head, toks, count(DISTINCT doc_id) AS docs FROM lines GROUP BY ALL),
-    leaf AS (SELECT n, head, count(*) AS kinds FROM by_line GROUP BY ALL HAVING sum(docs) >= 3),
-    cand AS (SELECT by_line.*, kinds FROM by_line JOIN leaf USING (n, head)),
+    w AS (
+      SELECT *, len(list_filter(toks, lambda z: NOT contains(z, '<*>') AND regexp_matches(z, '\p{L}'))) AS words, len(toks) AS n,
+        regexp_matches(body, '[0-9@]|://') AS varies FROM t WHERE len(raw) > 0),
+    lines AS (
+      SELECT doc_id, line_no, n, words, varies AND NOT (words >= 2 AND 2 * words >= n) AS by_text,
+        CASE WHEN by_text THEN raw ELSE toks END AS line, CASE WHEN by_text THEN raw ELSE toks[1:3] END AS head,
+        CASE WHEN n >= 20 THEN 2 ELSE 3 END AS least FROM w),
+    by_line AS (SELECT by_text, n, head, line, words, least, count(DISTINCT doc_id) AS docs FROM lines GROUP BY ALL),
     placed AS (
-      SELECT n, head, toks, docs, unnest(toks) AS tok, generate_subscripts(toks, 1) AS spot FROM cand WHERE kinds > 1),
-    steady AS (SELECT n, head, spot, tok FROM placed WHERE tok <> '<*>' GROUP BY ALL HAVING sum(docs) >= 3),
+      SELECT n, head, line, words, least, docs, unnest(line) AS tok, generate_subscripts(line, 1) AS spot
+      FROM by_line WHERE NOT by_text AND words >= 8),
+    steady AS (
+      SELECT n, head, spot, tok, sum(docs) AS seen FROM placed WHERE NOT contains(tok, '<*>') AND regexp_matches(tok, '\p{L}')
+      GROUP BY n, head, spot, tok, least HAVING sum(docs) >= least),
     kept AS (
-      SELECT n, head, toks, CAST(list({'p': spot, 't': tok} ORDER BY spot) AS VARCHAR) AS template
-      FROM placed JOIN steady USING (n, head, spot, tok) GROUP BY n, head, toks HAVING count(*) >= n * 0.8::DOUBLE),
-    named AS (SELECT toks, template FROM kept UNION ALL SELECT toks, 'alone' FROM cand WHERE kinds = 1),
-    met AS (SELECT doc_id, line_no, n, head, template FROM lines JOIN named USING (toks)),
-    enough AS (SELECT n, head, template FROM met GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+      SELECT n, head, line, words, list({'seen': seen, 'spot': spot, 'tok': tok} ORDER BY seen DESC) AS kept
+      FROM placed JOIN steady USING (n, head, spot, tok) GROUP BY n, head, line, words HAVING count(*) >= ceil(words * 0.8::DOUBLE)),
+    constant AS (
+      SELECT n, head, line, list_sort(list_transform(list_filter(kept, lambda k: k.seen * 2 > kept[ceil(words * 0.8::DOUBLE)::INT].seen),
+        lambda k: {'spot': k.spot, 'tok': k.tok})) AS template FROM kept),
+    named AS (
+      SELECT by_line.by_text, by_line.line, by_line.least, CASE WHEN template IS NULL THEN {'own': by_line.line, 'n': NULL, 'head': by_line.by_text::VARCHAR, 'made': NULL}
+        ELSE {'own': NULL, 'n': constant.n, 'head': CAST(constant.head AS VARCHAR), 'made': template} END AS template
+      FROM by_line LEFT JOIN constant ON NOT by_line.by_text AND by_line.line = constant.line),
+    met AS (SELECT doc_id, line_no, template, named.least FROM lines JOIN named ON lines.by_text = named.by_text AND lines.line = named.line),
+    enough AS (SELECT template FROM met GROUP BY template, least HAVING count(DISTINCT doc_id) >= least),
     ranked AS (
-      SELECT doc_id, line_no, row_number() OVER (PARTITION BY n, head, template ORDER BY doc_id, line_no) AS r
-      FROM met JOIN enough USING (n, head, template)),
+      SELECT doc_id, line_no, row_number() OVER (PARTITION BY template ORDER BY doc_id, line_no) AS r FROM met JOIN enough USING (template)),
     drops AS (SELECT doc_id, line_no FROM ranked WHERE r > 1),
     rest AS (
       SELECT t.doc_id, count(*) AS n_lines, count(drops.line_no) AS n_dropped,
@@ -101,8 +114,7 @@ def op3_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
 def op4_line_templates(spark: SparkSession, d: str) -> DataFrame:
     from pagemill.llm.line_templates import drop_recurring
 
-    # the statement above asks for three documents whatever the length of a line
-    cleaned = drop_recurring(table(spark, d, "documents"), long_docs=3)
+    cleaned = drop_recurring(table(spark, d, "documents"))
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.octet_length("text").cast("long").alias("text_bytes"), F.sha2(text, 256).alias("text_sha256"))
 
