@@ -46,3 +46,17 @@ def test_entry_and_registry(spark):
     assert df.count() > 0 and df.columns == ["doc_id", "text"]
     qs, oracle = entry.queries(), entry.oracle_sql()
     assert set(oracle) <= set(qs) and len(qs) >= 50
+
+
+def test_entry_without_the_optional_folders(tmp_path):
+    """The entry, its queries and statements import from a tree that has no training-data subpackage."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    skip = shutil.ignore_patterns("llm", ".git", "__pycache__", "*.json")
+    shutil.copytree(root, tmp_path / "tree", ignore=skip)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 50 and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "tree", check=True, timeout=120, env={**os.environ, "PYTHONPATH": ""})
