@@ -14,7 +14,8 @@ each one a few Spark jobs, until the frontier is empty or a limit is met:
   G6  the final URL of a redirected page counts as seen from that page on
 
 Every link of every expanded page gets one decision (G3): depth, budget, seen, rules or admitted.
-Each level is written to the shared checkpoint folder, so lineage stays short.
+Each level is written to the shared checkpoint folder, so lineage stays short. Without redirects the
+crawl is that of one site by ``site_crawls``, whose work in a level follows the level's own size.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.plans.site_crawls import crawl_sites
 from pagemill.session import cut_lineage, written
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition id << 33 | row number in partition
@@ -76,12 +78,16 @@ def bfs(
       decisions(src, pos, dst, depth, decision) for every link of an expanded node.
     ``expandable(node)`` limits which nodes are fetched successfully and so expand; ``aliases(node,
     alias)`` gives the final URL of redirected pages. Without limits the whole reachable graph is crawled."""
+    if aliases is None:  # one site of the many that ``crawl_sites`` walks at once
+        of_one = seeds.select(F.lit(0).alias("site"), "node", F.col("node").alias("place"))
+        frontier, decisions = crawl_sites(edges, of_one, max_depth, max_pages, can_enqueue, expandable)
+        return frontier.withColumn("visited", F.lit(True)).drop("site"), decisions.drop("site")
     kind = dict(seeds.dtypes)["node"]
     no_alias = seeds.sparkSession.createDataFrame([], f"alias {kind}, alias_ord long")
     edges = written(edges, "crawl-edges")
     level = dense_rank_by(seeds.select("node").distinct(), "node", "ord")
     level = level.select("node", F.lit(0).alias("depth"), "ord", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("int").alias("pos"))
-    level, used = written(level, "crawl-level"), 0
+    level, used, placed = written(level, "crawl-level"), 0, 0
     seen, led, done, decided = [], [no_alias], [], []
     depth = 0
     while True:
@@ -89,13 +95,11 @@ def bfs(
         if not queued:
             break
         seen.append(level.select(F.col("node").alias("dst")))
-        used += queued
+        used, placed = used + queued, placed + queued
         level = _skip_redirected(level, led, aliases)
         done.append(level)
-        grown = level.withColumn("grown", F.lit(0).cast("long"))
-        if aliases is not None:
-            new, grown = _new_aliases(level, seen, led, aliases)
-            led.append(new)
+        new, grown = _new_aliases(level, seen, led, aliases)
+        led.append(new)
         src = grown.filter("visited")
         if expandable is not None:
             src = src.join(expandable.select("node"), "node", "left_semi")
@@ -116,7 +120,7 @@ def bfs(
         if max_pages is not None:
             ranked = ranked.where(F.col("rank") + F.col("grown") + used < max_pages)  # G4
         nxt = ranked.select(
-            F.col("dst").alias("node"), F.lit(depth).alias("depth"), (F.col("rank") + _ord_base(done)).alias("ord"),
+            F.col("dst").alias("node"), F.lit(depth).alias("depth"), (F.col("rank") + placed).alias("ord"),
             F.col("_k.parent_ord").alias("parent"), F.col("_k.pos").alias("pos"),
         )
         nxt = written(nxt, "crawl-level")
@@ -134,23 +138,15 @@ def bfs(
             F.when(F.col("_won"), "admitted").when(over, "budget").when(F.col("_seen"), "seen").when(~F.col("_rules"), "rules").otherwise("seen").alias("decision"),
         )
         decided.append(dec)
-        if aliases is not None:
-            used += led[-1].count()
+        used += led[-1].count()
         level = nxt
     return _union(done), _union(decided)
 
 
-def _ord_base(done: list[DataFrame]) -> int:
-    """Number of nodes placed so far: the next level's first position."""
-    return sum(d.count() for d in done)
-
-
-def _skip_redirected(level: DataFrame, led: list[DataFrame], aliases: DataFrame | None) -> DataFrame:
+def _skip_redirected(level: DataFrame, led: list[DataFrame], aliases: DataFrame) -> DataFrame:
     """``visited`` is false where an earlier page was redirected to the node, in an earlier level or
     before it in this one. A skipped page redirects nowhere, so pages of one level that lead to each
     other are settled in rounds, one more than the longest such chain."""
-    if aliases is None:
-        return level.withColumn("visited", F.lit(True))
     onward = written(level.join(aliases, "node").filter(F.col("alias") != F.col("node")).select("node", "alias", "ord"), "crawl-redirects")
     skipped = None
     while True:
