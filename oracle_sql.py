@@ -667,6 +667,112 @@ SELECT host, norm_url, min(pos) AS pos, 0 AS depth FROM entries JOIN dec USING (
 WHERE norm_url <> '' AND NOT ignored_ext AND NOT disallowed AND NOT blocked_url GROUP BY ALL
 """
 
+# ---------------------------------------------------------------- many sites at once, sitemap indexes
+
+
+def site_ctes(levels: int, lv0: str, max_pages: int | None = None) -> str:
+    """Crawls by site over ``edges(site, src, pos, dst, ok)``: lvK (nodes of a level), eK (its links), dK (their decisions)."""
+    out = [f"lv0 AS MATERIALIZED ({lv0})"]
+    for k in range(1, levels + 1):
+        seen = " UNION ALL ".join(f"SELECT site, node FROM lv{j}" for j in range(k))
+        cut = f"WHERE ord < {max_pages}" if max_pages else ""
+        out.append(f"seen{k} AS MATERIALIZED ({seen})")
+        out.append(f"used{k} AS MATERIALIZED (SELECT site, count(*) AS used FROM seen{k} GROUP BY site)")
+        out.append(
+            f"e{k} AS MATERIALIZED (SELECT g.site, g.src, g.pos, g.dst, g.ok, p.ord AS parent, s.node IS NOT NULL AS seen FROM lv{k - 1} p "
+            f"JOIN edges g ON g.site = p.site AND g.src = p.node LEFT JOIN seen{k} s ON s.site = g.site AND s.node = g.dst)"
+        )
+        out.append(
+            f"lv{k} AS MATERIALIZED (SELECT * FROM (SELECT site, dst AS node, {k} AS depth, used + row_number() OVER (PARTITION BY site ORDER BY parent, pos) - 1 AS ord, parent, pos "
+            f"FROM (SELECT *, row_number() OVER (PARTITION BY site, dst ORDER BY parent, pos) AS rn FROM e{k} WHERE NOT seen AND ok) JOIN used{k} USING (site) WHERE rn = 1) {cut})"
+        )
+        over = (
+            f"WHEN used + coalesce(c.n, 0) >= {max_pages} AND (c.n IS NULL OR e{k}.parent > c.parent OR (e{k}.parent = c.parent AND e{k}.pos > c.pos)) THEN 'budget' "
+            if max_pages else ""
+        )
+        out.append(
+            f"d{k} AS (SELECT e{k}.site, src, e{k}.pos, dst, {k} AS depth, CASE WHEN lv{k}.node IS NOT NULL THEN 'admitted' {over}WHEN seen THEN 'seen' WHEN NOT ok THEN 'rules' ELSE 'seen' END AS decision "
+            f"FROM e{k} JOIN used{k} USING (site) LEFT JOIN lv{k} ON lv{k}.site = e{k}.site AND lv{k}.parent = e{k}.parent AND lv{k}.pos = e{k}.pos "
+            f"LEFT JOIN (SELECT site, count(*) AS n, max(parent) AS parent, arg_max(pos, parent * 1000 + pos) AS pos FROM lv{k} GROUP BY site) c ON c.site = e{k}.site)"
+        )
+    return ",\n".join(out)
+
+
+_FILES = """
+files AS (
+  SELECT site, 'https://' || site || '/' || f AS file FROM (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS site FROM pages),
+    (VALUES ('sitemap.xml'), ('maps/a.xml'), ('maps/b.xml'), ('maps/urls-0.xml'), ('maps/urls-1.xml')) v(f)),
+edges AS (
+  SELECT site, 'https://' || site || '/' || p AS src, pos, 'https://' || site || '/' || c AS dst, true AS ok FROM (SELECT DISTINCT site FROM files),
+    (VALUES ('sitemap.xml', 0, 'maps/a.xml'), ('sitemap.xml', 1, 'maps/b.xml'), ('sitemap.xml', 2, 'missing.xml'),
+            ('maps/a.xml', 0, 'maps/urls-0.xml'), ('maps/a.xml', 1, 'sitemap.xml'), ('maps/a.xml', 2, 'maps/urls-1.xml')) v(p, pos, c))
+"""
+_START_FILE = "SELECT site, file AS node, 0 AS depth, 0::BIGINT AS ord, NULL::BIGINT AS parent, NULL::INTEGER AS pos FROM files WHERE file LIKE '%/sitemap.xml'"
+ORACLE["g5_sitemap_files"] = f"""
+WITH {_FILES}, {site_ctes(4, _START_FILE)}
+SELECT lv.site, node AS file, CAST(depth AS INTEGER) AS depth, ord AS file_ord, f.file IS NOT NULL AS found
+FROM ({_all('lv', range(5))}) lv LEFT JOIN files f ON f.file = lv.node
+"""
+
+_LISTED = f"""
+{_DECIDED},
+pg AS (
+  SELECT dec.*, h6.hhost, regexp_extract(pages.url, '^https?://([^/?#]+)', 1) AS site FROM dec JOIN h6 USING (page_id) JOIN pages USING (page_id) WHERE dec.norm_url <> ''),
+listed AS (
+  SELECT *, CASE page_id % 9 WHEN 2 THEN 2 WHEN 0 THEN 4 ELSE 5 END AS file_ord, row_number() OVER (PARTITION BY site, page_id % 9 ORDER BY page_id) - 1 AS pos
+  FROM pg WHERE page_id % 9 < 3)
+"""
+ORACLE["g5_sitemap_file_limit"] = f"WITH {_LISTED} SELECT site, CAST(file_ord AS BIGINT) AS file_ord, CAST(pos AS INTEGER) AS pos, norm_url AS url FROM listed WHERE file_ord < 5"
+
+_QUEUE = f"""
+{_LISTED},
+queue AS (
+  SELECT site, node, row_number() OVER (PARTITION BY site ORDER BY min(place)) - 1 AS ord FROM (
+    SELECT site, arg_min(norm_url, page_id) AS node, -1 AS place FROM pg GROUP BY site
+    UNION ALL SELECT site, norm_url, file_ord::BIGINT * 1000000000 + pos FROM listed WHERE NOT ignored_ext AND NOT disallowed AND NOT blocked_url) GROUP BY site, node)
+"""
+ORACLE["x1_site_queue"] = f"WITH {_QUEUE} SELECT site, node, ord FROM queue"
+
+_SITE_EDGES = f"""
+{_QUEUE},
+placed AS (SELECT page_id, site, norm_url, hhost, ignored_ext, disallowed, blocked_url, row_number() OVER (PARTITION BY site ORDER BY page_id) - 1 AS r, count(*) OVER (PARTITION BY site) AS n FROM pg),
+edges AS MATERIALIZED (
+  SELECT site, src, pos, min(e).dst AS dst, min(e).ok AS ok FROM (
+    SELECT a.site, a.norm_url AS src, t.pos, {{'dst': b.norm_url, 'ok': NOT b.ignored_ext AND NOT b.disallowed AND NOT b.blocked_url
+        AND (b.hhost = '' OR b.hhost = lower(a.site) OR b.hhost = {root_sql('a.site')})}} AS e
+    FROM placed a CROSS JOIN (VALUES (0), (1), (2)) t(pos)
+    JOIN placed b ON CASE WHEN t.pos < 2 THEN b.site = a.site AND b.r = (2 * a.r + t.pos + 1) % a.n ELSE b.page_id = (a.page_id * 7 + 1) % (SELECT count(*) FROM pages) END)
+  GROUP BY site, src, pos)
+"""
+_START_QUEUE = "SELECT site, node, 0 AS depth, ord, NULL::BIGINT AS parent, NULL::INTEGER AS pos FROM queue"
+SITE_LEVELS = 12  # more than any site has at the checked size
+ORACLE["g2_many_sites"] = f"WITH {_SITE_EDGES}, {site_ctes(SITE_LEVELS, _START_QUEUE)} SELECT site, node, CAST(depth AS INTEGER) AS depth, ord FROM ({_all('lv', range(SITE_LEVELS + 1))})"
+ORACLE["g4_site_budgets"] = f"""
+WITH {_SITE_EDGES}, {site_ctes(2, _START_QUEUE, 8)}
+SELECT * FROM ({_all('d', range(1, 3))})
+UNION ALL SELECT p.site, g.src, g.pos, g.dst, 3 AS depth, 'depth' AS decision FROM lv2 p JOIN edges g ON g.site = p.site AND g.src = p.node
+"""
+
+# ---------------------------------------------------------------- allowed hosts, many rules for a host
+
+ORACLE["j7_allowed_hosts"] = f"""
+WITH {norm_ctes('pages', 'page_id', 'url', 'norm_url')},
+{parts_ctes('n_out', 'page_id, norm_url', 'norm_url', 'h')},
+allowed AS (
+  SELECT {root_sql('hhost')} AS a FROM h6 WHERE page_id % 3 = 0 AND hhost <> ''
+  UNION SELECT 'shop' || c_custkey || '.example' FROM customer UNION SELECT '.b' UNION SELECT lower(hhost) FROM h6 WHERE page_id % 7 = 1 AND hhost <> '')
+SELECT page_id, hhost AS host, EXISTS (SELECT 1 FROM allowed WHERE lower(hhost) = a OR ends_with(lower(hhost), '.' || a)) AS allowed FROM h6
+"""
+
+ORACLE["p6_rule_index"] = f"""
+WITH {norm_ctes('pages', 'page_id', 'url', 'norm_url')},
+{parts_ctes('n_out', 'page_id, norm_url', 'norm_url', 'h')},
+p AS (SELECT page_id, hhost, CASE WHEN hpath = '' THEN '/' ELSE hpath END AS path FROM h6),
+r AS (SELECT DISTINCT hhost, substr(path, 1, CAST(2 + page_id % 13 AS INTEGER)) AS rule FROM p WHERE page_id % 4 = 1
+      UNION SELECT DISTINCT hhost, '/none/' || o_orderkey FROM p, orders WHERE page_id = 0)
+SELECT page_id, (SELECT max(rule) FROM r WHERE r.hhost = p.hhost AND starts_with(path, rule)) AS longest_rule FROM p
+"""
+
 # ---------------------------------------------------------------- step 9: streams (equal to the batch answers)
 
 ORACLE["st1_url_dedupe_stream"] = f"WITH {norm_ctes('pages', 'page_id', 'url', 'norm_url')} SELECT DISTINCT norm_url FROM n_out WHERE norm_url <> ''"

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import py_strip
 from pagemill.functions.urls import with_joined_parts, with_normalized_url, with_url_parts, with_urljoin
 from pagemill.session import cut_lineage
 
@@ -38,3 +39,17 @@ def canonical_links(nodes: DataFrame, pages: DataFrame, base_col: str = "url") -
     # written once: a filter on the derived URL would be inlined into every URL stage
     j = cut_lineage(j.select("page_id", "canonical_url"))
     return j.where(F.col("canonical_url") != "")
+
+
+def with_allowed_host(df: DataFrame, host: str, allowed: DataFrame, out: str) -> DataFrame:
+    """``out`` = ``host`` equals one of ``allowed(host)`` or ends with a dot and one, case aside.
+
+    Each distinct host is cut into its dot-suffixes, which meet the allowed names in an equi-join; the
+    number of allowed hosts costs no more than their shuffle. Blank names are no names; a null host isn't allowed."""
+    names = allowed.select(F.lower(py_strip(F.col("host"))).alias("_suffix")).filter("_suffix <> ''").distinct()
+    hosts = df.select(F.col(host).alias("_host")).filter("_host IS NOT NULL").distinct()
+    labels = F.split(F.lower("_host"), r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    met = hosts.select("_host", F.explode(suffixes).alias("_suffix")).join(names, "_suffix", "left_semi").select("_host").distinct()
+    met = met.withColumn("_allowed", F.lit(True))
+    return df.join(met, df[host] == met["_host"], "left").withColumn(out, F.col("_allowed").isNotNull()).drop("_host", "_allowed")

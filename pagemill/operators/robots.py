@@ -8,8 +8,8 @@ per (host, rule) that is a counter that never goes below zero, so the final coun
 is bounded by the file itself.
 
 Join: URLs ⋉ rules on host with ``rule = '/' OR startswith(path, rule)``; the rules side is
-broadcast when a count says it is small, else it stays a shuffle join on host (AQE splits a
-host that holds a large share of the URLs).
+broadcast when its measured bytes are few and no host has many rules, else paths are looked up in a
+prefix index, an equi-join on (host, cut).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import py_strip, splitlines
 from pagemill.functions.urls import with_url_parts
-from pagemill.session import size_at_most
+from pagemill.session import cut_lineage
 
 
 def robots_lines(robots: DataFrame, host_col: str = "host", content_col: str = "content") -> DataFrame:
@@ -64,16 +64,35 @@ def rules_by_host(rules: DataFrame) -> DataFrame:
     return rules.groupBy("host").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
 
 
-def with_robots_disallowed(urls: DataFrame, rules: DataFrame, url_col: str, out: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+def with_longest_rule(paths: DataFrame, rules: DataFrame, host: str, path: str, out: str) -> DataFrame:
+    """``out`` = the longest rule of the host (``rules``: host, rule) that ``path`` begins with, else null.
+
+    A prefix index instead of a scan of the host's rules: a path is cut only at the lengths that occur among
+    its host's rules, and a cut equals a rule or it doesn't, an equi-join on (host, text). Distinct (host,
+    path) pairs are looked up once; a host with most of the rules or paths is split like any skewed join."""
+    keys = paths.select(F.col(host).alias("_h"), F.col(path).alias("_p")).distinct()
+    r = rules.select(F.col("host").alias("_h"), F.col("rule").alias("_r")).distinct()
+    lengths = r.groupBy("_h").agg(F.collect_set(F.char_length("_r")).alias("_lens"))  # at most as many as a rule is long
+    cuts = keys.join(lengths, "_h").select("_h", "_p", F.explode(F.filter("_lens", lambda n: n <= F.char_length("_p"))).alias("_n"))
+    cuts = cuts.withColumn("_r", F.substring(F.col("_p"), F.lit(1), F.col("_n")))
+    best = cuts.join(r, ["_h", "_r"], "left_semi").groupBy("_h", "_p").agg(F.max_by("_r", "_n").alias(out))
+    same = paths[host].eqNullSafe(best["_h"]) & paths[path].eqNullSafe(best["_p"])
+    return paths.join(best, same, "left").drop("_h", "_p")
+
+
+def with_robots_disallowed(urls: DataFrame, rules: DataFrame, url_col: str, out: str, broadcast_bytes: int = 8 << 20, host_rules: int = 1000) -> DataFrame:
     """``out`` = the URL's hostname has a rule '/' or a rule its path starts with.
 
-    One left equi-join on host against the per-host rule arrays (broadcast after a row count,
-    else a shuffle join); no duplicate rows, no regrouping."""
+    While all rules together take at most ``broadcast_bytes`` and no host has more than ``host_rules``, one
+    broadcast join on host with per-host arrays; beyond that the prefix index of ``with_longest_rule``."""
     df = with_url_parts(urls, url_col, "__r_")
     df = df.withColumn("__r_p", F.coalesce(F.when(F.col("__r_path") != "", F.col("__r_path")), F.lit("/")))
-    r = rules_by_host(rules).select(F.col("host").alias("__r_host"), F.col("rules").alias("__r_rules"))
-    if size_at_most(r, broadcast_rows):
-        r = F.broadcast(r)
+    per_host = rules.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("rule") + F.octet_length("host") + 32).alias("bytes"))
+    size = per_host.agg(F.max("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    if (size.n or 0) > host_rules or (size.bytes or 0) > broadcast_bytes:
+        found = with_longest_rule(cut_lineage(df.select(*urls.columns, "__r_host", "__r_p")), rules, "__r_host", "__r_p", "__r_rule")
+        return found.withColumn(out, F.col("__r_rule").isNotNull()).select(*urls.columns, out)
+    r = F.broadcast(rules_by_host(rules).select(F.col("host").alias("__r_host"), F.col("rules").alias("__r_rules")))
     df = df.join(r, "__r_host", "left")
     hit = F.exists(F.coalesce(F.col("__r_rules"), F.array().cast("array<string>")),
                    lambda x: (x == "/") | F.col("__r_p").startswith(x))

@@ -405,6 +405,7 @@ def a4_run_summary(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- step 6: crawl (G2-G6, J2, J3, J8, W5, O3, A10) + sitemaps
 
 from pagemill.plans import crawl as CR  # noqa: E402
+from pagemill.plans import site_crawls as SC  # noqa: E402
 from pagemill.sources import sitemap as SM  # noqa: E402
 
 def _crawl(spark: SparkSession, d: str, **limits):
@@ -508,6 +509,98 @@ def g5_sitemap_enqueue(spark: SparkSession, d: str) -> DataFrame:
     return first.select("host", "norm_url", "pos", F.lit(0).alias("depth"))
 
 
+def _sites(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(pages by host, starts): page_id, node (normalised URL) and site of every page, and each site's first page."""
+    pages = _pages(spark, d, "page_id", "url").withColumn("site", F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
+    named = cut_lineage(U.with_normalized_url(pages, "url", "node").select("page_id", "site", "node")).filter("node <> ''")
+    return named, named.groupBy("site").agg(F.min_by("node", "page_id").alias("node"))
+
+
+def _expanded(spark: SparkSession, d: str, max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
+    files = FX.sitemap_files(spark, d)
+    starts = files.select("site", F.concat(F.lit("https://"), F.col("site"), F.lit("/sitemap.xml")).alias("node")).distinct()
+    return SC.expand_sitemaps(starts, SM.resolved_entries(files), files.select("file"), max_files)
+
+
+@register("g5_sitemap_files")
+def g5_sitemap_files(spark: SparkSession, d: str) -> DataFrame:
+    """The sitemap files of every site in queue order, from its index down through the indexes below; a
+    file that leads back is met once, a missing one is listed as not found."""
+    files, _ = _expanded(spark, d)
+    return files.select("site", F.col("node").alias("file"), "depth", "file_ord", "found")
+
+
+@register("g5_sitemap_file_limit")
+def g5_sitemap_file_limit(spark: SparkSession, d: str) -> DataFrame:
+    """The URLs that a site's first five sitemap files list (the limit is the feature)."""
+    _, urls = _expanded(spark, d, max_files=5)
+    return urls.select("site", "file_ord", "pos", F.col("node").alias("url"))
+
+
+def _site_queue(spark: SparkSession, d: str, starts: DataFrame) -> DataFrame:
+    _, urls = _expanded(spark, d)
+    urls = SC.with_can_enqueue(urls, RB.robots_rules(FX.robots(spark, d)), "site", "node", "ok")
+    return SC.one_queue(starts, urls.filter("ok"))
+
+
+@register("x1_site_queue")
+def x1_site_queue(spark: SparkSession, d: str) -> DataFrame:
+    """The queue that every site begins with: its start, then the URLs of its sitemaps that pass P8."""
+    queue = _site_queue(spark, d, _sites(spark, d)[1])
+    return SC.segmented_rank(queue, ["site"], "place", "ord").select("site", "node", "ord")
+
+
+def _many_sites(spark: SparkSession, d: str, **limits) -> tuple[DataFrame, DataFrame]:
+    """One crawl of all hosts: start, sitemap URLs and links in one queue each."""
+    pages, starts = _sites(spark, d)
+    links = FX.site_links(spark, d).join(pages.select(F.col("page_id").alias("src_id"), "site", F.col("node").alias("src")), "src_id")
+    links = links.join(pages.select(F.col("page_id").alias("dst_id"), F.col("node").alias("dst")), "dst_id").select("site", "src", "pos", "dst")
+    edges = SC.with_can_enqueue(links, RB.robots_rules(FX.robots(spark, d)), "site", "dst", "ok")
+    # two pages with one normalised URL are one node: its lesser link at each place counts
+    edges = edges.groupBy("site", "src", "pos").agg(F.min(F.struct("dst", "ok")).alias("e")).select("site", "src", "pos", "e.*")
+    return SC.crawl_sites(edges, _site_queue(spark, d, starts), can_enqueue="ok", **limits)
+
+
+@register("g2_many_sites")
+def g2_many_sites(spark: SparkSession, d: str) -> DataFrame:
+    """The crawl order of every site, all of them in one job."""
+    return _many_sites(spark, d)[0].select("site", "node", "depth", "ord")
+
+
+# the limits are the feature here: every site may hold eight pages, down to depth 2
+@register("g4_site_budgets")
+def g4_site_budgets(spark: SparkSession, d: str) -> DataFrame:
+    """The decision for every link where each site has a budget of its own."""
+    return _many_sites(spark, d, max_depth=2, max_pages=8)[1]
+
+
+def _page_hosts(spark: SparkSession, d: str) -> DataFrame:
+    df = U.with_normalized_url(_pages(spark, d, "page_id", "url"), "url", "norm_url")
+    df = U.with_url_parts(df, "norm_url", "n_")
+    return cut_lineage(df.select("page_id", F.col("n_host").alias("host"), F.when(F.col("n_path") == "", "/").otherwise(F.col("n_path")).alias("path")))
+
+
+@register("j7_allowed_hosts")
+def j7_allowed_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose host is one of a table of allowed hosts (one for every customer among them) or below one."""
+    pages = _page_hosts(spark, d)
+    own = pages.filter("page_id % 3 = 0 AND host <> ''").select(U.root_domain("host").alias("host"))
+    exact = pages.filter("page_id % 7 = 1 AND host <> ''").select("host")
+    shops = table(spark, d, "customer").select(F.concat(F.lit("shop"), F.col("c_custkey"), F.lit(".example")).alias("host"))
+    allowed = own.unionByName(exact).unionByName(shops).unionByName(spark.createDataFrame([(".b",), (" ",)], "host string"))
+    return LK.with_allowed_host(pages.select("page_id", "host"), "host", allowed, "allowed")
+
+
+@register("p6_rule_index")
+def p6_rule_index(spark: SparkSession, d: str) -> DataFrame:
+    """The longest rule of its host that a page's path begins with, where one host has a rule for every order."""
+    pages = _page_hosts(spark, d)
+    rules = pages.filter("page_id % 4 = 1").select("host", F.substring(F.col("path"), F.lit(1), (2 + F.col("page_id") % 13).cast("int")).alias("rule"))
+    many = table(spark, d, "orders").select(F.concat(F.lit("/none/"), F.col("o_orderkey")).alias("rule"), F.lit(0).cast("long").alias("page_id")).join(pages, "page_id")
+    found = RB.with_longest_rule(pages, rules.unionByName(many.select("host", "rule")), "host", "path", "longest_rule")
+    return found.select("page_id", "longest_rule")
+
+
 # ---------------------------------------------------------------- step 7: import
 
 from pagemill.sources import files as FI  # noqa: E402

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions import urls as U
+from pagemill.operators.robots import with_robots_disallowed
 from pagemill.plans.seen import Seen, unions
 from pagemill.session import scratch_path, written
 
@@ -138,3 +140,13 @@ def expand_sitemaps(starts: DataFrame, entries: DataFrame, present: DataFrame, m
     files = files.join(there, "node", "left").select("site", "node", "depth", F.col("ord").alias("file_ord"), F.coalesce("found", F.lit(False)).alias("found"))
     urls = files.join(entries.filter("kind = 'url'"), files.node == entries.file).select("site", "file_ord", "pos", F.col("loc").alias("node"))
     return files, urls
+
+
+def with_can_enqueue(df: DataFrame, rules: DataFrame, site: str, url: str, out: str) -> DataFrame:
+    """``out`` = the URL belongs to the site (a host name) and no extension or robots rule forbids it.
+    The decided rows are written: the conditions are long expressions over the parts of the URL."""
+    named = df.withColumns({"__root": U.root_domain(site), "__start": F.lower(site)})
+    named = U.with_internal(named, url, "__start", "__root", "__internal")
+    named = U.with_ignored_extension(named, url, "__ignored")
+    named = with_robots_disallowed(named, rules, url, "__disallowed")
+    return written(named.withColumn(out, F.col("__internal") & ~F.col("__ignored") & ~F.col("__disallowed")).select(*df.columns, out), "can-enqueue")

@@ -121,3 +121,33 @@ def mail(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("mail-"), F.col("conv_id").cast("string"), F.lit(".mbox")).alias("filename"),
         F.array_join(F.transform("ms", lambda x: x["m"]), "\n").alias("content"),
     )
+
+
+def sitemap_files(spark: SparkSession, d: str) -> DataFrame:
+    """(site, file, content): an index for every host, a second index below it that leads back to the first,
+    a missing file, and three lists of pages."""
+    p = table(spark, d, "pages").select("page_id", "url", _host(F.col("url")).alias("site"))
+    entry = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    listed = lambda k: F.array_sort(F.collect_list(F.when(F.col("page_id") % 9 == k, F.struct("page_id", entry.alias("e")))))
+    g = p.groupBy("site").agg(*[listed(k).alias(f"l{k}") for k in range(3)])
+    body = lambda k: F.concat(F.lit("<urlset>"), F.array_join(F.transform(f"l{k}", lambda x: x["e"]), ""), F.lit("</urlset>"))
+    index = '<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>maps/a.xml</loc></sitemap><sitemap><loc> /maps/b.xml#x </loc></sitemap><sitemap><loc>missing.xml</loc></sitemap></sitemapindex>'
+    second = '<s:sitemapindex xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9"><s:sitemap><s:loc>urls-0.xml</s:loc></s:sitemap><s:sitemap><s:loc>../sitemap.xml</s:loc></s:sitemap><s:sitemap><s:loc>./urls-1.xml</s:loc></s:sitemap></s:sitemapindex>'
+    files = {"sitemap.xml": F.lit(index), "maps/a.xml": F.lit(second), "maps/b.xml": body(2), "maps/urls-0.xml": body(0), "maps/urls-1.xml": body(1)}
+    rows = F.array(*[F.struct(F.lit(name).alias("name"), content.alias("content")) for name, content in files.items()])
+    one = g.select("site", F.explode(rows).alias("f"))
+    return one.select("site", F.concat(F.lit("https://"), F.col("site"), F.lit("/"), F.col("f.name")).alias("file"), "f.content")
+
+
+def site_links(spark: SparkSession, d: str) -> DataFrame:
+    """(src_id, pos, dst_id): every page links to two pages of its host and to one anywhere."""
+    from pyspark.sql import Window
+
+    p = table(spark, d, "pages").select("page_id", _host(F.col("url")).alias("host"))
+    w = Window.partitionBy("host")
+    p = p.withColumns({"r": F.row_number().over(w.orderBy("page_id")) - 1, "n": F.count(F.lit(1)).over(w)})
+    near = p.select("host", F.col("page_id").alias("src_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"), "r", "n")
+    near = near.withColumn("r", (2 * F.col("r") + F.col("pos") + 1) % F.col("n")).join(p.select("host", "r", F.col("page_id").alias("dst_id")), ["host", "r"])
+    total = p.count()
+    far = p.select(F.col("page_id").alias("src_id"), F.lit(2).alias("pos"), ((F.col("page_id") * 7 + 1) % F.lit(total)).alias("dst_id"))
+    return near.select("src_id", "pos", "dst_id").unionByName(far)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import py_strip
+from pagemill.functions.urls import with_normalized_url, with_urljoin
+from pagemill.session import cut_lineage
 
 _SCHEMA = "url array<struct<loc: string>>, sitemap array<struct<loc: string>>"
 
@@ -26,3 +28,12 @@ def sitemap_entries(df: DataFrame, key: str = "host", content: str = "content")
     maps = df.where(F.col("_root") == "sitemapindex").select(key, F.lit("sitemap").alias("kind"), F.posexplode("_x.sitemap").alias("pos", "e"))
     out = urls.unionByName(maps).select(key, "kind", F.col("pos").cast("int").alias("pos"), py_strip(F.col("e.loc")).alias("loc"))
     return out.where(F.col("loc").isNotNull() & (F.col("loc") != ""))
+
+
+def resolved_entries(files: DataFrame, key: str = "file", content: str = "content") -> DataFrame:
+    """(file, kind, pos, loc): the entries of the sitemap files named by their URLs, each location resolved
+    against its file and normalised; what no normal form has is left out."""
+    entries = sitemap_entries(files, key, content).withColumnRenamed(key, "file")
+    joined = cut_lineage(with_urljoin(entries, "file", "loc", "url").select("file", "kind", "pos", "url"))
+    found = cut_lineage(with_normalized_url(joined, "url", "norm").select("file", "kind", "pos", F.col("norm").alias("loc")))
+    return found.filter("loc <> ''")
