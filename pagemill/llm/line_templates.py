@@ -90,13 +90,18 @@ def enough_docs(min_docs: int, long_docs: int) -> Column:
     return F.when(F.col("long"), F.lit(long_docs)).otherwise(F.lit(min_docs))
 
 
-def steady_templates(looked: DataFrame, least_words: int, constant_share: float) -> DataFrame:
-    """(line, template) of the lines (leaf, line, docs, least, toks) with words enough and a template constant enough.
+def words_of(toks: Column) -> Column:
+    """The words among the tokens, as (at, tok): place and hash. Each token is looked at once."""
+    marked = F.transform(toks, lambda t, k: F.when(word(t), F.struct(k.alias("at"), F.xxhash64(t).alias("tok"))))
+    return F.filter(marked, lambda x: x.isNotNull())
+
+
+def steady_templates(looked: DataFrame, constant_share: float) -> DataFrame:
+    """(line, template) of the lines (leaf, line, docs, least, words) whose template is constant enough.
 
     A line's cluster is about as large as the count of its k-th most seen word, where k words are enough
     to be constant. Its words in more than half as many documents are the template, by place and hash."""
-    placed = looked.select("leaf", "line", "docs", "least", F.size(F.filter("toks", word)).alias("n"), F.posexplode("toks").alias("at", "tok"))
-    placed = placed.filter((F.col("n") >= least_words) & word(F.col("tok"))).select("leaf", "line", "docs", "least", "n", "at", F.xxhash64("tok").alias("tok"))
+    placed = looked.select("leaf", "line", "docs", "least", F.size("words").alias("n"), F.explode("words").alias("w")).select("leaf", "line", "docs", "least", "n", "w.*")
     steady = placed.groupBy("leaf", "at", "tok", "least").agg(F.sum("docs").alias("seen")).filter(F.col("seen") >= F.col("least")).drop("least")
     kept = placed.join(steady, ["leaf", "at", "tok"]).groupBy("leaf", "line", "n")
     kept = kept.agg(F.array_sort(F.collect_list(F.struct("seen", "at", "tok"))).alias("kept"))
@@ -125,9 +130,9 @@ def recurring_lines(docs: DataFrame, min_docs: int, long_docs: int, long_line: i
     wanted = mixed.groupBy(*KEY).agg(F.collect_list(F.struct("line_no", "leaf", "line", "docs", "least")).alias("wanted"))
     bodies = docs.select(*KEY, F.split("text", "\n").alias("bodies"))
     looked = bodies.join(wanted, same_row(bodies, wanted)).select("bodies", F.explode("wanted").alias("w"))
-    looked = looked.select("w.leaf", "w.line", "w.docs", "w.least", tokens(F.get("bodies", F.col("w.line_no"))).alias("toks"))
-    looked = written(looked.dropDuplicates(["line"]), "line-tokens")
-    steady = written(steady_templates(looked, least_words, constant_share), "line-templates")
+    looked = looked.select("w.leaf", "w.line", "w.docs", "w.least", words_of(tokens(F.get("bodies", F.col("w.line_no")))).alias("words"))
+    looked = written(looked.filter(F.size("words") >= least_words).dropDuplicates(["line"]), "line-words")
+    steady = written(steady_templates(looked, constant_share), "line-templates")
     own = cand.select("line", named("line").alias("own"))
     names = written(own.join(steady, "line", "left").select("line", F.coalesce("template", "own").alias("template")), "named-lines")
     met = written(lines.join(names, "line").select(*KEY, "line_no", "long", "template"), "template-lines")
