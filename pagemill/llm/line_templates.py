@@ -34,18 +34,18 @@ VARIABLE_MARK = r"[0-9@]|://"
 #: The variable part of a token: a mail address, a URL (as far as it is ASCII) or a run of digits.
 #: A run is tried from its start only, so that a very long token takes linear time.
 VARIABLE_PART = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9._%+-]*|(?<![A-Za-z0-9+.-])[A-Za-z0-9+.-]++://[!-~]*|[0-9]+"
-BLANKS = r"[ \t\x0B\f\r]+"
+BLANKS = " \t\x0b\f\r"
 ID, TEXT_HASH = "__id", "__text_hash"
 KEY = [ID, TEXT_HASH]
 
 
 def split_tokens(line: Column) -> Column:
-    return F.array_remove(F.split(line, BLANKS), "")
+    return F.array_remove(F.split(F.translate(line, BLANKS[1:], " " * len(BLANKS[1:])), " "), "")
 
 
 def tokens(line: Column) -> Column:
     """Tokens between blanks, their variable parts replaced; only lines with an address pay for the long pattern."""
-    masked = F.when(line.rlike("@|://"), F.regexp_replace(line, VARIABLE_PART, VARIABLE)).when(line.rlike("[0-9]"), F.regexp_replace(line, "[0-9]+", VARIABLE))
+    masked = F.when(F.contains(line, F.lit("@")) | F.contains(line, F.lit("://")), F.regexp_replace(line, VARIABLE_PART, VARIABLE)).when(line.rlike("[0-9]"), F.regexp_replace(line, "[0-9]+", VARIABLE))
     return split_tokens(masked.otherwise(line))
 
 
@@ -72,7 +72,7 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
 def lines_of(docs: DataFrame, depth: int, long_line: int) -> DataFrame:
     """(key, line_no, long, leaf, line): the hashes of every line with a token; equal lines share ``line``. A line
     that its words don't make known has a leaf of its own, named by its unmasked tokens."""
-    split = docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "body")).filter(F.col("body").rlike(r"[^ \t\x0B\f\r]"))
+    split = docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "body")).filter(F.btrim("body", F.lit(BLANKS)) != "")
     cut = split.select(*KEY, "line_no", "body", tokens(F.col("body")).alias("toks"))
     words, n = F.size(F.filter("toks", word)), F.size("toks")
     by_text = F.col("body").rlike(VARIABLE_MARK) & ~((words >= 2) & (2 * words >= n))
