@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.session import scratch_path, written
@@ -32,6 +32,8 @@ from pagemill.session import scratch_path, written
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1, struct.Struct("<IBI")
 ENTRY = struct.Struct("<II")
+#: Bytes before compression: a task and its bundle have at most about the first, and aren't made for less than the second.
+TASK_BYTES, LEAST_BYTES = 128 << 20, 4 << 20
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -91,10 +93,19 @@ def frames_of(file) -> list[tuple[int, int, int]]:
     return out
 
 
-def with_first_copy(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int) -> DataFrame:
-    """``id_col``, digest (hex SHA-1) and first: the smallest id with an equal payload of ``least_bytes`` or more."""
+def tasks_for(spark: SparkSession, size: int) -> int:
+    """How many tasks share ``size`` bytes: ``TASK_BYTES`` each, or less while that leaves cores idle."""
+    return max(1, -(-size // TASK_BYTES), min(spark.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
+
+
+def payload_digests(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
+    """id, digest (hex SHA-1) and size (bytes) of every payload, as a written table."""
     payload = F.encode(F.coalesce(payload_col, F.lit("")), "UTF-8")
-    digests = written(pages.select(F.col(id_col).alias("id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")), "payload-digests")
+    return written(pages.select(F.col(id_col).alias("id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")), "payload-digests")
+
+
+def with_first_copy(digests: DataFrame, least_bytes: int) -> DataFrame:
+    """id, digest and first: the smallest id with an equal payload of ``least_bytes`` or more."""
     first = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = digests.filter((F.col("size") >= least_bytes) & F.col("id").isNotNull()).join(first, "digest")
     return shared.groupBy("id", "digest").agg(F.min("first").alias("first"))
@@ -110,15 +121,18 @@ def write_bundles(
     Of equal payloads of at least ``least_bytes`` the row with the smallest id is a response, the others
     revisit it. Defined results: a null payload is empty and a null URL left blank; a row with a null id
     is always a response; of rows alike in id and payload the first is the response; an empty table
-    writes nothing; other columns are ignored, whatever their names."""
+    writes nothing; the number of bundles follows the payloads' bytes unless ``bundles`` names it; other columns are ignored, whatever their names."""
     spark = pages.sparkSession
-    shared = with_first_copy(pages, id_col, payload_col, least_bytes)
+    digests = payload_digests(pages, id_col, payload_col)
+    shared = with_first_copy(digests, least_bytes)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.encode("payload", "UTF-8")))
+    count = bundles or tasks_for(spark, digests.agg(F.sum("size")).first()[0] or 0)
+    # the one shuffle of the payloads, before the join, which keeps its partitions: after it, adaptive execution could fold them into one
+    rows = rows.repartition(count, "id", "digest")
     joined = rows.join(shared.select(F.col("id").alias("i"), F.col("digest").alias("d"), "first"), (F.col("id") == F.col("i")) & (F.col("digest") == F.col("d")), "left")
-    joined = joined.select(F.col("id").cast("string").alias("page"), F.col("first").cast("string").alias("first"), "id", "url", "payload", "digest")
-    count = bundles or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = joined.repartition(count, "id", "digest").sortWithinPartitions("digest", "id", "url").drop("id")
+    spread = joined.sortWithinPartitions("digest", "id", "url")
+    spread = spread.select(F.col("id").cast("string").alias("page"), F.col("first").cast("string").alias("first"), "url", "payload", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -169,7 +183,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     """Every indexed record, read from its bundle by the seek table: page, type, refers_to (page),
     payload_bytes, payload_digest, payload (null for a revisit).
 
-    The digest of a response is taken anew from its payload and must equal its header's."""
+    The digest of a response is taken anew from its payload and must equal its header's (ValueError otherwise).
+    Defined results: rows come in any order; an empty index gives none; a null id was written as "None".
+    Tasks are as many as the records' bytes need, whatever the size of the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
@@ -204,8 +220,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         names = ["page", "type", "refers_to", "payload_bytes", "payload_digest", "payload"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    # each frame is read by one task, frames of a bundle by many
-    ordered = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "at").select("bundle", "frame", "at", "size", "page")
+    # each frame is read by one task, frames of a bundle by many; a stated number, since the index itself is tiny
+    tasks = tasks_for(index.sparkSession, index.agg(F.sum("size")).first()[0] or 0)
+    ordered = index.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "at").select("bundle", "frame", "at", "size", "page")
     return ordered.mapInArrow(run, "page string, type string, refers_to string, payload_bytes long, payload_digest string, payload binary")
 
 
