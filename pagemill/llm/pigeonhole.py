@@ -8,8 +8,10 @@ fingerprint's own value there, and to verify what is found.
 * The partitions and thresholds come from a bounded sample of distinct fingerprints: correlated bits
   are grouped into one partition, and dynamic programming spreads the thresholds so that estimated
   probes and candidate pairs are fewest. The plan steers cost only; any plan finds every link.
-* Rows with one partition and value meet in a sorted run. A run of any size gives a spanning forest
-  of its links instead of all its pairs: at most one edge fewer than it has fingerprints.
+* Rows with one partition and value meet in a sorted run. A run gives a spanning forest of its links
+  instead of all its pairs: at most one edge fewer than it has fingerprints. A long run (families of texts
+  that share whole partitions) is split by the same principle over its other bits, again and again, so
+  that no task holds more than ``LONG_RUN`` rows of a run unless few bits are left to tell them apart.
 * Components of distinct fingerprints grow from those forests by hooking to the smallest neighbour and
   contraction. Copies and equal fingerprints are one vertex throughout.
 """
@@ -34,6 +36,8 @@ WORD_BREAKS = r"[\x20\x09-\x0D]+"
 PROBE_COST = 20.0
 #: Runs up to this length are compared by shifted slices, longer ones by pivots.
 SHORT_RUN = 48
+#: Longer runs are split, as long as more than ``FEW_BITS`` of the 64 bits are open in them: few bits make few values.
+LONG_RUN, FEW_BITS = 20_000, 12
 
 
 # ---------------------------------------------------------------- plan
@@ -140,6 +144,61 @@ def probe_rows(parts: list[tuple[list[int], int]]):
     return run
 
 
+def finer_rows(radius: int):
+    """mapInArrow: (part, value, used, fp) of a run -> the same columns, once for each of ``radius`` + 1 groups of the
+    bits not in ``used``. Two fingerprints at most ``radius`` bits apart agree on one of the groups, so they meet
+    again. The new value is a hash of the old key and the group's bits; runs that it throws together only cost time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.column("part").to_numpy().astype(np.uint64)
+            value, used, fp = (batch.column(c).to_numpy().view(np.uint64) for c in ("value", "used", "fp"))
+            for mask in np.unique(used):
+                at = used == mask
+                fps, key = fp[at], mixed(value[at] + mixed(part[at]))
+                free = [b for b in range(64) if not int(mask) >> b & 1]
+                for k in range(radius + 1):
+                    bits = free[k :: radius + 1]
+                    after = mask | np.uint64(sum(1 << b for b in bits))
+                    made = mixed(key + mixed(part_value(fps, bits) + np.uint64(k << 60)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(fps), k, dtype=np.int32)), pa.array(made.view(np.int64)), pa.array(np.full(len(fps), after).view(np.int64)), pa.array(fps.view(np.int64))],
+                        names=["part", "value", "used", "fp"],
+                    )
+
+    return run
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64 well mixed bits of each number."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def bounded_runs(runs: DataFrame, radius: int, longest: int = LONG_RUN) -> DataFrame:
+    """(part, value, fp) from the runs (part, value, used, fp), where ``used`` marks the bits that a run agrees on:
+    runs of over ``longest`` rows are split until they are shorter or ``FEW_BITS`` bits are left open. Every link
+    inside a run is inside one of its parts."""
+    done = []
+    while True:
+        runs = written(runs, "runs")
+        open_bits = F.bit_count("used") < 64 - FEW_BITS
+        long = runs.filter(open_bits).groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > longest)
+        long = written(long.select("part", "value"), "long-runs")
+        if long.isEmpty():
+            done.append(runs)
+            break
+        # a run has one ``used``, but for runs that a hash threw together
+        split = runs.withColumn("open", open_bits).join(long.withColumn("open", F.lit(True)), ["part", "value", "open"], "left_semi")
+        done.append(runs.withColumn("open", open_bits).join(long.withColumn("open", F.lit(True)), ["part", "value", "open"], "left_anti").drop("open"))
+        runs = split.select("part", "value", "used", "fp").mapInArrow(finer_rows(radius), "part int, value long, used long, fp long")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select("part", "value", "fp")
+
+
 # ---------------------------------------------------------------- links inside a run
 
 
@@ -268,18 +327,19 @@ def to_roots(hooks: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- operator
 
 
-def shingle_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 3) -> DataFrame:
-    """``id_col`` and fp (long) of each row: A-Z lower-cased, words between ASCII blanks, shingles of
+def shingle_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, ``carry`` and fp (long) of each row: A-Z lower-cased, words between ASCII blanks, shingles of
     ``length`` words with repeats; no word: 0."""
     rows = docs.select(
         F.col(id_col).alias(id_col),
+        *carry,
         F.monotonically_increasing_id().alias("__row"),
         words(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, UPPER.lower()), WORD_BREAKS).alias("__words"),
     )
-    return fingerprints(rows, [id_col, "__row"], F.col("__words"), length, "fp").drop("__row")
+    return fingerprints(rows, [id_col, *carry, "__row"], F.col("__words"), length, "fp").drop("__row")
 
 
-def linked(fps: DataFrame, radius: int = 3, sample_rows: int = 20_000) -> DataFrame:
+def linked(fps: DataFrame, radius: int = 3, sample_rows: int = 20_000, longest: int = LONG_RUN) -> DataFrame:
     """Forest edges (a, b) of the links between the distinct fingerprints ``fps.fp``: two fingerprints are
     joined by edges exactly when a chain of links at most ``radius`` bits long each joins them.
 
@@ -291,8 +351,17 @@ def linked(fps: DataFrame, radius: int = 3, sample_rows: int = 20_000) -> DataFr
     seen = drawn.limit(2 * sample_rows).collect()
     parts = plan(np.array([r.fp for r in seen], dtype=np.int64).view(np.uint64), total, radius)
     probes = fps.mapInArrow(probe_rows(parts), "part int, value long, fp long, probe boolean")
-    runs = probes.repartition("part", "value").sortWithinPartitions("part", "value")
-    return runs.select("part", "value", "fp").mapInArrow(run_links(radius), "a long, b long")
+    masks = [sum(1 << b for b in bits) for bits, _ in parts]
+    used = F.element_at(F.array(*[F.lit(m - ((m >> 63) << 64)).cast("long") for m in masks]), F.col("part") + 1)
+    runs = bounded_runs(probes.select("part", "value", used.alias("used"), "fp"), radius, longest)
+    runs = runs.repartition("part", "value").sortWithinPartitions("part", "value")
+    return runs.mapInArrow(run_links(radius), "a long, b long")
+
+
+def labelled(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """(fp, label) for each of the distinct ``fps.fp``: the smallest fingerprint reachable."""
+    labels = components(linked(fps, radius)).withColumnRenamed("v", "fp")
+    return fps.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 3, radius: int = 3) -> DataFrame:
@@ -304,9 +373,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row; an empty table gives an empty result; other columns are ignored, whatever their names."""
     rows = written(shingle_fingerprints(docs, id_col, text_col, length), "shingle-fps")
     classes = written(rows.groupBy("fp").agg(F.min(id_col).alias("first")), "fp-classes")
-    edges = linked(classes.select("fp"), radius)
-    labels = components(edges).withColumnRenamed("v", "fp")
-    found = classes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    found = classes.join(labelled(classes, radius), "fp")
     # only vertices with a link can belong together; the others are their own component
     least = found.groupBy("label").agg(F.min("first").alias("component_id"))
     named = written(found.join(least, "label").select("fp", "component_id"), "fp-components")
@@ -314,7 +381,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component."""
-    kept = near_groups(docs, id_col, text_col, length, radius).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col(id_col).alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
+    """One row of ``docs`` for each component of links: the one with the smallest id.
+
+    Defined results: a null id comes after every other; of equal ids the text with the smaller hash stays, of
+    rows alike in id and text any one; null, empty and blank texts are one component (fingerprint 0); an
+    empty table gives an empty result; other columns are passed on, whatever their names."""
+    text = F.col(f"`{text_col}`")
+    named = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), text.alias("text"),
+        F.xxhash64(F.lit(0), text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"),
+    )
+    rows = written(shingle_fingerprints(named, "id", "text", length, ("a", "b")), "shingle-fps")
+    labels = labelled(written(rows.select("fp").distinct(), "fp-classes"), radius)
+    alike = rows.groupBy("fp", "id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "a", "b", "n"))
+    kept = written(alike.join(labels, "fp").groupBy("label").agg(first.alias("k")).select("k.id", "k.a", "k.b", "k.n"), "kept-rows")
+
+    def same(key: DataFrame):
+        return named["id"].eqNullSafe(key["id"]) & (named["a"] == key["a"]) & (named["b"] == key["b"])
+
+    once, often = kept.filter("n = 1"), kept.filter("n > 1")
+    out = named.join(once, same(once), "left_semi").select("row")
+    if not often.isEmpty():
+        again = named.join(often, same(often), "left_semi").groupBy("id", "a", "b").agg(F.first("row").alias("row"))
+        out = out.unionByName(again.select("row"))
+    return out.select("row.*")
