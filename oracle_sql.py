@@ -555,6 +555,24 @@ UNION ALL
 SELECT 2, '', CAST(0 AS BIGINT), chr(10) FROM (SELECT count(*) AS c FROM recs) WHERE c = 0
 """
 
+
+def _blocks(document: str, text: str) -> str:
+    """Blocks of 64 KiB of the UTF-8 bytes of each ``text`` (one row per document), with their checksums."""
+    return f"""
+SELECT document, CAST(k AS BIGINT) AS block, CAST(length(b) // 2 AS BIGINT) AS bytes, sha256(unhex(b)) AS sha256
+FROM (SELECT document, k, substr(x, 131072 * k + 1, 131072) AS b
+      FROM (SELECT *, unnest(range(1 + length(x) // 131072)) AS k FROM (SELECT {document} AS document, hex(encode({text})) AS x FROM whole)))
+WHERE b <> ''
+"""
+
+
+ORACLE["s9_written"] = f"""
+WITH parts AS ({ORACLE["a7_combined"]}),
+{RECORDS},
+whole AS (SELECT string_agg(text, '' ORDER BY section, host, ord) AS body FROM parts),
+named AS (SELECT {slug_sql('min(host)', 'output')} || '__20240102_030405.md' AS name FROM recs)
+""" + _blocks("(SELECT name FROM named)", "body")
+
 # ---------------------------------------------------------------- step 6: crawl + sitemaps
 
 ORACLE["g2_bfs"] = f"""
@@ -644,6 +662,12 @@ SELECT CAST(doc_id AS BIGINT) * 2147483648 AS doc_no,
        '# ' || regexp_extract(path, '([^/]*)$', 1) || chr(10) || chr(10) || {strip(t1_sql('text'))} || chr(10) AS text FROM f
 """
 
+ORACLE["s13_written"] = f"""
+WITH parts AS ({ORACLE["s13_import_combined"]}),
+joined AS (SELECT string_agg(text, chr(10) ORDER BY doc_no) AS body FROM parts),
+whole AS (SELECT {t1_sql("body")} AS body FROM joined)
+""" + _blocks("'imported.md'", "body")
+
 _BUNDLE = f"""
 {_TXT},
 bundle AS (SELECT CAST(doc_id AS BIGINT) * 2147483648 AS doc_no, row_number() OVER (ORDER BY doc_id) AS i,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.operators import lines
+from pagemill.sources import documents as DS
 from pagemill.session import cut_lineage, scratch_path, spread, table, tune_session
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -343,6 +344,23 @@ def a7_combined(spark: SparkSession, d: str) -> DataFrame:
     return EX.combined_parts(recs, header)
 
 
+def _named(records: DataFrame, parts: DataFrame) -> DataFrame:
+    """``parts`` under the S9 file name of their export: the first host's, at a given time (the time is no data)."""
+    started = F.lit("2024-01-02 03:04:05").cast("timestamp")
+    name = records.agg(EX.combined_file_name(F.min("host"), started)).scalar()
+    return parts.withColumn("document", F.coalesce(name, F.lit("output.md")))
+
+
+@register("s9_written")
+def s9_written(spark: SparkSession, d: str) -> DataFrame:
+    """The combined export written as a document and read back: checksums of its blocks."""
+    recs = simple_records(spark, d)
+    parts = EX.combined_parts(recs, EX.summary_header(recs, _errors(spark, d), 0))
+    path = scratch_path(spark, "export")
+    DS.write_documents(_named(recs, parts), path, "section", "host", "ord")
+    return DS.document_blocks(spark, path)
+
+
 @register("s10_grouped")
 def s10_grouped(spark: SparkSession, d: str) -> DataFrame:
     return EX.grouped_parts(simple_records(spark, d))
@@ -663,6 +681,15 @@ def s13_import_combined(spark: SparkSession, d: str) -> DataFrame:
     return FI.import_combined_parts(FI.import_documents(_doc_files(spark, d), "o", kinds=("text",)))
 
 
+@register("s13_written")
+def s13_written(spark: SparkSession, d: str) -> DataFrame:
+    """The combined export (S13 with T1) of the imported files, written and read back."""
+    parts = FI.import_combined(FI.import_documents(_doc_files(spark, d), "o", kinds=("text",)))
+    path = scratch_path(spark, "import-export")
+    DS.write_documents(parts.withColumn("document", F.lit("imported.md")), path, "doc_no")
+    return DS.document_blocks(spark, path)
+
+
 @register("s14_import_bundle")
 def s14_import_bundle(spark: SparkSession, d: str) -> DataFrame:
     return FI.import_bundle(FI.import_documents(_doc_files(spark, d), "o", kinds=("text",))).drop("title")

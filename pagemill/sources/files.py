@@ -230,7 +230,7 @@ def import_documents(files: DataFrame, file_order: str | None = None, kinds: tup
 
 
 def import_combined_parts(docs: DataFrame) -> DataFrame:
-    """S13 before the final T1: per document ``# title-or-source``, optional ``_Source_: url``, blank,
+    """S13 before the final T1 (``import_combined`` has it): per document ``# title-or-source``, optional ``_Source_: url``, blank,
     stripped body, blank; (doc_no, text) parts joined by newlines in doc order."""
     from pagemill.functions.text import py_strip
 
@@ -245,6 +245,16 @@ def import_combined_parts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_no", text.alias("text"))
 
 
+def import_combined(docs: DataFrame) -> DataFrame:
+    """S13 with its T1: (doc_no, text) parts whose plain concatenation in ``doc_no`` order is the document.
+
+    T1 works part by part: a part starts with ``#`` and ends in blank lines, of which the whole keeps one, so
+    nothing is collapsed or stripped across a border but these. No document gives no part (an empty text)."""
+    parts = import_combined_parts(docs)
+    first = parts.agg(F.min("doc_no")).scalar()
+    return parts.select("doc_no", F.concat(F.when(F.col("doc_no") == first, F.lit("")).otherwise(F.lit("\n")), normalize_markdown("text")).alias("text"))
+
+
 def import_bundle(docs: DataFrame) -> DataFrame:
     """S14 files: (doc_no, i, filename, content) per document; slug of title or source or doc-i,
     T1 on each body. ``i`` (from 1) comes from a distributed dense rank."""
