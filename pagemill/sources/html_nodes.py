@@ -1,4 +1,4 @@
-"""HTML -> node table: the one Python step of the HTML jobs (one ``mapInPandas`` pass).
+"""HTML -> node table: the one Python step of the HTML jobs (one ``mapInArrow`` pass).
 
 Each page is tokenised once with the standard library's ``html.parser`` and emitted as rows,
 one per element and one per text run, in document order. Every row carries its ancestors'
@@ -9,6 +9,9 @@ Tree rules (stdlib events are not a tree): void elements never open, a start tag
 end tag closes up to the most recent open element with that name and is ignored when none is
 open, everything still open closes at the end; adjacent text runs merge, comments and
 declarations are dropped, entities are decoded.
+
+A worker holds one page's nodes and one output batch of about ``BATCH_BYTES``: a node's ancestors are
+written out only as it goes into the batch, so neither the number of pages nor their depth adds memory.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Elements that never have content.
@@ -28,6 +31,8 @@ NODE_SCHEMA = (
     "attr_id string, attr_cls string, attr_role string, href string, n_children int, text string, attr_rel string, "
     "li_no int, list_depth int, link string, src string, alt string"
 )
+#: An output batch ends after about so many bytes; a row counts ROW_BYTES beside its strings and ancestors.
+BATCH_BYTES, ROW_BYTES = 4 << 20, 200
 
 
 class _Tree(HTMLParser):
@@ -51,15 +56,6 @@ class _Tree(HTMLParser):
         link = next((rows[i][13] for i in reversed(self.stack) if rows[i][3] == "a"), None)
         return [li_no, len(lists), link]
 
-    def _anc(self):
-        rows = self.rows
-        return (
-            [rows[i][1] for i in self.stack],
-            [rows[i][3] for i in self.stack],
-            [rows[i][10] for i in self.stack],
-            [rows[i][11] for i in self.stack],
-        )
-
     def _child(self) -> int:
         if self.stack:
             self.rows[self.stack[-1]][14] += 1
@@ -72,8 +68,7 @@ class _Tree(HTMLParser):
         text = "".join(self.buf)
         self.buf = []
         parent = self._child()
-        an, at, ai, ac = self._anc()
-        self.rows.append([None, len(self.rows), "t", None, parent, len(self.stack), an, at, ai, ac, None, None, None, None, 0, text, None, *self._place(), None, None])
+        self.rows.append([None, len(self.rows), "t", None, parent, len(self.stack), None, None, None, None, None, None, None, None, 0, text, None, *self._place(), None, None])
 
     # -- events
     def handle_starttag(self, tag, attrs):
@@ -82,14 +77,13 @@ class _Tree(HTMLParser):
         for k, v in attrs:
             a.setdefault(k, "" if v is None else v)
         parent = self._child()
-        an, at, ai, ac = self._anc()
         idx = len(self.rows)
         if tag == "li":
             top = next((i for i in reversed(self.stack) if self.rows[i][3] in ("ul", "ol")), None)
             if top is not None:
                 self.items[top] = self.items.get(top, 0) + 1
         self.rows.append(
-            [None, idx, "e", tag, parent, len(self.stack), an, at, ai, ac, a.get("id"), a.get("class"), a.get("role"), a.get("href"), 0, None,
+            [None, idx, "e", tag, parent, len(self.stack), None, None, None, None, a.get("id"), a.get("class"), a.get("role"), a.get("href"), 0, None,
              a.get("rel"), *self._place(tag), a.get("src"), a.get("alt")]
         )
         if tag not in VOID:
@@ -116,6 +110,7 @@ class _Tree(HTMLParser):
 
 
 def parse_html(html: str | None) -> list[list]:
+    """The rows of a page, without its id and their ancestors (``with_ancestors`` adds those)."""
     t = _Tree()
     try:
         t.feed(html or "")
@@ -125,18 +120,46 @@ def parse_html(html: str | None) -> list[list]:
     return t.rows
 
 
+def with_ancestors(rows: list[list], page_id: int | None) -> Iterator[tuple[list, int]]:
+    """Each row with its page's id and its ancestors, one at a time, and the bytes it takes.
+
+    Rows are in document order, so the ancestors of a row of depth k are the first k elements of the path so far."""
+    path: list[list] = []
+    total = [0]  # bytes of the path's first k elements
+    for r in rows:
+        depth = r[5]
+        del path[depth:], total[depth + 1 :]
+        anc = [[x[c] for x in path] for c in (1, 3, 10, 11)]
+        yield [page_id, *r[1:6], *anc, *r[10:]], ROW_BYTES + total[-1] + sum(len(r[c]) for c in (10, 11, 12, 13, 15, 16, 19, 20, 21) if r[c])
+        if r[2] == "e":
+            path.append(r)
+            total.append(total[-1] + 32 + len(r[3]) + len(r[10] or "") + len(r[11] or ""))
+
+
 _COLS = [x.split()[0] for x in NODE_SCHEMA.split(", ")]
+_ARROW = {
+    "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()),
+}
+_TYPES = [_ARROW[x.split()[1]] for x in NODE_SCHEMA.split(", ")]
+
+
+def _batch(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_COLS)
 
 
-def _tokenize_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out: list[list] = []
-        for pid, html in zip(pdf["page_id"].tolist(), pdf["html"].tolist()):
-            rows = parse_html(html)
-            for r in rows:
-                r[0] = pid
-            out.extend(rows)
-        yield pd.DataFrame(out, columns=_COLS)
+def _tokenize_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[list] = []
+    size = 0
+    for batch in batches:
+        for pid, html in zip(batch.column("page_id"), batch.column("html")):
+            for row, taken in with_ancestors(parse_html(html.as_py()), pid.as_py()):
+                held.append(row)
+                size += taken
+                if size >= BATCH_BYTES:
+                    yield _batch(held)
+                    held, size = [], 0
+    if held:
+        yield _batch(held)
 
 
 def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -144,4 +167,4 @@ def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     from pagemill.session import spread
 
     src = spread(pages.select(pages[id_col].cast("long").alias("page_id"), pages[html_col].alias("html")))
-    return src.mapInPandas(_tokenize_batches, NODE_SCHEMA)
+    return src.mapInArrow(_tokenize_batches, NODE_SCHEMA)

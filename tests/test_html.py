@@ -134,3 +134,40 @@ def test_links_and_images_on_request(spark):
 def test_combined_export_is_named_by_host_and_time(spark):
     name = spark.sql("SELECT 'Docs.Example.com' AS host, timestamp'2024-01-02 03:04:05' AS at").select(EX.combined_file_name("host", "at")).first()[0]
     assert name == "docs-example-com__20240102_030405.md"
+
+
+def test_a_batch_of_nodes_is_bounded_whatever_the_pages(monkeypatch):
+    """Pages come by thousands and may be deep; nodes leave in batches of a few MB, with the same rows."""
+    import pyarrow as pa
+
+    from pagemill.sources import html_nodes as H
+
+    htmls = ["<main id='m' class='k'>" + "<p>word <b>bold</b></p>" * 50 + "</main>", None, "<b>" * 200 + "x", "", "<ul><li>a<br>b</ul>"] * 4
+    pages = pa.record_batch({"page_id": pa.array([None, *range(1, 20)], pa.int64()), "html": pa.array(htmls)})
+    whole = pa.Table.from_batches(list(H._tokenize_batches(iter([pages]))))
+    monkeypatch.setattr(H, "BATCH_BYTES", 10_000)
+    cut = list(H._tokenize_batches(iter([pages.slice(0, 7), pages.slice(7)])))
+    assert len(cut) > 50 and max(b.get_total_buffer_size() for b in cut) < 40_000
+    assert pa.Table.from_batches(cut).combine_chunks().equals(whole.combine_chunks())
+    last = [r for r in whole.to_pylist() if r["page_id"] == 2][-1]
+    assert (last["kind"], last["text"], last["anc_n"], last["anc_tag"]) == ("t", "x", list(range(200)), ["b"] * 200)
+    bold = next(r for r in whole.to_pylist() if r["page_id"] is None and r["text"] == "bold")
+    assert (bold["anc_tag"], bold["anc_id"], bold["anc_cls"]) == (["main", "p", "b"], ["m", None, None], ["k", None, None])
+
+
+def test_the_writer_of_nodes_holds_one_batch(monkeypatch):
+    """The first batch leaves before the last pages are read."""
+    import pyarrow as pa
+
+    from pagemill.sources import html_nodes as H
+
+    monkeypatch.setattr(H, "BATCH_BYTES", 10_000)
+    read = []
+
+    def pages():
+        for k in range(100):
+            read.append(k)
+            yield pa.record_batch({"page_id": pa.array([k], pa.int64()), "html": pa.array(["<p>some text</p>" * 20])})
+
+    next(H._tokenize_batches(pages()))
+    assert len(read) < 10
