@@ -11,10 +11,11 @@ Reading gives the bytes of every document in chunks, with their place in the doc
 
 from __future__ import annotations
 
+import io
 import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql.types import StructType
 NAME = "ordered_documents"
 MANIFEST = "_manifest.json"
 CHUNK = 1 << 20
+BATCH_BYTES = 4 << 20  # chunks read at a time
 INDEX_SCHEMA = "document string, part int, bytes long"
 BODY_SCHEMA = "document string, part int, start long, body binary"
 
@@ -96,20 +98,35 @@ class DocumentReader(DataSourceReader):
         with store.open_input_file(f"{root}/{MANIFEST}") as f:
             return [InputPartition((k, name)) for k, name in enumerate(json.loads(f.read()))]
 
-    def read(self, partition: InputPartition | None) -> Iterator[tuple]:
+    def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
+        """Batches of about ``BATCH_BYTES``: rows would be gathered by thousands, whatever their size."""
         if partition is None:  # a manifest without pieces
             return
         part, name = partition.value
         store, root = file_system(self.path)
-        with store.open_input_stream(f"{root}/{name}.index") as f:
-            entries = [json.loads(line) for line in f.read().splitlines()]
-        if self.only_index:
-            yield from ((doc, part, size) for doc, size in entries)
-            return
-        with store.open_input_stream(f"{root}/{name}.text") as f:
-            for doc, size in entries:
-                for start in range(0, size, CHUNK):
-                    yield doc, part, start, f.read(min(CHUNK, size - start))
+        with store.open_input_stream(f"{root}/{name}.index") as f, store.open_input_stream(f"{root}/{name}.text") as text:
+            entries = (json.loads(line) for line in io.TextIOWrapper(io.BufferedReader(f), "utf-8", newline="\n"))
+            if self.only_index:
+                yield from _batches(((doc, part, size) for doc, size in entries), _INDEX, lambda row: 64 + len(row[0]))
+                return
+            pieces = ((doc, part, at, text.read(min(CHUNK, size - at))) for doc, size in entries for at in range(0, size, CHUNK))
+            yield from _batches(pieces, _BODY, lambda row: 64 + len(row[0]) + len(row[3]))
+
+
+_INDEX = pa.schema([("document", pa.string()), ("part", pa.int32()), ("bytes", pa.int64())])
+_BODY = pa.schema([("document", pa.string()), ("part", pa.int32()), ("start", pa.int64()), ("body", pa.binary())])
+
+
+def _batches(rows: Iterable[tuple], schema: pa.Schema, taken: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += taken(row)
+        if size >= BATCH_BYTES:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
 class OrderedDocuments(DataSource):

@@ -69,3 +69,20 @@ def test_import_parts_concatenate_to_the_normalised_whole(spark):
     raw = [r.text for r in files.import_combined_parts(docs).orderBy("doc_no").collect()]
     one = spark.createDataFrame([("\n".join(raw),)], "text string").select(normalize_markdown("text")).first()[0]
     assert "".join(parts) == one
+
+
+def test_chunks_are_read_in_small_batches(spark, monkeypatch, tmp_path):
+    """A piece is larger than any batch: its chunks leave a few at a time, not by thousands."""
+    from pyspark.sql.datasource import InputPartition
+
+    (tmp_path / "one.text").write_bytes(b"0123456789" * 1000)
+    (tmp_path / "one.index").write_text('["aé.md", 0]\n["b.md", 9000]\n["c.md", 1000]\n', "utf-8")
+    monkeypatch.setattr(documents, "CHUNK", 400)
+    monkeypatch.setattr(documents, "BATCH_BYTES", 2000)
+    batches = list(documents.DocumentReader(str(tmp_path), False).read(InputPartition((3, "one"))))
+    assert len(batches) > 5 and max(b.num_rows for b in batches) <= 5
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert b"".join(r["body"] for r in rows) == b"0123456789" * 1000 and {r["part"] for r in rows} == {3}
+    assert [r["start"] for r in rows if r["document"] == "c.md"] == [0, 400, 800]
+    index = [r for b in documents.DocumentReader(str(tmp_path), True).read(InputPartition((3, "one"))) for r in b.to_pylist()]
+    assert [tuple(r.values()) for r in index] == [("aé.md", 3, 0), ("b.md", 3, 9000), ("c.md", 3, 1000)]
