@@ -35,6 +35,7 @@ PREFIXES = (3, 4, 5, 6, 7)
 #: Shares are small; this brings the scaled values near 1.
 SCALE = 40.0
 FEWEST, LEAST_RATIO, STEPS, DECAY = 3, 0.5, 150, 1e-5
+MEMO_WORDS = 40_000
 
 #: A token counts this often at most, or for this share of a text of more than 300 tokens: a bare count would
 #: leave a few words of a long text no weight, however often it says them.
@@ -60,6 +61,22 @@ def buckets_of(word: str) -> list[int]:
     return [crc32(x.encode()) % BUCKETS for x in (word, *(word[:n] + "*" for n in PREFIXES if len(word) > n))]
 
 
+def shares_of(text: str | None, memo: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's words and their shares. ``memo`` keeps the buckets of at most ``MEMO_WORDS`` words,
+    about 400 bytes each, and of one text."""
+    counts = term_counts(text)
+    found: Counter[int] = Counter()
+    if len(memo) > MEMO_WORDS:
+        memo.clear()
+    for word, n in counts.items():
+        if word not in memo:
+            memo[word] = buckets_of(word)
+        for b in memo[word]:
+            found[b] += n
+    at = np.fromiter(found.keys(), np.int32, len(found))
+    return at, np.fromiter(found.values(), np.float32, len(found)) / np.float32(max(1, sum(counts.values())))
+
+
 @dataclass
 class Linear:
     """A fitted model: weights of buckets, of the earlier categories' log-odds, and a constant."""
@@ -139,17 +156,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str
         memo: dict[str, list[int]] = {}
         for batch in batches:
             for k in range(batch.num_rows):
-                counts = term_counts(batch.column(1)[k].as_py())
-                found: Counter[int] = Counter()
-                for word, n in counts.items():
-                    if word not in memo:
-                        memo[word] = buckets_of(word)
-                    for b in memo[word]:
-                        found[b] += n
-                if len(memo) > 500_000:
-                    memo.clear()
-                at = np.fromiter(found.keys(), np.int32, len(found))
-                share = np.fromiter(found.values(), np.float32, len(found)) / np.float32(max(1, sum(counts.values())))
+                at, share = shares_of(batch.column(1)[k].as_py(), memo)
                 one = batch.slice(k, 1)
                 yield pa.RecordBatch.from_arrays([one.column(0), one.column(2), pa.array([at.tobytes()], pa.binary()), pa.array([share.tobytes()], pa.binary())], names=["id", "y", "buckets", "shares"])
 
