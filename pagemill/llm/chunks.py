@@ -11,6 +11,10 @@ import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 _ALONE = re.compile(r"(?<=[^ ])(?= [^ ])")
 
 
@@ -35,9 +39,34 @@ def words_of(text: str) -> list[str]:
     return list(filter(None, text.replace("\n", " ").split(" ")))
 
 
+def cut_at_blanks(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """``keys_of`` for texts that don't begin with a blank and have no two in a row, all at once: the distinct keys, the
+    number of each piece's key, and where each text's pieces begin, and the last one's end."""
+    ends = [t.find(" ") for t in texts]
+    keys, at, begin = _cut(pa.array([t[k + 1 :] if k >= 0 else None for t, k in zip(texts, ends)], pa.large_string()))
+    at = np.insert(at, begin[:-1], np.arange(len(keys), len(keys) + len(texts)))  # the first pieces, which have no blank before them
+    return keys + [" |" + (t[:k] if k >= 0 else t) for t, k in zip(texts, ends)], at, begin + np.arange(len(begin))
+
+
+def cut_at_white(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """``words_of`` for all texts at once, with an empty key where white space meets white space or an end."""
+    return _cut(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "))
+
+
+def _cut(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    split = pc.split_pattern(texts, " ")
+    met = split.flatten().dictionary_encode()
+    return met.dictionary.to_pylist(), np.array(met.indices), np.asarray(split.offsets)
+
+
+def plain_blanks(text: str) -> bool:
+    return bool(text) and text[0] != " " and "  " not in text
+
+
 class Memo:
     """Encodings of the pieces of texts; ``encode_all`` encodes the missing ones together. ``keys`` cuts a
-    text into the keys of its pieces, ``piece`` gives the piece of a key.
+    text into the keys of its pieces, ``piece`` gives the piece of a key. ``cut`` does so for all texts at once of
+    which ``plain`` holds, and each distinct key is looked up once: cheaper where a portion is long.
 
     Two generations of ``size`` short pieces each bound the memory: when the young one is full it becomes
     the old one, and pieces met again move back, so the common ones stay."""
@@ -45,15 +74,19 @@ class Memo:
     def __init__(
         self, encode_all: Callable[[list[str]], Iterable[bytes]], size: int = 400_000, longest: int = 64,
         keys: Callable[[str], list[str]] = keys_of, piece: Callable[[str], str] = piece_of,
+        cut: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]] | None = None, plain: Callable[[str], bool] = bool,
     ):
-        self.encode_all, self.size, self.longest, self.keys, self.piece = encode_all, size, longest, keys, piece
+        self.encode_all, self.size, self.longest, self.keys, self.piece, self.cut, self.plain = encode_all, size, longest, keys, piece, cut, plain
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text the encodings of its pieces, joined. The pieces that are missing in any of the texts are encoded in one go."""
-        out, lacking, missing = [b""] * len(texts), [], set()
+        out, lacking, missing, together = [b""] * len(texts), [], set(), []
         for k, text in enumerate(texts):
+            if self.cut and self.plain(text):
+                together.append(k)
+                continue
             keys = self.keys(text)
             found = list(map(self.young.get, keys))
             try:
@@ -61,15 +94,26 @@ class Memo:
             except TypeError:  # a piece is missing
                 lacking.append((k, keys, found))
                 missing.update(key for key, e in zip(keys, found) if e is None)
+        if together:
+            distinct, at, begin = self.cut([texts[k] for k in together])
+            known = list(map(self.young.get, distinct))
+            missing.update(key for key, e in zip(distinct, known) if e is None)
         if missing:
             made = {k: self.old[k] for k in missing if k in self.old}
             new = [k for k in missing if k not in made]
             made.update(zip(new, self.encode_all(list(map(self.piece, new)))))
             for k, keys, found in lacking:
                 out[k] = b"".join([made[key] if e is None else e for key, e in zip(keys, found)])
+            if together:
+                known = [made[key] if e is None else e for key, e in zip(distinct, known)]
             if len(self.young) + len(made) > self.size:
                 self.old, self.young = self.young, {}
             self.young.update((k, e) for k, e in made.items() if len(k) <= self.longest)
+        if together:
+            _, ends, ids = pa.array(known, pa.large_binary()).take(pa.array(at)).buffers()
+            ends, ids = np.frombuffer(ends, np.int64)[begin].tolist(), memoryview(ids or b"")
+            for k, lo, hi in zip(together, ends, ends[1:]):
+                out[k] = bytes(ids[lo:hi])
         return out
 
 
@@ -96,13 +140,19 @@ class Encoder:
         import regex
 
         self.tokenizer, self.find, self.lower, self.size = tokenizer, regex.compile(pattern).findall, lower, size
-        self.model, self.letters = tokenizer.model, str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.merges, self.letters = tokenizer.model.tokenize, str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.specials = [] if tokenizer.encode_special_tokens else [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        # whether the pattern keeps a blank with the word after it, and capitals with the letters beside them
+        self.blank = self.find(" a") == [" a"]
+        self.capitals = all(self.find(x) == [x] for x in ("aB", "Ab", "ABc", "ÀbÇ"))
 
     def pre_token(self, token: str) -> bytes:
         spelled = token if token.isascii() and token.isalnum() else token.encode().decode("latin-1").translate(self.letters)
-        ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return self.ids_of(token, spelled)
+
+    def ids_of(self, token: str, spelled: str) -> bytes:
+        ids = array("I", [t.id for t in self.merges(spelled)]).tobytes()
         if len(token) <= 32:
             if len(self.known) >= self.size:
                 self.known.clear()
@@ -110,11 +160,22 @@ class Encoder:
         return ids
 
     def encode(self, pieces: list[str]) -> list[bytes]:
-        out, whole, get = [b""] * len(pieces), [], self.known.get
+        out, whole, get, find, stable, ids_of, lower = [b""] * len(pieces), [], self.known.get, self.find, _STABLE.fullmatch, self.ids_of, self.lower
+        together = " ".join(pieces)
+        specials = [s for s in self.specials if s in together]  # mostly none: then no piece is searched
         for k, piece in enumerate(pieces):
-            if (piece.isalpha() and piece.isascii()) or (_STABLE.fullmatch(piece) and not any(s in piece for s in self.specials)):
-                tokens = self.find(piece.lower() if self.lower else piece)
-                out[k] = b"".join([get(t) or self.pre_token(t) for t in tokens])
+            if specials and any(s in piece for s in specials):
+                whole.append(k)
+                continue
+            ascii = piece.isascii()
+            if lower and ascii:
+                piece = piece.lower()
+            word = piece[1:] if self.blank and piece[:1] == " " else piece
+            if word.isalpha() and (ascii or (not lower and stable(piece))) and (self.capitals or word.islower()):
+                # letters, after a blank or not, are one pre-token
+                out[k] = get(piece) or (ids_of(piece, word if word is piece else "\u0120" + word) if ascii else self.pre_token(piece))
+            elif stable(piece):
+                out[k] = b"".join([get(t) or self.pre_token(t) for t in find(piece.lower() if lower else piece)])
             else:
                 whole.append(k)
         if whole:

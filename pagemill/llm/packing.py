@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.chunks import Encoder, Memo, keys_of, portions
+from pagemill.llm.chunks import Encoder, Memo, cut_at_blanks, keys_of, plain_blanks, portions
 
 
 def capacities(total: int, size: int) -> list[int]:
@@ -66,6 +66,8 @@ def pack(lengths: list[int], size: int, linear: float, quadratic: float) -> list
 
 
 _ready: dict[tuple, Memo] = {}
+#: Pieces that a generation of the memo keeps, about 200 bytes each, and characters whose pieces are looked up together.
+MEMO_PIECES, PORTION_CHARS = 400_000, 1 << 22
 
 
 def _tokenizer(definition: str, specials_as_text: bool = False) -> Memo:
@@ -80,11 +82,14 @@ def _tokenizer(definition: str, specials_as_text: bool = False) -> Memo:
         tokenizer.encode_special_tokens = specials_as_text
         encoder = Encoder(tokenizer, public_tokenizers.PATTERN, lower=False)
 
+        # a special token ends the run of blanks before it, so such a text isn't cut
+        def cuts(text: str) -> bool:
+            return not any(s in text for s in encoder.specials)
+
         def keys(text: str) -> list[str]:
-            # a special token ends the run of blanks before it, so such a text isn't cut
-            return [" |" + text] if any(s in text for s in encoder.specials) else keys_of(text)
+            return keys_of(text) if cuts(text) else [" |" + text]
 
-        _ready[key] = Memo(encoder.encode, keys=keys)
+        _ready[key] = Memo(encoder.encode, size=MEMO_PIECES, keys=keys, cut=cut_at_blanks, plain=lambda text: plain_blanks(text) and cuts(text))
     return _ready[key]
 
 
@@ -129,7 +134,7 @@ def pack_documents(
         keys, ids, held = [], [], 0
         for batch in batches:
             lo = 0
-            encoded = (x for texts in portions(t.as_py() or "" for t in batch.column(1)) for x in memo.encode(texts))
+            encoded = (x for texts in portions((t.as_py() or "" for t in batch.column(1)), PORTION_CHARS) for x in memo.encode(texts))
             for k, made in enumerate(encoded):
                 ids.append(made + end)
                 held += len(made) // 4 + 1
