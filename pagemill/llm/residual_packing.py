@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.chunks import Encoder, Memo, portions, words_of
+from pagemill.llm.chunks import Encoder, Memo, cut_at_white, portions, words_of
 from pagemill.session import written
 
 #: Pre-tokens of the word-end vocabulary (fixed by its file).
@@ -105,6 +105,8 @@ def merge(bins: list[Bin], size: int) -> list[Bin]:
 
 
 _ready: dict[tuple, Memo] = {}
+#: Words that a generation of the memo keeps, about 200 bytes each, and characters whose words are looked up together.
+MEMO_WORDS, PORTION_CHARS = 400_000, 1 << 22
 
 
 def _memo(definition: str, specials_as_text: bool) -> Memo:
@@ -115,7 +117,7 @@ def _memo(definition: str, specials_as_text: bool) -> Memo:
 
         tokenizer = Tokenizer.from_str(definition)
         tokenizer.encode_special_tokens = specials_as_text
-        _ready[key] = Memo(Encoder(tokenizer, WORD_PATTERN, lower=True).encode, keys=words_of, piece=str)
+        _ready[key] = Memo(Encoder(tokenizer, WORD_PATTERN, lower=True).encode, size=MEMO_WORDS, keys=words_of, piece=str, cut=cut_at_white)
     return _ready[key]
 
 
@@ -175,7 +177,7 @@ def pack_whole(
         pieces, full, held = [], [], 0
         for batch in batches:
             key_type, keys = batch.schema.field(0).type, iter(batch.column(0))
-            encoded = (x for texts in portions(t.as_py() or "" for t in batch.column(1)) for x in memo.encode(texts))
+            encoded = (x for texts in portions((t.as_py() or "" for t in batch.column(1)), PORTION_CHARS) for x in memo.encode(texts))
             for ids in encoded:
                 key, ids = next(keys).as_py(), ids + end
                 held += len(ids) // 4
