@@ -70,9 +70,9 @@ _ready: dict[tuple, Memo] = {}
 MEMO_PIECES, PORTION_CHARS = 400_000, 1 << 22
 
 
-def _tokenizer(definition: str, specials_as_text: bool = False) -> Memo:
+def _tokenizer(definition: str, specials_as_text: bool = False, memo_pieces: int = MEMO_PIECES) -> Memo:
     """Ids of the pieces of a text by the ``tokenizers`` library, one memo for all tasks of a worker."""
-    key = (hash(definition), specials_as_text)
+    key = (hash(definition), specials_as_text, memo_pieces)
     if key not in _ready:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import public_tokenizers
@@ -80,7 +80,7 @@ def _tokenizer(definition: str, specials_as_text: bool = False) -> Memo:
 
         tokenizer = Tokenizer.from_str(definition)
         tokenizer.encode_special_tokens = specials_as_text
-        encoder = Encoder(tokenizer, public_tokenizers.PATTERN, lower=False)
+        encoder = Encoder(tokenizer, public_tokenizers.PATTERN, lower=False, size=memo_pieces)
 
         # a special token ends the run of blanks before it, so such a text isn't cut
         def cuts(text: str) -> bool:
@@ -89,21 +89,22 @@ def _tokenizer(definition: str, specials_as_text: bool = False) -> Memo:
         def keys(text: str) -> list[str]:
             return keys_of(text) if cuts(text) else [" |" + text]
 
-        _ready[key] = Memo(encoder.encode, size=MEMO_PIECES, keys=keys, cut=cut_at_blanks, plain=lambda text: plain_blanks(text) and cuts(text))
+        _ready[key] = Memo(encoder.encode, size=memo_pieces, keys=keys, cut=cut_at_blanks, plain=lambda text: plain_blanks(text) and cuts(text))
     return _ready[key]
 
 
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1,
     linear: float = 1.0, quadratic: float = 1 / 1024, block_tokens: int = 1 << 21,
-    specials_as_text: bool = False,
+    specials_as_text: bool = False, memo_pieces: int = MEMO_PIECES,
 ) -> DataFrame:
     """One row per piece: ``id_col``, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset, sequence_length.
 
     A document's ids are its whole text's, then ``end_id``; the string of a special token in a text is that
     token, as in the library's plain call, or ordinary text with ``specials_as_text``. Sequences hold ``size`` tokens, or a power of
-    two below it where a block of at least ``block_tokens`` (or a partition) ends. ``docs`` should be a
+    two below it where a block of at least ``block_tokens`` (or a partition) ends. A Python worker keeps the ids of up to three
+    times ``memo_pieces`` pieces, about 200 bytes each, for all its tasks. ``docs`` should be a
     written table, whose partitions repeat alike. Defined results: a null or empty text is ``end_id``
     alone; a null or repeated id is kept, each row being a document of its own; an empty table gives an
     empty result; other columns are ignored, whatever their names."""
@@ -111,7 +112,7 @@ def pack_documents(
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end = _tokenizer(definition.value, specials_as_text), np.array([end_id], dtype="<u4").tobytes()
+        memo, end = _tokenizer(definition.value, specials_as_text, memo_pieces), np.array([end_id], dtype="<u4").tobytes()
         number = TaskContext.get().partitionId() << 32
 
         def block(keys: list[pa.Array], ids: list[bytes]) -> Iterator[pa.RecordBatch]:

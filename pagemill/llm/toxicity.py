@@ -229,7 +229,9 @@ def score(docs: DataFrame, chain: list[Linear], categories: Sequence[str], id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linear = [Linear(*m) for m in models.value]
-        dense = np.stack([m.dense() for m in linear], axis=1)
+        dense = np.zeros((BUCKETS, len(linear)))
+        for j, m in enumerate(linear):  # in place: no second copy of the weights
+            dense[m.buckets, j] = m.weights
         memos: list[dict[str, float]] = [{} for _ in linear]
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):

@@ -57,3 +57,17 @@ def test_ids_of_portions_are_the_library_s():
             encoder.known.clear()
             pieces = ["ab", " ab", "Ab", " aB", "été", " Été", "ABc"]
             assert encoder.encode(pieces) == [array("I", library.encode(p, add_special_tokens=False).ids).tobytes() for p in pieces]
+
+
+def test_the_pipeline_s_memo_holds_fewer_pieces(monkeypatch):
+    import corpus_pipeline
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    memo = packing._tokenizer(definition, False, corpus_pipeline.MEMO_PIECES)
+    assert memo.size == memo.encode_all.__self__.size == corpus_pipeline.MEMO_PIECES < packing.MEMO_PIECES
+    monkeypatch.setattr(memo, "size", 50)
+    monkeypatch.setattr(memo.encode_all.__self__, "size", 50)
+    for k in range(0, 600, 3):  # three distinct pieces a portion
+        memo.encode([f"w{k} w{k + 1} w{k + 2}"])
+    assert len(memo.young) <= 50 and len(memo.old) <= 50 and len(memo.encode_all.__self__.known) <= 50
