@@ -23,14 +23,15 @@ the text of each document once to look up the candidate lines and once to take t
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.session import written
 
 VARIABLE = "<*>"
-#: A line with one of these has a variable field.
-VARIABLE_MARK = r"[0-9@]|://"
 #: The variable part of a token: a mail address, a URL (as far as it is ASCII) or a run of digits.
 #: A run is tried from its start only, so that a very long token takes linear time.
 VARIABLE_PART = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9._%+-]*|(?<![A-Za-z0-9+.-])[A-Za-z0-9+.-]++://[!-~]*|[0-9]+"
@@ -39,14 +40,44 @@ ID, TEXT_HASH = "__id", "__text_hash"
 KEY = [ID, TEXT_HASH]
 
 
+def other_blanks(line: Column) -> Column:
+    """Whether the line has a blank other than the space."""
+    return reduce(or_, (F.contains(line, F.lit(b)) for b in BLANKS[1:]))
+
+
 def split_tokens(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, BLANKS[1:], " " * len(BLANKS[1:])), " "), "")
+    """Tokens between blanks; only lines with other blanks than the space pay for their replacement, which looks each character up."""
+    spaced = F.when(other_blanks(line), F.translate(line, BLANKS[1:], " " * len(BLANKS[1:]))).otherwise(line)
+    return F.array_remove(F.split(spaced, " "), "")
+
+
+def one_spaced(line: Column) -> Column:
+    """The tokens joined by one space: for most lines the line itself, so that they are not taken apart."""
+    odd = other_blanks(line) | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(odd, F.array_join(split_tokens(line), " ")).otherwise(line)
+
+
+def parts(text: Column, mark: str) -> Column:
+    """How many parts the one-byte ``mark`` cuts the text into, without cutting it."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit(""))) + 1
+
+
+def has_address(line: Column) -> Column:
+    return F.contains(line, F.lit("@")) | F.contains(line, F.lit("://"))
+
+
+def has_digit(line: Column) -> Column:
+    return line.rlike("[0-9]")
+
+
+def masked(line: Column, address: Column, digit: Column) -> Column:
+    """The line with the variable parts of its tokens replaced; only lines with an address pay for the long pattern."""
+    return F.when(address, F.regexp_replace(line, VARIABLE_PART, VARIABLE)).when(digit, F.regexp_replace(line, "[0-9]+", VARIABLE)).otherwise(line)
 
 
 def tokens(line: Column) -> Column:
-    """Tokens between blanks, their variable parts replaced; only lines with an address pay for the long pattern."""
-    masked = F.when(F.contains(line, F.lit("@")) | F.contains(line, F.lit("://")), F.regexp_replace(line, VARIABLE_PART, VARIABLE)).when(line.rlike("[0-9]"), F.regexp_replace(line, "[0-9]+", VARIABLE))
-    return split_tokens(masked.otherwise(line))
+    """Tokens between blanks, their variable parts replaced."""
+    return split_tokens(masked(line, has_address(line), has_digit(line)))
 
 
 def word(tok: Column) -> Column:
@@ -72,16 +103,24 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
 def lines_of(docs: DataFrame, depth: int, long_line: int) -> DataFrame:
     """(key, line_no, long, leaf, line): the hashes of every line with a token; equal lines share ``line``. A line
     that its words don't make known has a leaf of its own, named by its unmasked tokens."""
-    split = docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "body")).filter(F.btrim("body", F.lit(BLANKS)) != "")
-    cut = split.select(*KEY, "line_no", "body", tokens(F.col("body")).alias("toks"))
-    words, n = F.size(F.filter("toks", word)), F.size("toks")
-    by_text = F.col("body").rlike(VARIABLE_MARK) & ~((words >= 2) & (2 * words >= n))
-    cut = cut.withColumn("plain", F.when(by_text, split_tokens(F.col("body"))))
+    # from the left only: trimming from the right walks through the whole line
+    split = docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "body")).filter(F.ltrim("body", F.lit(BLANKS)) != "")
+    body, address, digit, line = F.col("body"), F.col("address"), F.col("digit"), F.col("line")
+    marked = split.select(*KEY, "line_no", "body", has_address(body).alias("address"), has_digit(body).alias("digit"))
+    cut = marked.select(*KEY, "line_no", "body", (address | digit).alias("varies"), masked(body, address, digit).alias("line"))
+    cut = cut.select(*KEY, "line_no", "body", "varies", one_spaced(line).alias("line"))
+    # the words are counted inside the branch: beside an "and", they would be for every line
+    toks = F.split(line, " ")
+    words = F.size(F.filter(toks, word))
+    by_text = F.when(F.col("varies"), ~((words >= 2) & (2 * words >= F.size(toks))))
+    cut = cut.select(*KEY, "line_no", "line", F.when(by_text, one_spaced(body)).alias("plain"))
+    n = parts(line, " ")
     known = F.col("plain").isNull()
+    cut = cut.select(*KEY, "line_no", "plain", "line", n.alias("n"))
     return cut.select(
-        *KEY, "line_no", (n >= long_line).alias("long"),
-        F.when(known, F.xxhash64(n, F.slice("toks", 1, depth))).otherwise(F.xxhash64(F.lit(-1), "plain")).alias("leaf"),
-        named(known, F.coalesce("plain", "toks")).alias("line"),
+        *KEY, "line_no", (F.col("n") >= long_line).alias("long"),
+        F.when(known, F.xxhash64("n", F.substring_index(line, " ", depth))).otherwise(F.xxhash64(F.lit(-1), "plain")).alias("leaf"),
+        named(known, F.coalesce("plain", "line")).alias("line"),
     )
 
 
@@ -152,11 +191,11 @@ def _cleaned(
     found = recurring_lines(rows.select(*KEY, "text"), min_docs, long_docs, long_line, depth, least_words, constant_share).filter(~F.col("first"))
     drops = written(found.groupBy(*KEY).agg(F.collect_set("line_no").alias("drops")), "dropped-lines")
     joined = rows.join(drops, same_row(rows, drops), "left")
-    split = F.split("text", "\n")
-    left = F.filter(split, lambda line, k: ~F.array_contains("drops", k))
+    left = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("drops", k))
+    n_lines = parts(F.col("text"), "\n")
     return joined.select(
         "row", F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
-        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("drops").isNull(), F.lit(0)).otherwise(F.size("drops")).cast("long").alias("n_dropped"),
     )
 

@@ -65,3 +65,24 @@ def test_any_column_names_are_passed_on(spark):
     assert [tuple(r)[-2:] for r in line_templates.without_recurring(counted).collect()] == [(8, 9)]
     with pytest.raises(ValueError):
         line_templates.drop_recurring(counted)
+
+
+def test_lines_are_known_by_their_tokens_and_not_taken_apart(spark):
+    r = random.Random(4)
+    blanks = [" ", "  ", "\t", " \x0b", "\f ", "\r", "   "]
+    words = ["a", "b7", "x@y", "u://v", "<*>", "é", "9", "\u00a0"]
+    bodies = [r.choice(["", *blanks]) + "".join(r.choice(words) + r.choice(blanks) for _ in range(r.randrange(4))) + r.choice(["", "a", "a b"]) for _ in range(400)]
+    docs = line_templates.keyed(spark.createDataFrame([(1, "\n".join(bodies))], "doc_id long, text string"), "doc_id", "text")
+    lines = line_templates.lines_of(docs.select(*line_templates.KEY, "text"), 3, 20)
+    found = {x.line_no: (x.leaf, tuple(x.line)) for x in lines.collect()}
+    assert set(found) == {k for k, b in enumerate(bodies) if b.strip(" \t\x0b\f\r")}
+
+    def spaced(body):
+        return " ".join(body.translate(str.maketrans("\t\x0b\f\r", "    ")).replace("\u00a0", "~").split()).replace("~", "\u00a0")
+
+    again = spark.createDataFrame([(1, "\n".join(map(spaced, bodies)))], "doc_id long, text string")
+    again = line_templates.lines_of(line_templates.keyed(again, "doc_id", "text").select(*line_templates.KEY, "text"), 3, 20)
+    assert found == {x.line_no: (x.leaf, tuple(x.line)) for x in again.collect()}
+    # most lines are named as they stand: their tokens are cut out only inside a branch
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and "substring_index(" in plan
