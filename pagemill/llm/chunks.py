@@ -2,7 +2,8 @@
 
 A run of blanks ends a pre-token on its left, and the last blank of a run belongs to what follows. So a
 text without two blanks in a row falls apart before each blank: the pieces are tokenised one by one and
-most are met again and again. Texts with longer runs are cut only before blanks that stand alone.
+most are met again and again. Texts with longer runs are cut only before blanks that stand alone. A blank
+between other white space, or between that and the end, is inside one pre-token and is no place to cut.
 """
 
 from __future__ import annotations
@@ -15,7 +16,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_ALONE = re.compile(r"(?<=[^ ])(?= [^ ])")
+#: White space but the blank, by any version of white space in a pattern.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_ALONE = re.compile(f"(?<=[^ {WHITE}])(?= [^ ])|(?<=[{WHITE}])(?= [^ {WHITE}])")
+_BETWEEN = re.compile(f"(?<=[{WHITE}]) (?=[{WHITE}]|\\Z)")
+_ASCII_WHITE = [c for c in WHITE if c.isascii()]
+
+
+def blank_in_white(text: str) -> bool:
+    """Whether a blank stands between other white space, or between that and the end. Most texts are told by the characters they lack."""
+    return any(c in text and c + " " in text for c in (_ASCII_WHITE if text.isascii() else WHITE)) and bool(_BETWEEN.search(text))
 
 
 def keys_of(text: str) -> list[str]:
@@ -23,7 +33,7 @@ def keys_of(text: str) -> list[str]:
     any other with a blank and a bar before it, which no key of the first kind begins with."""
     if not text:
         return []
-    if "  " in text or text[0] == " ":
+    if not plain_blanks(text):
         return [x[1:] if x[0] == " " and x[1:2] != " " else " |" + x for x in _ALONE.split(text)]
     keys = text.split(" ")
     keys[0] = " |" + keys[0]
@@ -40,7 +50,7 @@ def words_of(text: str) -> list[str]:
 
 
 def cut_at_blanks(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """``keys_of`` for texts that don't begin with a blank and have no two in a row, all at once: the distinct keys, the
+    """``keys_of`` for texts of which ``plain_blanks`` holds, all at once: the distinct keys, the
     number of each piece's key, and where each text's pieces begin, and the last one's end."""
     ends = [t.find(" ") for t in texts]
     keys, at, begin = _cut(pa.array([t[k + 1 :] if k >= 0 else None for t, k in zip(texts, ends)], pa.large_string()))
@@ -60,7 +70,8 @@ def _cut(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def plain_blanks(text: str) -> bool:
-    return bool(text) and text[0] != " " and "  " not in text
+    """Whether the text can be cut before every blank, and doesn't begin with one."""
+    return bool(text) and text[0] != " " and "  " not in text and not blank_in_white(text)
 
 
 class Memo:

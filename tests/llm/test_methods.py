@@ -44,6 +44,15 @@ def test_ids_equal_the_library(pairs, reference, text):
     assert pairs.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("text", ["the \xa0 \xa0", "the \xa0 \xa0 \xa0 \xa0 end", "a\n \xa0 \xa0", " \xa0 \xa0 b", "a  b \xa0 \xa0\n ", "a\n ", "a\n b \n c"])
+def test_blanks_between_other_white_space_stay_in_their_run(pairs, reference, text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        memo = packing._tokenizer(f.read())
+    assert array("I", pairs.encode(text)).tolist() == reference.encode_ordinary(text)
+    assert array("I", memo.encode([text])[0]).tolist() == _tokenizer(path).encode(text, add_special_tokens=False).ids
+
+
 def test_one_very_long_word(pairs, reference):
     r = random.Random(1)
     word = "".join(r.choice("etaoinshrdlu") for _ in range(60_000))
